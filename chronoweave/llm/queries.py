@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import neighbours
+from . import language, neighbours, secrets
+from .shared import crc_mod
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,8 +18,31 @@ def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(_table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; learned from the rows that aren't held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
+    model = language.fit(docs.where(~held))
+    return language.predict(docs.select("doc_id", held.alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document, with those that the ownership counts add."""
+    found = secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    n = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    base = F.filter("spans", lambda x: x["kind"] != "owned")
+    return found.select(
+        "doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"),
+        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda x: x["live"])).cast("long").alias("n_live"),
+    )
+
+
 QUERIES = {
     "op5_neighbours": op5_neighbours,
+    "op6_language": op6_language,
+    "op8_secrets": op8_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {}

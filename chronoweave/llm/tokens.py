@@ -64,8 +64,8 @@ class Texts:
         return self.data[self.off[i] : self.off[i + 1]].tobytes()
 
 
-def texts(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Texts]:
-    """The column's rows in runs of about limit bytes, at least one row in each; null is an empty text."""
+def texts(column: pa.Array, limit: int = SLICE_BYTES, rows: int = 1 << 30) -> Iterator[Texts]:
+    """The column's rows in runs of about limit bytes, from one row up to `rows`; null is an empty text."""
     column = column.fill_null("" if not pa.types.is_binary(column.type) else b"") if column.null_count else column
     column = column.cast(pa.large_binary())
     n = len(column)
@@ -77,7 +77,7 @@ def texts(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Texts]:
     lo = 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + limit, side="right")) - 1)
-        hi = min(hi, n)
+        hi = min(hi, n, lo + rows)
         yield Texts(lo, raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
         lo = hi
 
@@ -93,22 +93,24 @@ def hash_runs(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * powers(len(sums))[1][start] + (end - start).astype(U64))
 
 
+def runs(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each run of true bytes; no run goes beyond a text."""
+    begin, last = inside.copy(), inside.copy()
+    if len(inside):
+        begin[1:] &= ~inside[:-1]
+        last[:-1] &= ~inside[1:]
+        some = off[:-1] < off[1:]
+        a, b = off[:-1][some], off[1:][some] - 1
+        begin[a], last[b] = inside[a], inside[b]
+    return np.flatnonzero(begin), np.flatnonzero(last) + 1
+
+
 class Words:
     """start, end (byte positions), hash of every word, and the index of each text's first word."""
 
     def __init__(self, t: Texts, hashes: bool = True):
         data, off = t.data, t.off
-        space = SPACE[data]
-        word = ~space
-        begin, last = word.copy(), word.copy()
-        if len(data):
-            begin[1:] &= space[:-1]
-            last[:-1] &= space[1:]
-            some = off[:-1] < off[1:]
-            a, b = off[:-1][some], off[1:][some] - 1
-            begin[a], last[b] = word[a], word[b]
-        self.start = np.flatnonzero(begin)
-        self.end = np.flatnonzero(last) + 1
+        self.start, self.end = runs(~SPACE[data], off)
         self.off = np.searchsorted(self.start, off)
         self.count = np.diff(self.off)
         if hashes:
