@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, neighbours, secrets
+from . import language, neighbours, secrets, warc
 from .shared import crc_mod
 
 
@@ -13,6 +13,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as its record in the archives says, after writing and reading them."""
+    found = warc.round_trip(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).where(F.col("kind") == "record")
+    return found.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest rows by inner product of every embedding whose id is divisible by 20."""
     return neighbours.nearest(_table(spark, sf_dir, "embeddings"), k=20, every=20)
@@ -40,9 +46,24 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_warc": op4_warc,
     "op5_neighbours": op5_neighbours,
     "op6_language": op6_language,
     "op8_secrets": op8_secrets,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (
+            SELECT page_id, html, octet_length(encode(html))::BIGINT AS payload_bytes, min(page_id) OVER (PARTITION BY html) AS first,
+                array_to_string(list_transform(string_split(sha1(html), ''), lambda x: substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * (strpos('0123456789abcdef', x) - 1)::INTEGER + 1, 4)), '') AS bits
+            FROM p
+        )
+        SELECT page_id, payload_bytes,
+            array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', list_sum(list_transform(range(5), lambda j: substr(bits, (5 * i + j + 1)::INTEGER, 1)::INTEGER * (16 >> j::INTEGER)))::INTEGER + 1, 1)), '') AS payload_digest,
+            CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+        FROM d
+    """,
+}
