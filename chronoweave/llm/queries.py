@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, neighbours, packing, secrets, warc
+from . import language, near_duplicates, neighbours, packing, secrets, warc
 from .shared import crc_mod
 
 
@@ -13,6 +13,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size, component and verdict of every document."""
+    return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document's ids and where it lies in the packed sequences."""
     return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -51,6 +56,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_packing": op3_packing,
     "op4_warc": op4_warc,
     "op5_neighbours": op5_neighbours,
