@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, near_duplicates, neighbours, packing, secrets, warc
+from . import language, line_dedup, near_duplicates, neighbours, packing, secrets, warc
 from .shared import crc_mod
 
 
@@ -55,6 +55,12 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its lines counted and a digest of what is left of it."""
+    out = line_dedup.line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op2_near_duplicates": op2_near_duplicates,
     "op3_packing": op3_packing,
@@ -62,6 +68,7 @@ QUERIES = {
     "op5_neighbours": op5_neighbours,
     "op6_language": op6_language,
     "op8_secrets": op8_secrets,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
