@@ -124,7 +124,7 @@ def links(docs: DataFrame, made: DataFrame, id_col: str = "doc_id", text_col: st
         if len(group) > 1:
             yield confirmed(group)
 
-    gathered = dealt.join(source, "id").repartition(shuffle_partitions(spark), "component", "g", "h").sortWithinPartitions("component", "g", "h", "id")
+    gathered = dealt.hint("merge").join(source, "id").repartition(shuffle_partitions(spark), "component", "g", "h").sortWithinPartitions("component", "g", "h", "id")
     return gathered.mapInArrow(run, "u long, v long")
 
 
