@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, line_dedup, near_duplicates, neighbours, packing, secrets, warc
+from . import decontaminate, language, language_model, line_dedup, near_duplicates, neighbours, packing, secrets, warc
 from .shared import crc_mod
 
 
@@ -60,6 +60,12 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document; learned from the rows that aren't held out."""
+    held = F.coalesce(crc_mod("doc_id", 7) == 2, F.lit(False)).alias("held_out")
+    return language_model.score(_table(spark, sf_dir, "documents").select("doc_id", "text", held))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its lines counted and a digest of what is left of it."""
     out = line_dedup.line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -74,6 +80,7 @@ QUERIES = {
     "op5_neighbours": op5_neighbours,
     "op6_language": op6_language,
     "op8_secrets": op8_secrets,
+    "op9_language_model": op9_language_model,
     "op10_line_dedup": op10_line_dedup,
 }
 
