@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, language_model, line_dedup, near_duplicates, neighbours, packing, secrets, warc
+from . import decontaminate, language, language_model, line_dedup, near_duplicates, neighbours, packing, repeats, secrets, warc
 from .shared import crc_mod
 
 
@@ -47,6 +47,12 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.select("doc_id", held.alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes without strings of 100 bytes that occurred before."""
+    out = repeats.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every document, with those that the ownership counts add."""
     found = secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
@@ -79,6 +85,7 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op5_neighbours": op5_neighbours,
     "op6_language": op6_language,
+    "op7_repeats": op7_repeats,
     "op8_secrets": op8_secrets,
     "op9_language_model": op9_language_model,
     "op10_line_dedup": op10_line_dedup,
