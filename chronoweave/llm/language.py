@@ -128,9 +128,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Model([r["lang"] for r in rows], c, np.array([r["low"] for r in rows]), idf.astype(np.float32))
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, score (cosine, 0 to 1) and rejected; any columns of these names are replaced."""
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
+def predict(docs: DataFrame, model: Model, text_col: str = "text", prefix: str = "") -> DataFrame:
+    """docs with lang_pred, score (cosine, 0 to 1) and rejected, named with the prefix; columns of these names are replaced."""
+    added = [prefix + c for c in ("lang_pred", "score", "rejected")]
+    kept = [c for c in docs.columns if c not in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,9 +150,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 score += np.where(letters, top, 0).tolist()
                 rejected += (far | ~letters).tolist()
             more = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *more], [*kept, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *more], [*kept, *added])
 
     from pyspark.sql import types as T
 
-    out = T.StructType([docs.schema[c] for c in kept]).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
+    out = T.StructType([docs.schema[c] for c in kept]).add(added[0], "string").add(added[1], "double").add(added[2], "boolean")
     return docs.select(*kept, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, out)
