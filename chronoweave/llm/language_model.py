@@ -31,7 +31,7 @@ from .shared import keep, text_of
 from .tokens import U64, Words, mix, texts
 
 #: Tokens in a block; share of the training tokens from which a bigram is kept; discount; words in a shard.
-BLOCK, SHARE, DISCOUNT, SHARD = 2_000_000, 4e-6, 0.5, 2_000_000
+BLOCK, SHARE, DISCOUNT, SHARD = 800_000, 1e-5, 0.5, 600_000
 END = U64(0x454E44)
 _LEFT, _RIGHT = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
 
