@@ -55,13 +55,18 @@ def frame_mid_seconds(points: DataFrame, start: float = 0.0, fps: float = 1.0, k
     return points.select(key, F.bround(F.lit(start) + (F.col(order) + 1.0) / F.lit(fps), 2).alias("time_sec")).distinct()
 
 
+def _middle(a, b):
+    """Half-way between two times, rounded; rounding the sum first keeps ties exact."""
+    return F.bround(F.bround(a + b, 2) / 2.0, 2)
+
+
 def voronoi_spans(points: DataFrame, duration: str, time: str = "time_sec", key: str = KEY, order: str = "seq") -> DataFrame:
     """Each point's span: from the middle to the point before to the middle to the next, over the whole program."""
     w = Window.partitionBy(key).orderBy(time, order)
     before, after = F.lag(time).over(w), F.lead(time).over(w)
     return points.withColumns({
-        "start_sec": F.bround(F.coalesce((before + F.col(time)) / 2.0, F.lit(0.0)), 2),
-        "end_sec": F.bround(F.coalesce((F.col(time) + after) / 2.0, F.col(duration)), 2),
+        "start_sec": F.coalesce(_middle(before, F.col(time)), F.lit(0.0)),
+        "end_sec": F.coalesce(_middle(F.col(time), after), F.bround(duration, 2)),
     })
 
 
