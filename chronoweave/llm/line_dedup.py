@@ -1,6 +1,6 @@
 """Line de-duplication by a deletion-neighbourhood join, in DataFrame functions only.
 
-A line's words are its runs of characters outside 0x20 and 0x09-0x0D, with A-Z lower-cased. A line goes if
+A line's words are its runs of characters outside 0x20 and 0x09-0x0D, lower-cased. A line goes if
 an earlier one (smaller doc_id, then smaller line number) has the same words or, where both have at
 least min_words words, is one word edit away: one word replaced, inserted or deleted. Lines are judged
 on the input, so an earlier line counts even if it goes itself.
@@ -20,69 +20,73 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keep
+from .shared import keep, shuffle_partitions
 
 #: Shortest line that is judged; shortest that is compared under the edit bound of one word.
 MIN_LINE, MIN_WORDS = 3, 8
 _LAST = (1 << 63) - 1
 
 
-def _words(line: Column) -> Column:
-    lower = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.filter(F.split(lower, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-
-
 def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, line, words of every line that is judged."""
+    """doc_id, line and s, its words with one space between, of every line."""
     at = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc_id")
+    low = F.lower(F.col(text_col).cast("string"))
+    odd = [F.contains(low, F.lit(c)) for c in ("\t", "\x0b", "\x0c", "\r")]
+    clean = F.when(odd[0] | odd[1] | odd[2] | odd[3], F.regexp_replace(low, "[\\x09\\x0B-\\x0D]", " ")).otherwise(low)
     return (
-        docs.where(F.col(text_col).isNotNull()).select(at, F.posexplode(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("line", "raw"))
-        .select("doc_id", "line", _words(F.col("raw")).alias("words"))
+        docs.where(F.col(text_col).isNotNull()).select(at, F.posexplode(F.split(clean, "\n", -1)).alias("line", "raw"))
+        .select("doc_id", "line", _squeeze(F.col("raw")).alias("s"))
     )
 
 
-def _hash(words: Column) -> Column:
-    return F.xxhash64(words)
+def _squeeze(line: Column) -> Column:
+    """Single spaces only, none at the ends."""
+    line = F.btrim(line)
+    return F.when(F.contains(line, F.lit("  ")), F.regexp_replace(line, "\\x20{2,}", " ")).otherwise(line)
+
+
+def _count(s: Column) -> Column:
+    return F.when(s == "", 0).otherwise(F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit(""))) + 1)
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_line: int = MIN_LINE, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, line) of the lines that go."""
-    every = keep(
-        lines(docs, id_col, text_col).select("doc_id", "line", F.size("words").alias("n"), _hash(F.col("words")).alias("h"), F.xxhash64(F.array_join("words", " "), F.lit(1)).alias("g"), *_halves())
-        .where(F.col("n") >= min_line), "lines",
-    )
+    parts = shuffle_partitions(docs.sparkSession)
+    s = F.col("s")
+    every = lines(docs, id_col, text_col).withColumn("n", _count(s)).where(F.col("n") >= min_line)
+    every = keep(every.select("doc_id", "line", "n", F.xxhash64(s).alias("h"), F.xxhash64(s, F.lit(1)).alias("g"), *_halves(s, min_words)), "lines")
     place = F.struct("doc_id", "line")
-    first = every.groupBy("h", "g", "n").agg(F.min(place).alias("first"), F.min("half").alias("half")).where("first is not null")
+    first = every.groupBy("h", "g", "n").agg(F.min(place).alias("first"), *(F.min(k).alias(k) for k in HALVES))
     first = keep(first, "distinct-lines")
 
     # Lines that could have a neighbour: some other line of about this length has one of its halves.
-    halved = first.where(F.col("n") >= min_words).select("h", "g", "first", F.explode("half").alias("k"))
-    met = halved.groupBy("k").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a < b").select("k")
-    near = halved.join(met, "k").select("h", "g", "first").distinct()
-    near = keep(near, "near-lines")
+    # (The same filter on both sides of a join lets its two branches share one shuffle.)
+    halved = first.where(F.col("n") >= min_words).select("h", "g", F.posexplode(F.array(*HALVES)).alias("which", "k")).where(F.col("k").isNotNull()).repartition(parts, "k")
+    met = halved.groupBy("k").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a < b").select("k")
+    sides = halved.join(met, "k").groupBy("h", "g").agg(F.max(F.col("which") % 2 == 0).alias("head"), F.max(F.col("which") % 2 == 1).alias("tail"))
+    near = keep(sides.join(first.select("h", "g", "first"), ["h", "g"]), "near-lines")
 
     # Their words, fetched again at each line's first place.
-    asked = near.select("h", "g", F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"))
+    asked = near.select("h", "g", "head", "tail", F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"))
     texts = docs.where(F.col(text_col).isNotNull()).select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc_id"), F.col(text_col).cast("string").alias("t"))
-    wanted = asked.groupBy("doc_id").agg(F.collect_list(F.struct("line", "h", "g")).alias("wanted"))
+    there = texts.hint("merge").join(asked.select("doc_id").distinct(), "doc_id", "left_semi")
     fetched = (
-        texts.join(wanted, "doc_id").withColumn("raw", F.split("t", "\n", -1)).select("doc_id", "raw", F.explode("wanted").alias("w"))
-        .select(F.struct("doc_id", F.col("w.line").alias("line")).alias("place"), F.col("w.h").alias("h"), F.col("w.g").alias("g"), _words(F.get("raw", F.col("w.line"))).alias("words"))
-        .where(F.size("words") > 0).where(_hash(F.col("words")) == F.col("h"))
+        lines(there, "doc_id", "t").join(asked, ["doc_id", "line"]).where(F.xxhash64("s") == F.col("h"))
+        .select(place.alias("place"), "head", "tail", F.split("s", " ").alias("words"))
     )
     fetched = keep(fetched, "line-words")
 
-    def without(i: Column) -> Column:
-        return F.concat(F.slice("words", 1, i - 1), F.slice("words", i + 1, F.size("words")))
-
     # A key of a deletion carries its position where a word is replaced (both lines lack the word there),
     # and none where a word is inserted or deleted (the variant is the other line whole).
-    variants = F.transform(F.sequence(F.lit(1), F.size("words")), lambda i: F.struct(_hash(without(i)).alias("key"), i.alias("at")))
-    each = fetched.select("place", "h", "g", F.explode(variants).alias("v"))
-    replaced = each.select("place", "h", "g", F.xxhash64("v.key", "v.at").alias("key"), F.lit(True).alias("whole"), F.lit(True).alias("part"))
-    dropped = each.select("place", "h", "g", F.xxhash64("v.key", F.lit(0)).alias("key"), F.lit(False).alias("whole"), F.lit(True).alias("part"))
-    itself = fetched.select("place", "h", "g", F.xxhash64("h", F.lit(0)).alias("key"), F.lit(True).alias("whole"), F.lit(False).alias("part"))
-    keyed = replaced.union(dropped).union(itself)
+    # Lines that share their first words only can be one edit apart only beyond them, and so for the last.
+    source = fetched.where(F.col("place").isNotNull())
+    half, n = F.floor((F.size("words") - 2) / F.lit(2)), F.size("words")
+    each = source.select("place", "head", "tail", half.alias("half"), n.alias("n"), F.posexplode(_variants()).alias("at", "key"))
+    each = each.where((F.col("head") & (F.col("at") >= F.col("half"))) | (F.col("tail") & (F.col("at") < F.col("n") - F.col("half"))))
+    replaced = each.select("place", F.xxhash64("key", "at").alias("key"), F.lit(True).alias("whole"), F.lit(True).alias("part"))
+    dropped = each.select("place", F.xxhash64("key", F.lit(-1)).alias("key"), F.lit(False).alias("whole"), F.lit(True).alias("part"))
+    itself = source.select("place", F.xxhash64(_whole(), F.lit(-1)).alias("key"), F.lit(True).alias("whole"), F.lit(False).alias("part"))
+    keyed = replaced.union(dropped).union(itself).repartition(parts, "key")
     least = (
         keyed.groupBy("key").agg(F.count("*").alias("c"), F.min(F.when(F.col("whole"), F.col("place"))).alias("whole_first"), F.min(F.when(F.col("part"), F.col("place"))).alias("part_first"))
         .where(F.col("c") > 1)
@@ -101,14 +105,37 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     return later.where(F.col("gone") | (place != F.col("first"))).select("doc_id", "line").distinct()
 
 
-def _halves() -> list[Column]:
+HALVES = ("k0", "k1", "k2", "k3")
+
+
+def _halves(s: Column, min_words: int) -> list[Column]:
     """Keys of a line's first and last words. Lines of n and n + 1 words meet under the smaller's number."""
-    n = F.size("words")
+    n = F.col("n")
     keys = []
     for m in (n, n - 1):
         h = F.floor((m - 1) / F.lit(2)).cast("int")
-        keys += [F.xxhash64(F.slice("words", 1, h), m, F.lit(0)), F.xxhash64(F.slice("words", n - h + 1, h), m, F.lit(1))]
-    return [F.when(n >= 4, F.array(*keys)).otherwise(F.array().cast("array<bigint>")).alias("half")]
+        keys += [F.xxhash64(F.call_function("substring_index", s, F.lit(" "), h), m, F.lit(0)), F.xxhash64(F.call_function("substring_index", s, F.lit(" "), -h), m, F.lit(1))]
+    return [F.when(n >= min_words, k).alias(name) for k, name in zip(keys, HALVES)]
+
+
+def _whole() -> Column:
+    """The exclusive-or of the hashes of all words with their positions."""
+    return F.expr("aggregate(transform(words, (w, i) -> xxhash64(w, i)), 0L, (acc, x) -> acc ^ x)")
+
+
+def _variants() -> Column:
+    """For each word, what _whole() gives for the line without it.
+
+    Words before it keep their positions, those after it move up by one: running exclusive-ors of both
+    kinds of hashes give each variant in one step.
+    """
+    return F.expr(
+        """aggregate(
+            transform(words, (w, i) -> named_struct('a', xxhash64(w, i), 'b', xxhash64(w, i - 1))),
+            named_struct('before', 0L, 'after', aggregate(transform(words, (w, i) -> xxhash64(w, i - 1)), 0L, (acc, x) -> acc ^ x), 'keys', cast(array() as array<bigint>)),
+            (acc, x) -> named_struct('before', acc.before ^ x.a, 'after', acc.after ^ x.b, 'keys', array_append(acc.keys, acc.before ^ acc.after ^ x.b)),
+            acc -> acc.keys)"""
+    )
 
 
 def within_one(x: str, y: str) -> Column:
@@ -125,13 +152,13 @@ def within_one(x: str, y: str) -> Column:
     return (F.abs(n - m) <= 1) & F.when(n == m, tail(a, n, one) == tail(b, m, one)).when(n > m, tail(a, n, one) == tail(b, m, none)).otherwise(tail(a, n, none) == tail(b, m, one))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_line: int = MIN_LINE, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with removed lines taken out of the text, and n_lines and n_removed; columns of these names are replaced.
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_line: int = MIN_LINE, min_words: int = MIN_WORDS, prefix: str = "") -> DataFrame:
+    """docs with removed lines taken out of the text, and n_lines and n_removed, named with the prefix; columns of these names are replaced.
 
     Every row stays, with an empty text where all its lines go.
     """
     gone = removed(docs, id_col, text_col, min_line, min_words).groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("__gone"))
-    base = docs.drop("n_lines", "n_removed").withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)))
+    base = docs.drop(prefix + "n_lines", prefix + "n_removed").withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)))
     met = base.join(gone.withColumnRenamed("doc_id", "__id"), "__id", "left")
     raw = F.split(F.col(text_col).cast("string"), "\n", -1)
     marks = F.map_from_arrays(F.col("__gone"), F.transform("__gone", lambda x: F.lit(True)))
@@ -140,5 +167,5 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = [c for c in base.columns if c != "__id"]
     return met.select(
         *(text.alias(c) if c == text_col else F.col(c) for c in names),
-        F.coalesce(F.size(raw), F.lit(0)).cast("long").alias("n_lines"), F.when(F.col(text_col).isNull(), 0).otherwise(F.coalesce(F.size("__gone"), F.lit(0))).cast("long").alias("n_removed"),
+        F.coalesce(F.size(raw), F.lit(0)).cast("long").alias(prefix + "n_lines"), F.when(F.col(text_col).isNull(), 0).otherwise(F.coalesce(F.size("__gone"), F.lit(0))).cast("long").alias(prefix + "n_removed"),
     )
