@@ -25,7 +25,7 @@ from .shared import keep, shuffle_partitions, text_of
 from .tokens import U64, Words, mix, shingles, texts
 
 #: Linked if PERCENT * union <= 100 * intersection. Estimates below FLOOR, over four standard errors lower, aren't confirmed.
-PERCENT, FLOOR, BLOCK = 85, 0.66, 2000
+PERCENT, FLOOR, BLOCK = 85, 0.66, 600
 
 
 def _sets(column: pa.Array) -> Iterator[np.ndarray]:
