@@ -125,7 +125,7 @@ def timeline_line(seconds: Col, text: Col, unicode_form: bool = True) -> Column:
 def caption_time(text: Col) -> Column:
     """h:mm:ss.cc as seconds."""
     p = F.split(_c(text), ":")
-    return F.get(p, F.lit(0)).cast("int") * 3600 + F.get(p, F.lit(1)).cast("int") * 60 + F.get(p, F.lit(2)).cast("double")
+    return F.get(p, F.lit(0)).try_cast("int") * 3600 + F.get(p, F.lit(1)).try_cast("int") * 60 + F.get(p, F.lit(2)).try_cast("double")
 
 
 def without_tags(text: Col) -> Column:
