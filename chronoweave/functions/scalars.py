@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Col = Column | str
 
@@ -80,7 +81,7 @@ def truncate_text(text: Col, limit: int) -> Column:
     return F.when(F.length(t) > limit, F.concat(F.substring(t, 1, limit - 1), F.lit("..."))).otherwise(t)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
