@@ -36,7 +36,7 @@ from .shared import keep, shared_dir, shuffle_partitions, text_of
 from .tokens import BYTE_CODE, U64, hash_runs, mix, prefix, texts
 
 #: Length of the strings; of the grams that anchor them; bytes of text in a block; entries in a shard.
-LENGTH, GRAM, BLOCK_BYTES, SHARD = 100, 24, 6 << 20, 1_500_000
+LENGTH, GRAM, BLOCK_BYTES, SHARD = 100, 24, 3 << 20, 400_000
 _NO_ID = (1 << 63) - 1
 _LEFT, _RIGHT = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
 
@@ -77,7 +77,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return spark.table(name)
 
 
-def _slices(off: np.ndarray, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def _slices(off: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Runs of texts of about limit bytes, as ranges of off."""
     lo, n = 0, len(off) - 1
     while lo < n:
@@ -186,7 +186,8 @@ def _runs(made: DataFrame, shards: int, length: int, gram: int) -> DataFrame:
                 o, lead = _first_of([a, name], [doc, first])
                 later = o[~lead]
                 o = o[lead]
-                some, cuts = _deal(shards, a[o], [a[o], name[o], doc[o], first[o].astype(np.uint32), size[o].astype(np.uint16 if length < 60000 else np.uint32)])
+                # an anchor has the smallest hash around it, so its own bits would fill a few shards only
+                some, cuts = _deal(shards, mix(a[o]), [a[o], name[o], doc[o], first[o].astype(np.uint32), size[o].astype(np.uint16 if length < 60000 else np.uint32)])
                 rows = [some, [row["block"]] * len(some), *cuts]
                 if len(later):
                     rows[0].append(shards + row["block"] % shards)

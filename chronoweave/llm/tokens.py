@@ -6,16 +6,24 @@ ASCII, working on UTF-8 bytes gives the same words as working on characters. Has
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
+#: Large arrays go back to the system when they are freed, so that an idle worker doesn't hold what it once used.
+with contextlib.suppress(OSError, AttributeError):
+    _libc = ctypes.CDLL(None)
+    _libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
+    _libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+
 U64 = np.uint64
 _RADIX = 0x9E3779B97F4A7C15 | 1
 _RADIX_INV = pow(_RADIX, -1, 1 << 64)
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
