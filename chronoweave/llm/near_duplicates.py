@@ -128,10 +128,10 @@ def links(docs: DataFrame, made: DataFrame, id_col: str = "doc_id", text_col: st
     return gathered.mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     made = sketches(docs, id_col, text_col)
-    found = components(links(docs, made, id_col, text_col, percent))
+    found = components(links(docs, made, id_col, text_col, percent, block))
     nodes = made.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("k1", "k2").agg(F.min("doc_id").alias("id"))
     label = nodes.join(found, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component"))
     out = made.select("doc_id", "n", F.when(F.col("n") > 0, F.col("k1")).alias("k1"), "k2").join(label, ["k1", "k2"], "left")
