@@ -90,13 +90,13 @@ def j07(spark, sf_dir):
 
 
 _NEAREST = """
-    SELECT c.program_id, c.seq, coalesce(arg_min(b.time_sec, (abs(b.time_sec - c.time_sec), b.seq)), c.time_sec) AS time_sec, arg_min(b.seq, (abs(b.time_sec - c.time_sec), b.seq)) AS near_seq
+    SELECT c.program_id, c.seq, coalesce(arg_min(b.time_sec, (abs(b.time_sec - c.time_sec), b.seq)), c.time_sec) AS time_sec, coalesce(arg_min(b.seq, (abs(b.time_sec - c.time_sec), b.seq)), -1) AS near_seq
     FROM click c LEFT JOIN buy b ON b.program_id = c.program_id AND abs(b.time_sec - c.time_sec) <= {tolerance} GROUP BY c.program_id, c.seq, c.time_sec"""
 
 
 @query("j08_nearest_snap", sql(_NEAREST.format(tolerance=120)))
 def j08(spark, sf_dir):
-    return joins.snap(R.points(spark, sf_dir, "click"), R.points(spark, sf_dir, "purchase"), 120.0).select("program_id", "seq", "time_sec", "near_seq")
+    return joins.snap(R.points(spark, sf_dir, "click"), R.points(spark, sf_dir, "purchase"), 120.0).select("program_id", "seq", "time_sec", F.coalesce("near_seq", F.lit(-1)).alias("near_seq"))
 
 
 @query("j09_snap_distinct", sql(f"""

@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 import pytest
 
 DIR = "/root/testdata/sf0.001"
@@ -16,7 +17,7 @@ def _entry():
 
 
 def _value(v):
-    if v is None or v != v:
+    if v is None or v is pd.NA or v is pd.NaT or v != v:
         return ""
     if hasattr(v, "item"):
         v = v.item()
