@@ -33,8 +33,8 @@ def match_counts(predicted: DataFrame, truth: DataFrame, tolerance: float, key:
     start = F.struct(F.col("p").alias("left"), F.lit(0).alias("tp"))
 
     def step(acc: Column, x: Column) -> Column:
-        ahead = F.filter(acc["left"], lambda y: y >= x - tolerance)
-        hit = F.coalesce(F.get(ahead, F.lit(0)) <= x + tolerance, F.lit(False))
+        ahead = F.filter(acc["left"], lambda y: x - y <= tolerance)
+        hit = F.coalesce(F.get(ahead, F.lit(0)) - x <= tolerance, F.lit(False))
         return F.struct(F.when(hit, F.slice(ahead, 2, F.greatest(F.size(ahead) - 1, F.lit(0)))).otherwise(ahead).alias("left"), (acc["tp"] + hit.cast("int")).alias("tp"))
 
     out = both.select(key, F.aggregate("t", start, step, lambda acc: acc["tp"]).alias("tp"), F.size("p").alias("n_p"), F.size("t").alias("n_t"))

@@ -21,7 +21,7 @@ def _program() -> Column:
 
 def _documents(spark: SparkSession, path: str) -> DataFrame:
     """program_id and the whole text of every JSON file."""
-    return spark.read.option("wholetext", True).text(path).select(_program(), F.col("value").alias("doc"))
+    return spark.read.text(path, wholetext=True).select(_program(), F.col("value").alias("doc"))
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:

@@ -16,7 +16,7 @@ def rows(df, *columns):
 
 
 def test_captions_bare_or_held(spark, tmp_path):
-    (tmp_path / "a.json").write_text(json.dumps([{"start_sec": 10, "end_sec": 12, "text": " x "}, {"start_sec": 1, "text": "　"}]))
+    (tmp_path / "a.json").write_text(json.dumps([{"start_sec": 10, "end_sec": 12, "text": " x "}, {"start_sec": 1, "text": "　"}], indent=1))
     (tmp_path / "b.json").write_text(json.dumps({"segments": [{"start": 2.0, "end": 3.0, "text": "y"}]}))
     assert rows(readers.read_captions(spark, str(tmp_path)), "program_id", "start_sec", "end_sec", "text") == [("a", 5.5, 7.5, "x"), ("b", 0.0, 0.1, "y")]
     assert rows(readers.asr_documents(spark, str(tmp_path)), "program_id", "duration_sec") == [("a", 12.0), ("b", 3.0)]
