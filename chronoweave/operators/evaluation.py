@@ -22,10 +22,10 @@ def boundaries(topics: DataFrame, tolerance: float = 0.5, key: str = KEY, edges:
 
 
 def match_counts(predicted: DataFrame, truth: DataFrame, tolerance: float, key: str = KEY, time: str = "time_sec") -> DataFrame:
-    """tp, fp, fn, precision, recall and f1 of the largest one-to-one matching within the tolerance.
+    """tp, fp, fn, precision, recall and f1 of a one-to-one matching within the tolerance.
 
-    On sorted points the greedy pass with two pointers gives that matching; it is a fold over the truth
-    that carries the rest of the predictions.
+    True points in order each take the nearest prediction that is left, the earlier of two equally near
+    ones. It is a fold over the truth that carries the predictions that are left.
     """
     p = predicted.groupBy(key).agg(F.array_sort(F.collect_list(time)).alias("p"))
     t = truth.groupBy(key).agg(F.array_sort(F.collect_list(time)).alias("t"))
@@ -33,9 +33,10 @@ def match_counts(predicted: DataFrame, truth: DataFrame, tolerance: float, key:
     start = F.struct(F.col("p").alias("left"), F.lit(0).alias("tp"))
 
     def step(acc: Column, x: Column) -> Column:
-        ahead = F.filter(acc["left"], lambda y: x - y <= tolerance)
-        hit = F.coalesce(F.get(ahead, F.lit(0)) - x <= tolerance, F.lit(False))
-        return F.struct(F.when(hit, F.slice(ahead, 2, F.greatest(F.size(ahead) - 1, F.lit(0)))).otherwise(ahead).alias("left"), (acc["tp"] + hit.cast("int")).alias("tp"))
+        near = F.transform(F.filter(acc["left"], lambda y: F.abs(y - x) <= tolerance), lambda y: F.struct(F.abs(y - x).alias("d"), y.alias("y")))
+        best = F.array_min(near)["y"]
+        left = F.filter(acc["left"], lambda y: y != best)
+        return F.struct(F.when(best.isNull(), acc["left"]).otherwise(left).alias("left"), (acc["tp"] + best.isNotNull().cast("int")).alias("tp"))
 
     out = both.select(key, F.aggregate("t", start, step, lambda acc: acc["tp"]).alias("tp"), F.size("p").alias("n_p"), F.size("t").alias("n_t"))
     return with_rates(out.select(key, "tp", (F.col("n_p") - F.col("tp")).alias("fp"), (F.col("n_t") - F.col("tp")).alias("fn")))

@@ -477,9 +477,8 @@ def e01(spark, sf_dir):
 @query("e02_f1", sql("""
     SELECT program_id, tp, n_p - tp AS fp, n_t - tp AS fn, round_even(2.0 * tp / (n_p + n_t), 6) AS f1 FROM fin""", _BOUNDS,
     "lists AS (SELECT program_id, list(t ORDER BY t) FILTER (WHERE parity = 1) AS p, list(t ORDER BY t) FILTER (WHERE parity = 0) AS g FROM bnd GROUP BY 1)",
-    """two AS (SELECT program_id, p, g, 1 AS i, 1 AS j, 0 AS tp FROM lists UNION ALL SELECT program_id, p, g,
-        CASE WHEN abs(p[i] - g[j]) <= 30 OR p[i] < g[j] THEN i + 1 ELSE i END, CASE WHEN abs(p[i] - g[j]) <= 30 OR p[i] > g[j] THEN j + 1 ELSE j END, CASE WHEN abs(p[i] - g[j]) <= 30 THEN tp + 1 ELSE tp END
-        FROM two WHERE i <= len(p) AND j <= len(g))""",
+    """two AS (SELECT program_id, p AS rest, p, g, 1 AS j, 0 AS tp FROM lists UNION ALL SELECT program_id, CASE WHEN best IS NULL THEN rest ELSE list_filter(rest, lambda y: y <> best) END, p, g, j + 1, tp + (best IS NOT NULL)::INT
+        FROM (SELECT *, (list_sort(list_transform(list_filter(rest, lambda y: abs(y - g[j]) <= 30), lambda y: {'d': abs(y - g[j]), 'y': y})))[1].y AS best FROM two WHERE j <= len(g)))""",
     "fin AS (SELECT program_id, max(tp) AS tp, any_value(len(p)) AS n_p, any_value(len(g)) AS n_t FROM two GROUP BY 1)", recursive=True))
 def e02(spark, sf_dir):
     p, t = (evaluation.boundaries(R.topics(spark, sf_dir, k)) for k in (1, 0))
