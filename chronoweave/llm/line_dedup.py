@@ -56,7 +56,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     every = lines(docs, id_col, text_col).withColumn("n", _count(s)).where(F.col("n") >= min_line)
     every = keep(every.select("doc_id", "line", "n", F.xxhash64(s).alias("h"), F.xxhash64(s, F.lit(1)).alias("g"), *_halves(s, min_words)), "lines")
     place = F.struct("doc_id", "line")
-    first = every.groupBy("h", "g", "n").agg(F.min(place).alias("first"), *(F.min(k).alias(k) for k in HALVES))
+    first = every.groupBy("h", "g", "n").agg(F.min(place).alias("first"), F.count("*").alias("times"), *(F.min(k).alias(k) for k in HALVES))
     first = keep(first, "distinct-lines")
 
     # Lines that could have a neighbour: some other line of about this length has one of its halves.
@@ -100,7 +100,9 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     verified = met.join(a, "place").join(b, "other").where(within_one("x", "y")).select("place").distinct()
     gone = near.join(verified, near["first"] == verified["place"], "left_semi").select("h", "g", F.lit(True).alias("gone"))
 
-    verdict = first.join(gone, ["h", "g"], "left").select("h", "g", "n", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
+    # Lines that stand once and stay are left out; kept, so that a line of very many documents can be split.
+    judged = first.join(gone, ["h", "g"], "left").where((F.col("times") > 1) | F.col("gone"))
+    verdict = keep(judged.select("h", "g", "n", "first", F.coalesce("gone", F.lit(False)).alias("gone")), "line-verdicts")
     later = every.select("doc_id", "line", "h", "g", "n").join(verdict, ["h", "g", "n"])
     return later.where(F.col("gone") | (place != F.col("first"))).select("doc_id", "line").distinct()
 
