@@ -92,6 +92,36 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_near_duplicates": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+        ),
+        s AS (
+            SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [CAST(len(w) AS VARCHAR) || ' ' || array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 3), lambda i: '5 ' || array_to_string(w[i:i + 4], ' ')) END) AS s FROM w
+        ),
+        each AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+        links AS (SELECT a.doc_id AS u, b.doc_id AS v FROM each a JOIN each b USING (x) GROUP BY 1, 2 HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+        reach AS (SELECT u, v FROM links UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u)
+        SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(min(r.v), s.doc_id) AS component_id, coalesce(min(r.v), s.doc_id) = s.doc_id AS kept
+        FROM s LEFT JOIN reach r ON s.doc_id = r.u GROUP BY s.doc_id, s.s
+    """,
+    "op7_repeats": """
+        WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+        s AS (SELECT doc_id, p, substr(h, 2 * p + 1, 200) AS x FROM (SELECT doc_id, h, unnest(range(n - 99)) AS p FROM b WHERE n >= 100)),
+        first AS (SELECT x, min(doc_id * 100000000 + p) AS f FROM s GROUP BY x HAVING count(*) > 1),
+        gone AS (SELECT doc_id, p FROM s JOIN first USING (x) WHERE doc_id * 100000000 + p > f),
+        isl AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM (SELECT *, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 100 THEN 0 ELSE 1 END AS fresh FROM gone)),
+        spans AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS z FROM isl GROUP BY doc_id, k),
+        parts AS (
+            SELECT doc_id, z AS a, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY a), 1000000000) AS z FROM spans
+            UNION ALL SELECT b.doc_id, 0, coalesce((SELECT min(a) FROM spans WHERE spans.doc_id = b.doc_id), 1000000000) FROM b
+        ),
+        kept AS (SELECT b.doc_id, string_agg(substr(h, 2 * a + 1, 2 * (least(z, n) - a)), '' ORDER BY a) AS h FROM b JOIN parts USING (doc_id) GROUP BY 1),
+        cut AS (SELECT doc_id, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY 1)
+        SELECT b.doc_id, b.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256
+        FROM b JOIN kept USING (doc_id) LEFT JOIN cut USING (doc_id)
+    """,
     "op4_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (
@@ -105,4 +135,28 @@ ORACLE_SQL: dict[str, str] = {
             CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
         FROM d
     """,
+    "op10_line_dedup": """
+        WITH ln AS (
+            SELECT doc_id, i - 1 AS line, raw, list_filter(regexp_split_to_array(lower(raw), '[ \\t\\x0b\\x0c\\r]+'), lambda x: x <> '') AS w
+            FROM (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))
+        ),
+        d AS (SELECT w, any_value(len(w)) AS n, min(doc_id * 1000000 + line) AS first FROM ln WHERE len(w) >= 3 GROUP BY w),
+        e AS (SELECT *, list_reverse(w) AS r FROM d WHERE n >= 8),
+        pairs AS (
+            SELECT a.first, a.n AS n, b.n AS m, least(a.n, b.n) AS k, a.w AS x, b.w AS y, a.r AS xr, b.r AS yr
+            FROM e a JOIN (SELECT *, unnest([n - 1, n, n + 1]) AS near FROM e) b ON a.n = b.near AND b.first < a.first
+        ),
+        gone AS (
+            SELECT DISTINCT first FROM (
+                SELECT first, n, m, k, coalesce(list_position(list_transform(range(1, k + 1), lambda i: x[i] = y[i]), false) - 1, k) AS head,
+                    coalesce(list_position(list_transform(range(1, k + 1), lambda i: xr[i] = yr[i]), false) - 1, k) AS tail FROM pairs)
+            WHERE head + tail >= k - (n = m)::INT
+        ),
+        kept AS (
+            SELECT ln.doc_id, ln.line, ln.raw, NOT coalesce(d.first < ln.doc_id * 1000000 + ln.line OR g.first IS NOT NULL, false) AS stays
+            FROM ln LEFT JOIN d ON ln.w = d.w LEFT JOIN gone g ON d.first = g.first
+        )
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT stays) AS n_removed, sha256(coalesce(string_agg(raw, chr(10) ORDER BY line) FILTER (WHERE stays), '')) AS kept_sha256
+        FROM kept GROUP BY doc_id
+    """,
 }
