@@ -133,7 +133,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     made = sketches(docs, id_col, text_col)
     found = components(links(docs, made, id_col, text_col, percent, block))
     nodes = made.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("k1", "k2").agg(F.min("doc_id").alias("id"))
-    label = nodes.join(found, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component"))
+    # kept, so that the join below has two plain shuffles and a group of very many copies can be split
+    label = keep(nodes.join(found, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component")), "components")
     out = made.select("doc_id", "n", F.when(F.col("n") > 0, F.col("k1")).alias("k1"), "k2").join(label, ["k1", "k2"], "left")
     component = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component")), F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
