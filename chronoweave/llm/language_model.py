@@ -31,7 +31,7 @@ from .shared import keep, text_of
 from .tokens import U64, Words, mix, texts
 
 #: Tokens in a block; share of the training tokens from which a bigram is kept; discount; words in a shard.
-BLOCK, SHARE, DISCOUNT, SHARD = 800_000, 1e-5, 0.5, 600_000
+BLOCK, SHARE, DISCOUNT, SHARD = 500_000, 1.6e-5, 0.5, 500_000
 END = U64(0x454E44)
 _LEFT, _RIGHT = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
 
@@ -170,7 +170,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held:
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(keys), dtype=np.int64)
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 off, stream, vocab = _stream(row)
                 at, j = _pairs(off, stream, vocab, left, right, keys)
                 train = np.repeat(~np.frombuffer(row["held"], dtype=bool), np.diff(off))
