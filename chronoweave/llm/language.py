@@ -87,7 +87,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     named = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike("\\p{L}"))
     key = F.struct(F.xxhash64(id_col), F.col(id_col))
     ids = (
-        named.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), key.alias("key"), F.pmod(F.xxhash64(id_col), F.lit(61)).alias("salt"))
+        named.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), key.alias("key"), F.pmod(F.xxhash64(id_col), F.lit(16)).alias("salt"))
         .withColumn("n", F.row_number().over(Window.partitionBy("lang", "salt").orderBy("key"))).where(F.col("n") <= sample_per_lang)
         .withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("n") <= sample_per_lang)
         .select("id", "lang")
