@@ -7,7 +7,7 @@ pass over the result is needed to drop repeats.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = "program_id"
@@ -95,3 +95,14 @@ def context_text(spans: DataFrame, entries: DataFrame, margin: float = 45.0, key
     rows = F.array_sort(F.collect_list(F.struct("l_start_sec", "l_seq", "l_text")))
     text = met.groupBy(key, F.col("r_seq").alias("seq")).agg(F.array_join(F.transform(rows, lambda x: x["l_text"]), "\n").alias("context"))
     return spans.join(text, [key, "seq"], "left")
+
+
+def pair_by_position(left: DataFrame, right: DataFrame, order: str = "seq", key: str = KEY) -> DataFrame:
+    """The n-th row of left in each program with the n-th of right, whose columns get r_; nulls beyond its end."""
+    number = lambda df: df.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(order)))
+    return number(left).join(_prefixed(number(right), "r_", key).withColumnRenamed("r___n", "__n"), [key, "__n"], "left").drop("__n")
+
+
+def by_id(rows: DataFrame, originals: DataFrame, ids: str = "id") -> DataFrame:
+    """Rows with the columns of the original of their id; unknown ids go, repeated ones stay."""
+    return rows.join(originals, ids)

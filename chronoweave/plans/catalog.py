@@ -128,6 +128,19 @@ def j12(spark, sf_dir):
     return met.groupBy("program_id", "seq").agg(F.array_join(S.ordered(F.col("path"), "id"), ";").alias("paths"))
 
 
+@query("j11_restore_times", sql("SELECT h.program_id, h.seq, s.start_sec, s.end_sec FROM hint h JOIN seg s USING (program_id, seq) WHERE h.rank = 3"))
+def j11(spark, sf_dir):
+    rows = R.hints(spark, sf_dir).where("rank = 3").select("program_id", F.col("seq").alias("id"))
+    return joins.by_id(rows, R.segments(spark, sf_dir).select(F.col("seq").alias("id"), "start_sec", "end_sec")).select("program_id", F.col("id").alias("seq"), "start_sec", "end_sec")
+
+
+@query("j14_positional_pairs", sql("""
+    SELECT r.program_id, r.seq, coalesce(c.seq, -1) AS other FROM rng r LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY program_id ORDER BY seq) - 1 AS i FROM click) c ON r.program_id = c.program_id AND r.seq = c.i"""))
+def j14(spark, sf_dir):
+    out = joins.pair_by_position(R.ranges(spark, sf_dir), R.points(spark, sf_dir, "click"))
+    return out.select("program_id", "seq", F.coalesce("r_seq", F.lit(-1)).alias("other"))
+
+
 # Intervals
 
 _ISLANDS = """
@@ -594,6 +607,12 @@ def e12(spark, sf_dir):
     return evaluation.bootstrap(_daily(spark, sf_dir).where("broadcaster = 0"), "program_id", ["bf1_5", "pk"])
 
 
+@query("e16_start_boundaries", sql("""
+    SELECT program_id, count(*) AS n FROM (SELECT program_id, s - lag(s) OVER (PARTITION BY program_id ORDER BY s) AS d FROM (SELECT DISTINCT program_id, start_sec AS s FROM truth)) WHERE d IS NULL OR d > 0.5 GROUP BY 1"""))
+def e16(spark, sf_dir):
+    return evaluation.boundaries(R.topics(spark, sf_dir, 0), edges=("start_sec",)).groupBy("program_id").agg(F.count("*").alias("n"))
+
+
 # Baselines
 
 
@@ -601,7 +620,7 @@ def e12(spark, sf_dir):
 def b01(spark, sf_dir):
     from pyspark.sql import Window
 
-    e = R.table(spark, sf_dir, "embeddings").orderBy("label", "vec_id")
+    e = R.table(spark, sf_dir, "embeddings")
     w = Window.partitionBy("program_id").orderBy("label", "vec_id")
     units = e.select((F.col("vec_id") % 4).cast("string").alias("program_id"), "label", "vec_id", F.col("embedding").cast("array<double>").alias("v")).withColumn("seq", F.row_number().over(w) - 1)
     return baselines.embedding_boundaries(units.select("program_id", "seq", "v"))
