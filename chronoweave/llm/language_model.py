@@ -7,11 +7,12 @@ failure arc leads to the root at the state's backoff weight, where the word is e
 add-one probability. One pass from left to right carries the state and adds up the log probabilities;
 the weights are set so that each state's probabilities sum to one.
 
-The corpus becomes blocks of some million tokens: per text the ranks of its words in the block's own
-vocabulary. Vocabularies are dealt to shards by hash, where the training counts of every word are summed
-and sent back to the blocks that asked, so no task holds the corpus vocabulary. Bigrams are kept from a
-share SHARE of the training tokens on. A bigram that reaches it has three quarters of it in blocks where
-it has a quarter of it, which bounds the candidates by 4 / (3 SHARE); these are then counted exactly.
+The corpus becomes blocks of some hundred thousand tokens: per text the ranks of its words in the block's
+own vocabulary. Words and bigrams are dealt to shards by hash, where the training counts of each are summed
+and sent back to the blocks that asked, so no task holds the corpus vocabulary or the whole automaton. Every
+bigram of the training texts is kept, at any size of the corpus. Of the blocks that hold a bigram one owns
+it; the owned ones are summed for each state, which gives the weights of the failure arcs, and only these
+are asked for by the texts that fail somewhere.
 
 Null texts count as empty: one end. Rows with a null id are not held out. Repeated rows count as often
 as they come. If nothing can be learned, every token has probability 1.
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from .shared import keep, text_of
 from .tokens import U64, Words, mix, texts
 
-#: Tokens in a block; share of the training tokens from which a bigram is kept; discount; words in a shard.
-BLOCK, SHARE, DISCOUNT, SHARD = 500_000, 1.6e-5, 0.5, 500_000
+#: Tokens in a block; discount; words or bigrams in a shard, counted in every block that has them.
+BLOCK, DISCOUNT, SHARD = 500_000, 0.5, 500_000
 END = U64(0x454E44)
 _LEFT, _RIGHT = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
 
@@ -40,11 +41,11 @@ def pair_key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(h * _LEFT + w * _RIGHT + U64(1))
 
 
-BLOCK_SCHEMA = "block long, doc_ids binary, no_id binary, held binary, offsets binary, low binary, high binary, vocab binary, counts binary, n_train long, left binary, right binary, pairs binary"
+BLOCK_SCHEMA = "block long, doc_ids binary, no_id binary, held binary, offsets binary, low binary, high binary, vocab binary, counts binary, n_train long, n_pairs long"
 
 
-def blocks(docs: DataFrame, id_col: str, text_col: str, held: str, block_tokens: int = BLOCK, share: float = SHARE) -> DataFrame:
-    """Rows of BLOCK_SCHEMA: the texts as ranks, the vocabulary's training counts and the block's frequent bigrams."""
+def blocks(docs: DataFrame, id_col: str, text_col: str, held: str, block_tokens: int = BLOCK) -> DataFrame:
+    """Rows of BLOCK_SCHEMA: the texts as ranks, the vocabulary's training counts and the number of distinct bigrams."""
     names = [f.split()[0] for f in BLOCK_SCHEMA.split(", ")]
 
     def made(block: int, ids: list, flags: list, hashes: list) -> pa.RecordBatch:
@@ -59,17 +60,10 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, held: str, block_tokens:
         train = np.repeat(~np.array(flags, dtype=bool), size)
         counts = np.bincount(stream[train], minlength=len(vocab)).astype(np.uint32)
         n_train = int(train.sum())
-        # a text's first word follows the end that stands before it
-        before = np.concatenate([[0], stream[:-1]]).astype(np.uint64)
-        before[off[:-1]] = np.flatnonzero(vocab == END)[0]
-        key = (before << U64(32) | stream)[train]
-        pair, n = np.unique(key, return_counts=True)
-        often = n >= max(1, n_train * share / 4)
-        pair, n = pair[often], n[often]
+        pair = np.unique(_bigrams(off, stream.astype(np.int64), vocab))
         idn = np.array([0 if i is None else i for i in ids], dtype=np.int64)
         values = [
-            idn, np.array([i is None for i in ids]), np.array(flags, dtype=bool), off, (stream & 0xFFFF).astype(np.uint16), (stream >> 16).astype(np.uint16), vocab, counts, n_train,
-            vocab[(pair >> U64(32)).astype(np.int64)], vocab[(pair & U64(0xFFFFFFFF)).astype(np.int64)], n.astype(np.uint32),
+            idn, np.array([i is None for i in ids]), np.array(flags, dtype=bool), off, (stream & 0xFFFF).astype(np.uint16), (stream >> 16).astype(np.uint16), vocab, counts, n_train, len(pair),
         ]
         return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([v.tobytes()], pa.binary()) if isinstance(v, np.ndarray) else pa.array([v], pa.int64()) for v in values)], names)
 
@@ -94,20 +88,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, held: str, block_tokens:
             yield made(block, ids, flags, hashes)
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(held).alias("held"), text_of(text_col).alias("t"))
-    return keep(source.mapInArrow(run, BLOCK_SCHEMA), "lm-blocks")
-
-
-def _candidates(made: DataFrame, n_train: int, share: float) -> np.ndarray:
-    """(left, right) hashes of at most 4 / (3 share) bigrams, among them all that reach the share."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, n in zip(*(batch.column(c).to_pylist() for c in ("left", "right", "pairs"))):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(a, np.int64)), pa.array(np.frombuffer(b, np.int64)), pa.array(np.frombuffer(n, np.uint32).astype(np.int64))], ["l", "r", "n"])
-
-    rows = made.select("left", "right", "pairs").mapInArrow(each, "l long, r long, n long").groupBy("l", "r").agg(F.sum("n").alias("n")).where(F.col("n") >= 0.75 * share * n_train)
-    found = rows.select("l", "r").toArrow()
-    return np.stack([found["l"].to_numpy(), found["r"].to_numpy()], axis=1).astype(np.int64).view(np.uint64) if found.num_rows else np.zeros((0, 2), U64)
+    return keep(source.mapInArrow(run, BLOCK_SCHEMA), "lm-blocks", "zstd")
 
 
 def _stream(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,133 +97,177 @@ def _stream(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return get("offsets", np.int64), get("low", np.uint16).astype(np.int64) | get("high", np.uint16).astype(np.int64) << 16, get("vocab", U64)
 
 
-def _pairs(off: np.ndarray, stream: np.ndarray, vocab: np.ndarray, left: np.ndarray, right: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the stream whose bigram is among the sorted keys, and which one it is."""
+def _bigrams(off: np.ndarray, stream: np.ndarray, vocab: np.ndarray) -> np.ndarray:
+    """Of every token, the rank of the word before it and its own, in one number; a text's first word follows the end."""
     before = np.concatenate([[0], stream[:-1]])
     before[off[:-1]] = np.flatnonzero(vocab == END)[0]
-    is_left, is_right = np.isin(vocab, left), np.isin(vocab, right)
-    at = np.flatnonzero(is_left[before] & is_right[stream])
-    k = pair_key(vocab[before[at]], vocab[stream[at]])
-    j = np.searchsorted(keys, k)
-    ok = j < len(keys)
-    ok[ok] = keys[j[ok]] == k[ok]
-    return at[ok], j[ok]
-
-
-class Automaton:
-    """Arcs of kept bigrams (sorted keys, log10 p) and failure arcs (sorted states, log10 weight)."""
-
-    def __init__(self, pairs: np.ndarray, n: np.ndarray, words: np.ndarray, counts: np.ndarray, n_train: int, n_vocab: int, least: float):
-        kept = n >= max(1, least)
-        pairs, n = pairs[kept], n[kept].astype(np.float64)
-        keys = pair_key(pairs[:, 0], pairs[:, 1])
-        order = np.argsort(keys)
-        self.keys, pairs, n = keys[order], pairs[order], n[order]
-        count = lambda w: counts[np.searchsorted(words, w)].astype(np.float64)
-        self.left, self.right = np.unique(pairs[:, 0]), np.unique(pairs[:, 1])
-        if not len(pairs):
-            self.arcs, self.fail = np.zeros(0), np.zeros(0)
-            return
-        p = (n - DISCOUNT) / count(pairs[:, 0])
-        root = (count(pairs[:, 1]) + 1) / (n_train + n_vocab + 1)
-        state = np.searchsorted(self.left, pairs[:, 0])
-        over, under = 1 - np.bincount(state, p), 1 - np.bincount(state, root)
-        self.arcs, self.fail = np.log10(p), np.log10(np.maximum(over, 1e-12) / np.maximum(under, 1e-12))
+    return before.astype(U64) << U64(32) | stream.astype(U64)
+
+
+def _sides(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (pair >> U64(32)).astype(np.int64), (pair & U64(0xFFFFFFFF)).astype(np.int64)
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """64-bit numbers by byte planes: those of small or sorted numbers compress to little."""
+    return np.ascontiguousarray(np.ascontiguousarray(x, dtype="<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unpack(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, whose upper planes are empty."""
+    return _pack(np.diff(keys, prepend=U64(0)))
+
+
+def _unpack_keys(b: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(b), dtype=U64)
+
+
+def _edges(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Where each shard of the sorted keys begins."""
+    return np.searchsorted(((keys >> U64(32)) * U64(shards)) >> U64(32), np.arange(shards + 1))
 
 
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: str = "held_out", block_tokens: int = BLOCK, share: float = SHARE, shard_words: int = SHARD) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: str = "held_out", block_tokens: int = BLOCK, shard_words: int = SHARD) -> DataFrame:
     """OUT for every row; docs has a boolean column `held` of the rows that aren't learned from."""
     spark = docs.sparkSession
-    made = blocks(docs, id_col, text_col, held, block_tokens, share)
-    size = made.agg(F.sum("n_train").alias("n"), F.sum(F.length("vocab") / 8).alias("words")).first()
+    made = blocks(docs, id_col, text_col, held, block_tokens)
+    size = made.agg(F.sum("n_train").alias("n"), F.sum(F.length("vocab") / 8).alias("words"), F.sum("n_pairs").alias("pairs"), F.count("*").alias("blocks")).first()
     if size["words"] is None:
         return spark.createDataFrame([], OUT)
-    n_train, shards = int(size["n"]), max(1, int(-(-size["words"] // shard_words)))
-    cand = _candidates(made, n_train, share)
-    order = np.argsort(pair_key(cand[:, 0], cand[:, 1]))
-    cand = cand[order]
-    keys, left, right = pair_key(cand[:, 0], cand[:, 1]), np.unique(cand[:, 0]), np.unique(cand[:, 1])
-    asked = np.unique(np.append(cand.ravel(), END))
-
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(keys), dtype=np.int64)
+    n_train = int(size["n"])
+    # shards of words first, then those of bigrams
+    w_shards, p_shards = (max(1, int(-(-size[k] // shard_words))) for k in ("words", "pairs"))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 off, stream, vocab = _stream(row)
-                at, j = _pairs(off, stream, vocab, left, right, keys)
                 train = np.repeat(~np.frombuffer(row["held"], dtype=bool), np.diff(off))
-                total += np.bincount(j[train[at]], minlength=len(keys))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["j", "n"])
-
-    counted = made.select("held", "offsets", "low", "high", "vocab").mapInArrow(count_pairs, "j long, n long").groupBy("j").agg(F.sum("n").alias("n")).toArrow()
-    n = np.zeros(len(keys), dtype=np.int64)
-    n[counted["j"].to_numpy()] = counted["n"].to_numpy()
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, vocab, counts in zip(*(batch.column(c).to_pylist() for c in ("block", "vocab", "counts"))):
-                v, c = np.frombuffer(vocab, U64), np.frombuffer(counts, np.uint32)
-                o = np.argsort(v)
-                v, c = v[o], c[o]
-                edge = np.searchsorted(((v >> U64(32)) * U64(shards)) >> U64(32), np.arange(shards + 1))
-                some = [s for s in range(shards) if edge[s] < edge[s + 1]]
-                cut = lambda x: pa.array([x[edge[s] : edge[s + 1]].tobytes() for s in some], pa.binary())  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([block] * len(some), pa.int64()), cut(v), cut(c)], ["shard", "block", "v", "c"])
+                pair, inverse = np.unique(_bigrams(off, stream, vocab), return_inverse=True)
+                left, right = _sides(pair)
+                shard, v, c = [], [], []
+                for keys, n, first, shards in (
+                    (vocab, np.frombuffer(row["counts"], np.uint32), 0, w_shards),
+                    (pair_key(vocab[left], vocab[right]), np.bincount(inverse[train], minlength=len(pair)), w_shards, p_shards),
+                ):
+                    o = np.argsort(keys)
+                    keys, n = keys[o], n[o]
+                    edge = _edges(keys, shards)
+                    some = np.flatnonzero(np.diff(edge))
+                    shard += (some + first).tolist()
+                    v += [_pack_keys(keys[edge[s] : edge[s + 1]]) for s in some]
+                    c += [_pack(n[edge[s] : edge[s + 1]]) for s in some]
+                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array([row["block"]] * len(shard), pa.int64()), pa.array(v, pa.binary()), pa.array(c, pa.binary())], ["shard", "block", "v", "c"])
 
     def merge(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        v = [np.frombuffer(x, U64) for x in pdf["v"]]
-        word, inverse = np.unique(np.concatenate(v), return_inverse=True)
-        total = np.bincount(inverse, np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["c"]])).astype(np.int64)
-        back = np.split(total[inverse].astype(np.uint64), np.cumsum([len(x) for x in v])[:-1])
-        some = np.isin(word, asked)
+        pdf = pdf.sort_values("block")
+        v = [_unpack_keys(x) for x in pdf["v"]]
+        at = np.cumsum([len(x) for x in v])
+        _, first, inverse = np.unique(np.concatenate(v), return_index=True, return_inverse=True)
+        total = np.bincount(inverse, np.concatenate([_unpack(x) for x in pdf["c"]])).astype(np.int64)
+        own = np.zeros(len(inverse), dtype=bool)
+        own[first[total > 0]] = True
+        own = np.split(own, at[:-1])
         return pd.DataFrame({
-            "shard": key[0], "block": [*pdf["block"], -1], "c": [*(x.tobytes() for x in back), total[some].astype(np.uint64).tobytes()],
-            "words": [*([b""] * len(v)), word[some].tobytes()], "known": [*([0] * len(v)), int((total > 0).sum())],
+            "shard": key[0], "block": pdf["block"].to_numpy(), "c": [_pack(x) for x in np.split(total[inverse], at[:-1])],
+            "own": [np.packbits(x).tobytes() for x in own], "n_own": [int(x.sum()) for x in own],
         })
 
     answers = keep(
-        made.select("block", "vocab", "counts").mapInArrow(deal, "shard int, block long, v binary, c binary")
-        .groupBy("shard").applyInPandas(merge, "shard int, block long, c binary, words binary, known long"), "lm-counts",
+        made.select("block", "held", "offsets", "low", "high", "vocab", "counts").mapInArrow(deal, "shard int, block long, v binary, c binary")
+        .groupBy("shard").applyInPandas(merge, "shard int, block long, c binary, own binary, n_own long"), "lm-counts", "zstd",
     )
-    told = answers.where("block = -1").select("words", "c", "known").collect()
-    words = np.concatenate([np.frombuffer(r["words"], U64) for r in told])
-    counts = np.concatenate([np.frombuffer(r["c"], np.uint64) for r in told]).astype(np.int64)
-    o = np.argsort(words)
-    n_vocab = sum(r["known"] for r in told)
-    model = Automaton(cand, n, words[o], counts[o], n_train, n_vocab, share * n_train)
+    n_vocab = int(answers.where(F.col("shard") < w_shards).agg(F.sum("n_own")).first()[0])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # Each block's texts with all but the failure arcs (shard -1), and to every shard of words the sums
+    # of the states whose bigrams the block owns, and which texts fail in a state how often.
+    names = ["shard", "block", "doc_ids", "no_id", "held", "tokens", "known", "base", "sure", "v", "c", "arcs", "mass", "ask", "ask_doc", "times"]
+    parts = "shard int, block long, " + ", ".join(f"{x} binary" for x in names[2:])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 off, stream, vocab = _stream(row)
-                c = np.empty(len(vocab), dtype=np.int64)
-                c[np.argsort(vocab)] = np.concatenate([np.frombuffer(x["c"], np.uint64) for x in sorted(row["told"], key=lambda x: x["shard"])]).astype(np.int64)
+                told = sorted(row["told"], key=lambda x: x["shard"])
+                pair, inverse = np.unique(_bigrams(off, stream, vocab), return_inverse=True)
+                left, right = _sides(pair)
+                c, n, own = np.empty(len(vocab), np.int64), np.empty(len(pair), np.int64), np.empty(len(pair), bool)
+                c[np.argsort(vocab)] = np.concatenate([_unpack(x["c"]) for x in told if x["shard"] < w_shards])
+                o, mine = np.argsort(pair_key(vocab[left], vocab[right])), [x for x in told if x["shard"] >= w_shards]
+                n[o] = np.concatenate([_unpack(x["c"]) for x in mine])
+                own[o] = np.concatenate([np.unpackbits(np.frombuffer(x["own"], np.uint8), count=len(x["c"]) // 8) for x in mine])
                 root = np.log10((c + 1) / (n_train + n_vocab + 1))[stream]
-                held_out, start = np.frombuffer(row["held"], dtype=bool), off[:-1]
-                # each token in its state: failure arc and root, or the bigram's arc
-                fail = np.zeros(len(vocab))
-                j = np.searchsorted(model.left, vocab)
-                ok = j < len(model.left)
-                ok[ok] = model.left[j[ok]] == vocab[ok]
-                fail[ok] = model.fail[j[ok]]
-                before = np.concatenate([[0], stream[:-1]])
-                before[start] = np.flatnonzero(vocab == END)[0]
-                logp = root + fail[before]
-                at, j = _pairs(off, stream, vocab, model.left, model.right, model.keys)
-                logp[at] = model.arcs[j]
-                ids = pa.array(np.frombuffer(row["doc_ids"], np.int64), mask=np.frombuffer(row["no_id"], dtype=bool))
-                m = len(start)
+                # each token's arc, or its root where it takes the failure arc first
+                arc = np.log10(np.maximum(n - DISCOUNT, DISCOUNT) / np.maximum(c[left], 1))
+                fails = n[inverse] == 0
+                sure, start = np.where(fails, root, arc[inverse]), off[:-1]
+                values = {
+                    "doc_ids": row["doc_ids"], "no_id": row["no_id"], "held": row["held"], "tokens": np.diff(off).tobytes(), "known": np.add.reduceat((c[stream] > 0).astype(np.int64), start).tobytes(),
+                    "base": np.add.reduceat(root, start).tobytes(), "sure": np.add.reduceat(sure, start).tobytes(),
+                }
+                rows = [{"shard": -1, "block": row["block"], **values}]
+                arcs, mass = np.bincount(left[own], minlength=len(vocab)), np.bincount(left[own], c[right[own]] + 1, minlength=len(vocab)).astype(np.int64)
+                at = np.flatnonzero(fails)
+                asked, times = np.unique((np.searchsorted(off, at, side="right") - 1).astype(U64) << U64(32) | left[inverse[at]].astype(U64), return_counts=True)
+                ask_doc, ask = _sides(asked)
+                some = np.flatnonzero((arcs > 0) | (np.bincount(ask, minlength=len(vocab)) > 0))
+                some = some[np.argsort(vocab[some])]
+                place = np.zeros(len(vocab), np.int64)
+                place[some] = np.arange(len(some))
+                by = np.argsort(place[ask], kind="stable")
+                ask, ask_doc, times = place[ask][by], ask_doc[by], times[by]
+                edge = _edges(vocab[some], w_shards)
+                ask_edge = np.searchsorted(ask, edge)
+                for s in np.flatnonzero(np.diff(edge)):
+                    k, q = some[edge[s] : edge[s + 1]], slice(ask_edge[s], ask_edge[s + 1])
+                    rows.append({"shard": int(s), "block": row["block"], "v": _pack_keys(vocab[k]), "c": _pack(c[k]), "arcs": _pack(arcs[k]), "mass": _pack(mass[k]), "ask": _pack(ask[q] - edge[s]), "ask_doc": _pack(ask_doc[q]), "times": _pack(times[q])})
+                yield pa.RecordBatch.from_pydict({x: [r.get(x) for r in rows] for x in names}, schema=schema)
+
+    schema = pa.schema([("shard", pa.int32()), ("block", pa.int64()), *((x, pa.binary()) for x in names[2:])])
+    # about a block in a partition, so that no Arrow batch holds many
+    told = answers.repartition(size["blocks"], "block").groupBy("block").agg(F.collect_list(F.struct("shard", "c", "own")).alias("told"))
+    walked = keep(made.drop("counts", "n_train", "n_pairs").repartition(size["blocks"], "block").hint("merge").join(told, "block").mapInArrow(walk, parts), "lm-walks", "zstd")
+
+    def fail(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        v = [_unpack_keys(x) for x in pdf["v"]]
+        c, arcs, mass = ([_unpack(x) for x in pdf[k]] for k in ("c", "arcs", "mass"))
+        word, first, inverse = np.unique(np.concatenate(v), return_index=True, return_inverse=True)
+        c = np.concatenate(c)[first]
+        arcs, mass = np.bincount(inverse, np.concatenate(arcs)), np.bincount(inverse, np.concatenate(mass))
+        # every bigram of a state is kept, so its arcs give away no more than their discounts
+        over, under = DISCOUNT * arcs / np.maximum(c, 1), 1 - mass / (n_train + n_vocab + 1)
+        weight = np.where(arcs > 0, np.log10(np.maximum(over, 1e-12) / np.maximum(under, 1e-12)), 0.0)
+        out = {"block": [], "texts": [], "more": []}
+        for block, at, ask, ask_doc, times in zip(pdf["block"], np.split(inverse, np.cumsum([len(x) for x in v])[:-1]), *(map(_unpack, pdf[k]) for k in ("ask", "ask_doc", "times"))):
+            if len(ask):
+                text, k = np.unique(ask_doc, return_inverse=True)
+                out["block"].append(block)
+                out["texts"].append(text.astype(np.int64).tobytes())
+                out["more"].append(np.bincount(k, times * weight[at[ask.astype(np.int64)]]).tobytes())
+        return pd.DataFrame(out).astype({"block": "int64"})
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                get = lambda c, t: np.frombuffer(row[c], dtype=t)  # noqa: B023, E731
+                logp = get("sure", np.float64).copy()
+                for x in sorted(row["told"] or [], key=lambda x: x["shard"]):
+                    logp[np.frombuffer(x["texts"], np.int64)] += np.frombuffer(x["more"], np.float64)
+                ids = pa.array(get("doc_ids", np.int64), mask=get("no_id", bool))
                 yield pa.RecordBatch.from_arrays([
-                    ids, pa.array(held_out), pa.array(np.diff(off)), pa.array(np.add.reduceat((c[stream] > 0).astype(np.int64), start)), pa.array(np.full(m, n_train)),
-                    pa.array(np.add.reduceat(root, start)), pa.array(np.add.reduceat(logp, start)),
+                    ids, pa.array(get("held", bool)), pa.array(get("tokens", np.int64)), pa.array(get("known", np.int64)), pa.array(np.full(len(ids), n_train)), pa.array(get("base", np.float64)), pa.array(logp),
                 ], [f.split()[0] for f in OUT.split(", ")])
 
-    told_block = answers.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("shard", "c")).alias("told"))
-    whole = made.drop("counts", "left", "right", "pairs", "n_train").hint("merge").join(told_block, "block")
-    return whole.mapInArrow(run, OUT)
+    failed = walked.where("shard >= 0").select("shard", "block", *names[9:]).groupBy("shard").applyInPandas(lambda key, pdf: fail(key, pdf).assign(shard=key[0]), "block long, texts binary, more binary, shard int")
+    told_fail = failed.groupBy("block").agg(F.collect_list(F.struct("shard", "texts", "more")).alias("told"))
+    whole = walked.where("shard = -1").select("block", *names[2:9]).hint("merge").join(told_fail, "block", "left")
+    return whole.mapInArrow(finish, OUT)

@@ -18,11 +18,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def keep(df: DataFrame, tag: str) -> DataFrame:
+def keep(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: this cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/chronoweave/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -391,6 +391,14 @@ def test_language_model(docs, odd, empty):
     assert language_model.score(empty.select("doc_id", "text", F.lit(False).alias("held_out"))).count() == 0
 
 
+def test_a_rare_bigram_is_kept_in_a_large_corpus(spark):
+    filler = " ".join(f"w{i * i % 997}" for i in range(140_000))
+    rows = [(1, filler, False), (2, "rare pair", False), (3, "rare pair", True), (4, "pair rare", True)]
+    got = table(language_model.score(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean"), block_tokens=50_000, shard_words=20_000))
+    assert got[3]["train_tokens"] == 140_004
+    assert abs(got[3]["score"] - (math.log10(0.5 / 2) + 2 * math.log10(0.5))) < 1e-6 and got[4]["score"] < got[3]["score"] - 5
+
+
 # 10 lines
 
 
