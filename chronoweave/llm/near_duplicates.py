@@ -24,8 +24,8 @@ from .components import components
 from .shared import keep, shuffle_partitions, text_of
 from .tokens import U64, Words, mix, shingles, texts
 
-#: Linked if PERCENT * union <= 100 * intersection. Estimates below FLOOR, over four standard errors lower, aren't confirmed.
-PERCENT, FLOOR, BLOCK = 85, 0.66, 600
+#: Linked if PERCENT * union <= 100 * intersection. Registers, bands and the floor of estimates that are confirmed follow from it.
+PERCENT, BLOCK = 85, 600
 
 
 def _sets(column: pa.Array) -> Iterator[np.ndarray]:
@@ -35,7 +35,7 @@ def _sets(column: pa.Array) -> Iterator[np.ndarray]:
             yield np.unique(h[off[i] : off[i + 1]])
 
 
-def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n, k1 and k2 (together the set's identity) and band keys of every row."""
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
@@ -45,7 +45,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             for s in _sets(batch.column("t")):
                 n.append(len(s))
                 keys.append((s.sum(dtype=U64), mix(s ^ U64(0x5BF03635)).sum(dtype=U64)) if len(s) else (U64(0), U64(0)))
-                bands.append(sketch.band_keys(sketch.registers(s)) if len(s) else np.zeros(0, np.int64))
+                bands.append(sketch.band_keys(sketch.registers(s, sketch.size_for(percent))) if len(s) else np.zeros(0, np.int64))
             k = np.array(keys, dtype=U64).reshape(-1, 2).view(np.int64)
             off = np.cumsum([0, *map(len, bands)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64)))
@@ -55,7 +55,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return keep(source.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, bands array<long>"), "sketches")
 
 
-def forest(sets: list[np.ndarray], ids: np.ndarray, percent: int = PERCENT, floor: float = FLOOR) -> Iterator[tuple[int, int]]:
+def forest(sets: list[np.ndarray], ids: np.ndarray, percent: int = PERCENT) -> Iterator[tuple[int, int]]:
     """Links that connect what all confirmed links among these sets connect.
 
     A search from each unvisited set looks only at sets not yet visited, so a group of mutual copies
@@ -63,7 +63,7 @@ def forest(sets: list[np.ndarray], ids: np.ndarray, percent: int = PERCENT, floo
     """
     if len(sets) < 2:
         return
-    regs = np.stack([sketch.registers(s) for s in sets])
+    regs, floor = np.stack([sketch.registers(s, sketch.size_for(percent)) for s in sets]), sketch.floor_for(percent)
     size = np.array([len(s) for s in sets], dtype=np.int64)
     words, inverse = np.unique(np.concatenate(sets), return_inverse=True)
     off = np.concatenate([[0], np.cumsum(size)])
@@ -130,7 +130,7 @@ def links(docs: DataFrame, made: DataFrame, id_col: str = "doc_id", text_col: st
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
-    made = sketches(docs, id_col, text_col)
+    made = sketches(docs, id_col, text_col, percent)
     found = components(links(docs, made, id_col, text_col, percent, block))
     nodes = made.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("k1", "k2").agg(F.min("doc_id").alias("id"))
     # kept, so that the join below has two plain shuffles and a group of very many copies can be split

@@ -8,23 +8,50 @@ locality-sensitive keys; and the counts of larger, smaller and equal registers g
 
 from __future__ import annotations
 
+import functools
+import math
+
 import numpy as np
 
 from .tokens import U64, mix
 
-#: Rows in a band times bands: at a similarity of 0.85 a pair misses every band with probability (1 - 0.85**4)**18 < 2e-6.
-ROWS, BANDS = 4, 18
-SIZE = ROWS * BANDS
+#: Rows in a band; the chance at most that a pair at the threshold misses every band, or is estimated below the floor.
+ROWS, MISS = 4, 2e-6
 BASE, RATE = 1.001, 20.0
-_A = mix(np.arange(1, SIZE + 1, dtype=U64) * U64(0xD6E8FEB86659FD93)) | U64(1)
-_BAND = mix(np.arange(5000, 5000 + BANDS, dtype=U64))
 
 
-def registers(elements: np.ndarray) -> np.ndarray:
+@functools.cache
+def size_for(percent: int) -> int:
+    """Registers for a threshold: as many bands as it takes, 18 for 85 and 25 for 80 percent."""
+    out = 1 - (percent / 100) ** ROWS
+    return ROWS * max(1, math.ceil(math.log(MISS) / math.log(out)) if out > 0 else 1)
+
+
+@functools.cache
+def floor_for(percent: int) -> float:
+    """The share of equal registers that a pair at the threshold falls below with a chance of MISS at most (binomial)."""
+    m, p, below, k = size_for(percent), percent / 100, 0.0, 0
+    while k < m:
+        below += math.comb(m, k) * p**k * (1 - p) ** (m - k)
+        if below > MISS:
+            break
+        k += 1
+    return min(k / m, 0.95 * p)
+
+
+SIZE = size_for(85)
+
+
+@functools.cache
+def _multipliers(size: int) -> np.ndarray:
+    return mix(np.arange(1, size + 1, dtype=U64) * U64(0xD6E8FEB86659FD93)) | U64(1)
+
+
+def registers(elements: np.ndarray, size: int = SIZE) -> np.ndarray:
     """Of a set of 64-bit hashes, which isn't empty."""
-    least = np.full(SIZE, ~U64(0), dtype=U64)
+    least = np.full(size, ~U64(0), dtype=U64)
     for lo in range(0, len(elements), 4096):
-        x = elements[lo : lo + 4096, None] * _A
+        x = elements[lo : lo + 4096, None] * _multipliers(size)
         x ^= x >> U64(32)
         x *= U64(0xD6E8FEB86659FD93)
         np.minimum(least, x.min(axis=0), out=least)
@@ -39,9 +66,9 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def band_keys(regs: np.ndarray) -> np.ndarray:
     """A 64-bit key for each band."""
-    r = regs.reshape(BANDS, ROWS).astype(U64)
+    r = regs.reshape(-1, ROWS).astype(U64)
     packed = (r[:, 0] << U64(48)) | (r[:, 1] << U64(32)) | (r[:, 2] << U64(16)) | r[:, 3]
-    return mix(packed ^ _BAND).view(np.int64)
+    return mix(packed ^ mix(np.arange(5000, 5000 + len(r), dtype=U64))).view(np.int64)
 
 
 def _likelihood(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray):

@@ -20,6 +20,10 @@ from chronoweave.llm.shared import crc_mod, keep
 from chronoweave.session import ready
 
 
+#: Percent of shared shingles from which documents are near-duplicates here; op2_near_duplicates takes 85.
+NEAR = 80
+
+
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     held = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
     model = language.fit(docs.where(~held))
@@ -34,7 +38,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = near_duplicates.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    gone = near_duplicates.near_duplicates(docs, percent=NEAR).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
 
 

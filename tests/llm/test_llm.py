@@ -167,6 +167,28 @@ def test_estimates_and_merging():
     assert abs(est - 0.8) < 0.2
 
 
+def test_the_pipeline_takes_documents_from_80_percent_on(spark):
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(104)]
+    two = [*base[:20], "x", *base[21:70], "y", *base[71:]]
+    three = [*base[:20], "x", *base[21:50], "z", *base[51:80], "y", *base[81:]]
+    df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(two)), (3, " ".join(three))], "doc_id long, text string")
+    a, b, c = (shingle_set(" ".join(w)) for w in (base, two, three))
+    assert 80 <= 100 * len(a & b) / len(a | b) < 85 and 100 * len(a & c) / len(a | c) < 80 and 100 * len(b & c) / len(b | c) < 80
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()} == {1, 3}
+    assert all(r["kept"] for r in near_duplicates.near_duplicates(df, percent=85).collect())
+
+
+@pytest.mark.parametrize("percent,bands", [(80, 25), (85, 18)])
+def test_bands_and_floor_follow_from_the_threshold(percent, bands):
+    m, p = sketch.size_for(percent), percent / 100
+    assert m == bands * sketch.ROWS and (1 - p**sketch.ROWS) ** bands < 2e-6
+    below = round(sketch.floor_for(percent) * m)
+    assert sum(math.comb(m, k) * p**k * (1 - p) ** (m - k) for k in range(below)) < 2e-6
+    assert len(sketch.band_keys(sketch.registers(np.arange(1, 9, dtype=np.uint64), m))) == bands
+
+
 # 3 packing
 
 
