@@ -8,7 +8,8 @@ empty id. Extra columns are ignored; an empty table writes no archive.
 
 The reader checks every member and record (inflate checksum, version line, lengths, block and payload
 digests). After a failed check it searches for the next gzip member or version line that parses, goes
-on from there, and logs the bytes in between as a quarantined gap, so no byte is passed over silently.
+on from there, and logs the bytes in between as a quarantined gap, so no byte is passed over silently. Of a
+member that fails, the good records among what inflates are given too, with the member's place.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from .shared import keep, shared_dir
 
 VERSION = b"WARC/1.1"
+VERSION_LINE = re.compile(rb"WARC/\d+\.\d+\r\n")
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 ARCHIVE_BYTES = 16 << 20
@@ -139,30 +141,49 @@ class Bad(Exception):
     pass
 
 
-def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
-    """The member at this offset and the offset after it."""
+def _inflate(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What inflates of the member at this offset, the offset after it (-1 if its end isn't found) and what is wrong, if anything."""
     z, out, view = zlib.decompressobj(31), [], memoryview(data)
-    try:
-        while not z.eof and at < len(data):
+    while not z.eof and at < len(data):
+        before = z.copy()
+        try:
             out.append(z.decompress(view[at : at + 16384]))
-            at += 16384
-    except zlib.error as e:
-        raise Bad(f"gzip: {e}") from None
+        except zlib.error as e:
+            # the step again, byte by byte, for what comes before the damage
+            try:
+                for i in range(at, min(at + 16384, len(data))):
+                    out.append(before.decompress(view[i : i + 1]))
+            except zlib.error:
+                pass
+            return b"".join(out), -1, f"gzip: {e}"
+        at += 16384
     if not z.eof:
-        raise Bad("gzip: truncated member")
-    return b"".join(out), min(at, len(data)) - len(z.unused_data)
+        return b"".join(out), -1, "gzip: truncated member"
+    return b"".join(out), min(at, len(data)) - len(z.unused_data), ""
+
+
+def _records(out: bytes) -> tuple[list, str]:
+    """The good records of a member, and what is wrong with the first bad one, if any."""
+    some, at, wrong = [], 0, "" if out else "empty member"
+    while 0 <= at < len(out):
+        try:
+            head, block, at = _record(out, at)
+            some.append((head, block))
+        except Bad as e:
+            wrong, at = wrong or str(e), out.find(b"WARC/", at + 1)
+    return some, wrong
 
 
 def _record(data: bytes, at: int) -> tuple[dict, bytes, int]:
     """Headers, block and the offset after the record that begins here."""
     if not data.startswith(b"WARC/", at):
         raise Bad("no version line")
-    stop = data.find(b"\r\n\r\n", at, at + (1 << 20))
+    if not VERSION_LINE.match(data, at):
+        raise Bad("malformed version line")
+    stop = data.find(b"\r\n\r\n", at)
     if stop < 0:
         raise Bad("headers don't end")
     lines = data[at:stop].decode("utf-8", "replace").split("\r\n")
-    if not re.fullmatch(r"WARC/\d+\.\d+", lines[0]):
-        raise Bad("malformed version line")
     head = {}
     for line in lines[1:]:
         name, colon, value = line.partition(":")
@@ -192,21 +213,26 @@ def salvage(data: bytes) -> Iterator[tuple]:
     while at < n:
         try:
             if data.startswith(MAGIC, at):
-                out, end = _inflate(data, at)
-                some, inner = [], 0
-                while inner < len(out):
-                    head, block, inner = _record(out, inner)
-                    some.append((head, block))
-                if not some:
-                    raise Bad("empty member")
+                out, end, wrong = _inflate(data, at)
+                some, bad = _records(out)
+                if wrong or bad:
+                    raise Bad(wrong or bad)
             else:
+                some, end = [], -1
                 head, block, end = _record(data, at)
                 some = [(head, block)]
         except Bad as e:
+            # good records of a bad member lie in a gap, which says that not all of the member could be read
+            nexts = [i for i in (data.find(MAGIC, at + 1), data.find(b"WARC/", at + 1)) if i >= 0]
+            after = end if end >= 0 else min(nexts, default=n)
+            if some and lost is not None:
+                yield "gap", lost, at, reason, b""
+                lost = None
+            for head, block in some:
+                yield "record", at, after, head, block
             if lost is None:
                 lost, reason = at, str(e)
-            nexts = [i for i in (data.find(MAGIC, at + 1), data.find(b"WARC/", at + 1)) if i >= 0]
-            at = min(nexts, default=n)
+            at = after
             continue
         if lost is not None:
             yield "gap", lost, at, reason, b""

@@ -273,6 +273,25 @@ def test_salvage(gzip):
     assert [x[0] for x in warc.salvage(b"")] == [] and [x[0] for x in warc.salvage(b"garbage")] == ["gap"]
 
 
+def test_salvage_inside_a_member():
+    ids = lambda data: [x[3]["warc-record-id"].rpartition(":")[2][:-1] for x in warc.salvage(data) if x[0] == "record"]
+    parts = [warc.record(str(i), f"http://{i}", random.Random(i).randbytes(3000), None) for i in range(30)]
+
+    def member(some):
+        z = zlib.compressobj(6, zlib.DEFLATED, 31)
+        return z.compress(b"".join(some)) + z.flush()
+
+    hurt = bytearray(parts[9])
+    hurt[-100] ^= 0xFF
+    rest = member(parts[20:])
+    data = member([*parts[:9], bytes(hurt), *parts[10:20]]) + rest
+    assert ids(data) == [str(i) for i in range(30) if i != 9] and sum(x[0] == "gap" for x in warc.salvage(data)) == 1
+    assert ids(rest[: len(rest) // 2]) == ["20", "21", "22", "23", "24"][: len(ids(rest[: len(rest) // 2]))] and len(ids(rest[: len(rest) // 2])) >= 4
+    assert len(ids(rest[:-8] + bytes(8))) == 10
+    long = warc.record("1", "http://" + "x" * (1 << 20), b"page", None)
+    assert ids(long) == ids(member([long])) == ["1"]
+
+
 # 5 nearest neighbours
 
 
