@@ -48,7 +48,8 @@ def round2(x: Col) -> Column:
 def mid_frame_time(start: Col, end: Col, media_duration: Col | None = None, inset: float = 0.25, tail: float = 0.5) -> Column:
     """Time of a scene's representative frame: its middle, off the edges where it lasts over a second."""
     s, e = _c(start), _c(end)
-    mid = (s + e) / 2.0
+    # in decimals, so that a half-way case of the middle is one in both, and rounds to even
+    mid = ((s.cast("decimal(24,6)") + e.cast("decimal(24,6)")) / 2).cast("double")
     t = F.when(e - s > 1.0, F.greatest(s + inset, F.least(mid, e - inset))).otherwise(mid)
     t = F.least(t, e)
     if media_duration is not None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,42 +60,67 @@ def embedding_boundaries(units: DataFrame, unit_sec: float = 15.0, width: int =
 
 
 def token_blocks(texts: DataFrame, size: int = 20, text: str = "text", key: str = KEY) -> DataFrame:
-    """key, block, term, n: word counts of pseudo-sentences of `size` words, words in order of the texts' seq."""
+    """key, block, term, n: word counts of pseudo-sentences of `size` words, words in order of the texts' seq.
+
+    A running sum of word counts over the texts places each text's words, so no word passes a window.
+    """
     words = F.filter(F.split(F.lower(F.col(text)), "[^\\p{L}\\p{N}]+"), lambda x: x != "")
-    each = texts.select(key, "seq", F.posexplode(words).alias("i", "term"))
-    w = Window.partitionBy(key).orderBy("seq", "i")
-    return each.withColumn("block", F.floor((F.row_number().over(w) - 1) / F.lit(size)).cast("int")).groupBy(key, "block", "term").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    each = texts.select(key, "seq", words.alias("w")).withColumn("before", F.coalesce(F.sum(F.size("w")).over(w), F.lit(0)))
+    placed = each.select(key, "before", F.posexplode("w").alias("i", "term"))
+    return placed.withColumn("block", F.floor((F.col("before") + F.col("i")) / F.lit(size)).cast("int")).groupBy(key, "block", "term").agg(F.count("*").alias("n"))
+
 
+#: Blocks whose gaps one task computes at once.
+CHUNK = 256
 
-def cohesion_gaps(blocks: DataFrame, width: int = 10, key: str = KEY) -> DataFrame:
-    """key, gap, similarity: cosine of the word counts of the width blocks before and after each gap."""
+
+def cohesion_gaps(blocks: DataFrame, width: int = 10, key: str = KEY, chunk: int = CHUNK) -> DataFrame:
+    """key, gap, similarity: cosine of the word counts of the width blocks before and after each gap.
+
+    Gaps are dealt out in chunks; a chunk gets its own blocks and the width blocks on either side, so a
+    program is spread over tasks. In a chunk, the counts on the two sides of each gap are differences of
+    running sums over the blocks.
+    """
     n = blocks.groupBy(key).agg((F.max("block") + 1).alias("__n"))
     each = blocks.join(n, key).where(F.col("__n") >= 2 * width)
-    low, high = F.greatest(F.col("block") - width + 1, F.lit(width)), F.least(F.col("block") + width, F.col("__n") - width)
-    spread = each.where(low <= high).select(key, F.explode(F.sequence(low, high)).alias("gap"), "block", "term", "n")
-    side = spread.groupBy(key, "gap", "term").agg(F.sum(F.when(F.col("block") < F.col("gap"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("block") >= F.col("gap"), F.col("n")).otherwise(0)).alias("b"))
-    out = side.groupBy(key, "gap").agg(F.sum(F.col("a") * F.col("b")).alias("ab"), F.sum(F.col("a") * F.col("a")).alias("aa"), F.sum(F.col("b") * F.col("b")).alias("bb"))
-    norm = F.sqrt(F.col("aa").cast("double") * F.col("bb").cast("double"))
-    return out.select(key, "gap", F.when(norm > 0, F.col("ab") / norm).otherwise(0.0).alias("similarity"))
+    low, high = F.greatest(F.col("block") - width + 1, F.lit(0)), F.col("block") + width
+    at = F.explode(F.sequence(F.floor(low / F.lit(chunk)).cast("int"), F.floor(high / F.lit(chunk)).cast("int")))
+    dealt = each.select(key, "__n", at.alias("__chunk"), "block", "term", F.col("n").cast("long").alias("n"))
+
+    def run(k, pdf: pd.DataFrame) -> pd.DataFrame:
+        total, first = int(pdf["__n"].iloc[0]), int(k[1]) * chunk
+        gaps = np.arange(max(first, width), min(first + chunk, total - width + 1))
+        if not len(gaps):
+            return pd.DataFrame({key: pd.Series([], dtype=object), "gap": pd.Series([], dtype="int32"), "similarity": pd.Series([], dtype="float64")})
+        zero = int(gaps[0]) - width
+        term = pd.factorize(pdf["term"])[0]
+        sums = np.zeros((int(gaps[-1]) + width - zero + 1, int(term.max()) + 1))
+        block = pdf["block"].to_numpy() - zero
+        inside = (block >= 0) & (block < len(sums) - 1)
+        np.add.at(sums, (block[inside] + 1, term[inside]), pdf["n"].to_numpy()[inside])
+        np.cumsum(sums, axis=0, out=sums)
+        g = gaps - zero
+        before, after = sums[g] - sums[g - width], sums[g + width] - sums[g]
+        dot = lambda x, y: np.einsum("ij,ij->i", x, y)
+        norm = np.sqrt(dot(before, before) * dot(after, after))
+        return pd.DataFrame({key: [k[0]] * len(gaps), "gap": gaps.astype(np.int32), "similarity": np.where(norm > 0, dot(before, after) / np.where(norm > 0, norm, 1), 0.0)})
+
+    return dealt.groupBy(key, "__chunk").applyInPandas(run, f"{key} string, gap int, similarity double")
 
 
 def depth_scores(gaps: DataFrame, key: str = KEY) -> DataFrame:
     """gaps with depth: how far the similarity rises to the nearest peak on both sides.
 
-    A peak is where the climb away from the gap stops; it is found by a fold over the program's scores.
+    Going left, the climb from a gap ends where its run of scores that don't rise begins; going right, where
+    its run of scores that don't fall ends.
     """
-    rows = gaps.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("gap", "similarity"))).alias("r"))
-
-    def climb(values: Column, start: Column) -> Column:
-        state = F.struct(start.alias("top"), F.lit(True).alias("up"))
-        return F.aggregate(values, state, lambda acc, x: F.struct(F.when(acc["up"] & (x >= acc["top"]), x).otherwise(acc["top"]).alias("top"), (acc["up"] & (x >= acc["top"])).alias("up")), lambda acc: acc["top"])
-
-    s = F.transform("r", lambda x: x["similarity"])
-    each = rows.select(key, s.alias("s"), F.posexplode("r").alias("i", "x"))
-    here = F.col("x.similarity")
-    left = climb(F.reverse(F.slice("s", 1, F.col("i"))), here)
-    right = climb(F.slice("s", F.col("i") + 2, F.greatest(F.size("s") - F.col("i") - 1, F.lit(0))), here)
-    return each.select(key, F.col("x.gap").alias("gap"), here.alias("similarity"), (left - here + right - here).alias("depth"))
+    w, x = Window.partitionBy(key).orderBy("gap"), F.col("similarity")
+    runs = gaps.withColumns({"__up": F.coalesce((x > F.lag(x).over(w)).cast("int"), F.lit(1)), "__down": F.coalesce((x < F.lag(x).over(w)).cast("int"), F.lit(1))})
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    runs = runs.withColumns({"__up": F.sum("__up").over(upto), "__down": F.sum("__down").over(upto)})
+    peak = lambda run: F.max(x).over(Window.partitionBy(key, run))
+    return runs.select(key, "gap", "similarity", (peak("__up") - x + peak("__down") - x).alias("depth"))
 
 
 def cohesion_boundaries(texts: DataFrame, size: int = 20, width: int = 10, radius: int = 2, factor: float = -0.5, key: str = KEY) -> DataFrame:

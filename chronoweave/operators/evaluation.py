@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import KEY, overlap_join
@@ -22,24 +22,30 @@ def boundaries(topics: DataFrame, tolerance: float = 0.5, key: str = KEY, edges:
 
 
 def match_counts(predicted: DataFrame, truth: DataFrame, tolerance: float, key: str = KEY, time: str = "time_sec") -> DataFrame:
-    """tp, fp, fn, precision, recall and f1 of a one-to-one matching within the tolerance.
+    """tp, fp, fn, precision, recall and f1 of the largest one-to-one matching within the tolerance.
 
-    True points in order each take the nearest prediction that is left, the earlier of two equally near
-    ones. It is a fold over the truth that carries the predictions that are left.
+    Of two sorted lists, matching the earliest points that are left whenever they are near enough, and
+    passing over the earlier one otherwise, gives the largest matching. A program is first cut where two
+    points in a row are further apart than the tolerance, which no match spans, so that each fold is short;
+    it carries the points of one side that still wait for a partner.
     """
-    p = predicted.groupBy(key).agg(F.array_sort(F.collect_list(time)).alias("p"))
-    t = truth.groupBy(key).agg(F.array_sort(F.collect_list(time)).alias("t"))
-    both = p.join(t, key, "full").select(key, *(F.coalesce(c, F.array().cast("array<double>")).alias(c) for c in ("p", "t")))
-    start = F.struct(F.col("p").alias("left"), F.lit(0).alias("tp"))
+    each = predicted.select(key, F.col(time).cast("double").alias("x"), F.lit(1).alias("p")).unionAll(truth.select(key, F.col(time).cast("double"), F.lit(0)))
+    w = Window.partitionBy(key).orderBy("x", "p")
+    new = F.coalesce((F.col("x") - F.lag("x").over(w) > tolerance).cast("int"), F.lit(1))
+    islands = each.withColumn("__new", new).withColumn("__island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = islands.groupBy(key, "__island").agg(F.array_sort(F.collect_list(F.struct("x", "p"))).alias("r"))
+    start = F.struct(F.lit(0).alias("p"), F.array().cast("array<double>").alias("wait"), F.lit(0).alias("tp"))
 
-    def step(acc: Column, x: Column) -> Column:
-        near = F.transform(F.filter(acc["left"], lambda y: F.abs(y - x) <= tolerance), lambda y: F.struct(F.abs(y - x).alias("d"), y.alias("y")))
-        best = F.array_min(near)["y"]
-        left = F.filter(acc["left"], lambda y: y != best)
-        return F.struct(F.when(best.isNull(), acc["left"]).otherwise(left).alias("left"), (acc["tp"] + best.isNotNull().cast("int")).alias("tp"))
+    def step(acc: Column, y: Column) -> Column:
+        left = F.filter(acc["wait"], lambda x: y["x"] - x <= tolerance)
+        meets = (F.size(left) > 0) & (acc["p"] != y["p"])
+        wait = F.when(meets, F.slice(left, 2, F.greatest(F.size(left), F.lit(1)))).when(acc["p"] == y["p"], F.array_append(left, y["x"])).otherwise(F.array(y["x"]))
+        return F.struct(F.when(meets, acc["p"]).otherwise(y["p"]).alias("p"), wait.alias("wait"), (acc["tp"] + meets.cast("int")).alias("tp"))
 
-    out = both.select(key, F.aggregate("t", start, step, lambda acc: acc["tp"]).alias("tp"), F.size("p").alias("n_p"), F.size("t").alias("n_t"))
-    return with_rates(out.select(key, "tp", (F.col("n_p") - F.col("tp")).alias("fp"), (F.col("n_t") - F.col("tp")).alias("fn")))
+    tp = F.aggregate("r", start, step, lambda acc: acc["tp"])
+    n_p = F.aggregate("r", F.lit(0), lambda acc, x: acc + x["p"])
+    counted = rows.select(key, tp.alias("tp"), n_p.alias("n_p"), F.size("r").alias("n")).groupBy(key).agg(*(F.sum(c).cast("int").alias(c) for c in ("tp", "n_p", "n")))
+    return with_rates(counted.select(key, "tp", (F.col("n_p") - F.col("tp")).alias("fp"), (F.col("n") - F.col("n_p") - F.col("tp")).alias("fn")))
 
 
 def with_rates(counts: DataFrame) -> DataFrame:
@@ -90,17 +96,83 @@ def assign(value: np.ndarray) -> np.ndarray:
     return out
 
 
+def chain_matching(pred: np.ndarray, true: np.ndarray, value: np.ndarray) -> np.ndarray | None:
+    """Which rows make the matching of the largest total value, or None if the rows aren't a chain.
+
+    Rows are overlaps in order of time. They are a chain if all rows of one topic stand together, as they do
+    where the topics of neither side overlap each other. Then a row can be taken if the topics that it shares
+    with the row before are still free, and a table over the four states of these two topics is enough.
+    """
+    for x in (pred, true):
+        if len(np.unique(x)) != 1 + np.count_nonzero(x[1:] != x[:-1]):
+            return None
+    best, back = {(False, False): 0.0}, []
+    for k in range(len(value)):
+        same_p, same_t = k > 0 and pred[k] == pred[k - 1], k > 0 and true[k] == true[k - 1]
+        now: dict[tuple[bool, bool], float] = {}
+        came: dict[tuple[bool, bool], tuple[tuple[bool, bool], bool]] = {}
+        for state, v in best.items():
+            p, t = state[0] and same_p, state[1] and same_t
+            choices = [((p, t), v, False)] if p or t else [((p, t), v, False), ((True, True), v + value[k], True)]
+            for to, w, taken in choices:
+                if w > now.get(to, -1.0):
+                    now[to], came[to] = w, (state, taken)
+        best = now
+        back.append(came)
+    out, state = np.zeros(len(value), dtype=bool), max(best, key=best.__getitem__)
+    for k in range(len(value) - 1, -1, -1):
+        state, out[k] = back[k][state]
+    return out
+
+
+def linked(pred: np.ndarray, true: np.ndarray) -> list[np.ndarray]:
+    """Rows of each connected group of overlapping topics, for topics numbered from 0."""
+    parent = np.arange(len(np.unique(pred)) + len(np.unique(true)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    shift = len(np.unique(pred))
+    for i, j in zip(pred.tolist(), true.tolist()):
+        parent[root(i)] = root(shift + j)
+    label = np.array([root(i) for i in pred.tolist()])
+    order = np.argsort(label, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(label[order])) + 1)
+
+
+def best_matching(pred: np.ndarray, true: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Which overlaps, in order of time, make the matching of the largest total value."""
+    out = chain_matching(pred, true, value)
+    if out is not None:
+        return out
+    _, pred = np.unique(pred, return_inverse=True)
+    _, true = np.unique(true, return_inverse=True)
+    out = np.zeros(len(value), dtype=bool)
+    for rows in linked(pred, true):
+        some = chain_matching(pred[rows], true[rows], value[rows])
+        if some is None:
+            (p, i), (t, j) = (np.unique(x[rows], return_inverse=True) for x in (pred, true))
+            m = np.zeros((len(p), len(t)))
+            m[i, j] = value[rows]
+            some = assign(m)[i] == j
+        out[rows] = some
+    return out
+
+
 def topic_matches(predicted: DataFrame, truth: DataFrame, least: float = 0.3, key: str = KEY) -> DataFrame:
-    """Pairs of the assignment with the largest total IoU, without those below least; errors are predicted - true."""
+    """Pairs of the assignment with the largest total IoU, without those below least; errors are predicted - true.
+
+    A program's overlaps are solved as a chain in linear time; only connected groups of topics that overlap
+    others of their own side need the general assignment.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, t = np.unique(pdf["pred"]), np.unique(pdf["true"])
-        m = np.zeros((len(p), len(t)))
-        m[np.searchsorted(p, pdf["pred"]), np.searchsorted(t, pdf["true"])] = pdf["iou"]
-        to = assign(m)
-        rows = [(p[i], t[j]) for i, j in enumerate(to) if j >= 0 and m[i, j] >= max(least, 1e-300)]
-        chosen = pd.DataFrame(rows, columns=["pred", "true"]).astype("int64")
-        out = pdf.merge(chosen, on=["pred", "true"])
+        at = np.lexsort([pdf["true"], pdf["pred"], np.minimum(pdf["l_end_sec"], pdf["r_end_sec"]), np.maximum(pdf["l_start_sec"], pdf["r_start_sec"])])
+        pdf = pdf.iloc[at]
+        taken = best_matching(pdf["pred"].to_numpy(), pdf["true"].to_numpy(), pdf["iou"].to_numpy())
+        out = pdf[taken & (pdf["iou"].to_numpy() >= max(least, 1e-300))].copy()
         out["onset_error"], out["offset_error"] = out["l_start_sec"] - out["r_start_sec"], out["l_end_sec"] - out["r_end_sec"]
         return out[[key, "pred", "true", "iou", "onset_error", "offset_error"]]
 
@@ -219,25 +291,92 @@ def boundary_kind(notes: Column) -> Column:
     return F.when(found != "", F.trim(found))
 
 
-def bootstrap_index(spark: SparkSession, n: int, draws: int = 1000, seed: int = 42, rng: np.random.Generator | None = None) -> DataFrame:
-    """draw, pos: which of n rows each draw takes; the stream of numpy's default generator, so results repeat."""
-    index = (rng or np.random.default_rng(seed)).integers(0, n, (draws, n))
-    return spark.createDataFrame(pd.DataFrame({"draw": np.repeat(np.arange(draws), n), "pos": index.ravel()}))
+#: Rows of evaluation results (programs) that one set of draws may be over; its values go through one task.
+MOST_ROWS = 1_000_000
+
+
+def resample(values: np.ndarray, draws: int, rng: np.random.Generator) -> np.ndarray:
+    """The mean of each column of values in each draw of as many rows with replacement.
+
+    The draws are rows of rng.integers(0, n, (draws, n)), made some at a time, which gives the same numbers.
+    """
+    n = len(values)
+    some = max(1, 4_000_000 // n)
+    return np.concatenate([values[rng.integers(0, n, (min(some, draws - lo), n))].mean(axis=1) for lo in range(0, draws, some)])
 
 
 def bootstrap(rows: DataFrame, order: str, values: list[str], draws: int = 1000, seed: int = 42) -> DataFrame:
     """metric, n, mean, ci_low, ci_high: percentile intervals of the means over draws with replacement.
 
-    All metrics share the draws. The number of rows (programs) is small; the index is broadcast.
+    All metrics share the draws. Rows are results of programs, at most MOST_ROWS of them, and fit one task.
+    """
+    return interval_table(rows, order, values, [None], draws, seed, shared=True).drop("grp")
+
+
+def interval_table(rows: DataFrame, order: str, values: list[str], groups: list[str | None], draws: int = 1000, seed: int = 42, shared: bool = False, by: str | None = None) -> DataFrame:
+    """grp, metric, n, mean, sd, ci_low, ci_high for each of groups (None: all rows) and each metric.
+
+    One generator goes through the groups and metrics in their order; with shared, all metrics of a group
+    take the same draws. Rows are taken in order of `order`. Nulls aren't counted.
+    """
+    schema = "grp string, metric string, n long, mean double, sd double, ci_low double, ci_high double"
+    slim = rows.select(F.col(order).alias("__o"), *(F.col(v).cast("double").alias(v) for v in values), *([F.col(by).cast("string").alias("__g")] if by else []))
+
+    def run(batches):
+        pdf = pd.concat(list(batches), ignore_index=True) if batches else None
+        if pdf is None or not len(pdf):
+            return
+        if len(pdf) > MOST_ROWS:
+            raise ValueError(f"{len(pdf)} rows to draw from; at most {MOST_ROWS}")
+        pdf, rng, out = pdf.sort_values("__o", kind="stable"), np.random.default_rng(seed), []
+        for g in groups:
+            some = pdf if g is None else pdf[pdf["__g"] == g]
+            if not len(some):
+                continue
+            if shared:
+                rng = np.random.default_rng(seed)
+            means = resample(some[values].to_numpy(), draws, rng) if shared else None
+            for i, v in enumerate(values):
+                x = some[v].dropna().to_numpy()
+                if not len(x):
+                    continue
+                low, high = np.percentile(means[:, i] if shared else resample(x[:, None], draws, rng)[:, 0], [2.5, 97.5])
+                out.append(("all" if g is None else g, v, len(x), x.mean(), x.std(ddof=1) if len(x) > 1 else None, low, high))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return slim.coalesce(1).mapInPandas(run, schema)
+
+
+def start_end_scores(predicted: DataFrame, truth: DataFrame, tolerance: float, key: str = KEY) -> DataFrame:
+    """key, start_f1, end_f1: the largest matching of starts only and of ends only."""
+    one = lambda edge, name: match_counts(*(boundaries(x, key=key, edges=(edge,)) for x in (predicted, truth)), tolerance, key).select(key, F.col("f1").alias(name))
+    return one("start_sec", "start_f1").join(one("end_sec", "end_f1"), key, "full").na.fill(0.0)
+
+
+def start_end_contrast(reference: DataFrame, other: DataFrame, key: str = KEY, draws: int = 1000, seed: int = 42) -> DataFrame:
+    """n, start_gain, end_gain, mean_contrast, ci_low, ci_high of the paired difference of the two gains.
+
+    reference and other: scores of two conditions as from start_end_scores(); only common programs count.
     """
-    spark, w = rows.sparkSession, Window.orderBy(order)
-    numbered = rows.select((F.row_number().over(w) - 1).alias("pos"), *values)
-    n = numbered.count()
-    index = F.broadcast(bootstrap_index(spark, n, draws, seed))
-    means = numbered.join(index, "pos").groupBy("draw").agg(*(F.avg(v).alias(v) for v in values))
-    long = lambda df: df.select(F.explode(F.array(*(F.struct(F.lit(v).alias("metric"), F.col(v).cast("double").alias("v")) for v in values))).alias("x")).select("x.*")
-    ci = long(means).groupBy("metric").agg(F.expr("percentile(v, 0.025)").alias("ci_low"), F.expr("percentile(v, 0.975)").alias("ci_high"))
-    return long(rows.select(*values)).groupBy("metric").agg(F.count("v").alias("n"), F.avg("v").alias("mean")).join(ci, "metric")
+    a, b = reference.select(key, F.col("start_f1").alias("__s"), F.col("end_f1").alias("__e")), other.select(key, "start_f1", "end_f1")
+    gains = a.join(b, key).select(key, (F.col("__s") - F.col("start_f1")).alias("start_gain"), (F.col("__e") - F.col("end_f1")).alias("end_gain"))
+    table = bootstrap(gains.withColumn("contrast", F.col("start_gain") - F.col("end_gain")), key, ["start_gain", "end_gain", "contrast"], draws, seed)
+    of = lambda metric, c: F.max(F.when(F.col("metric") == metric, F.col(c)))
+    return table.agg(
+        of("contrast", "n").alias("n"), of("start_gain", "mean").alias("start_gain"), of("end_gain", "mean").alias("end_gain"), of("contrast", "mean").alias("mean_contrast"),
+        of("contrast", "ci_low").alias("ci_low"), of("contrast", "ci_high").alias("ci_high"),
+    )
+
+
+def summary(programs: DataFrame, predicted: DataFrame, truth: DataFrame, tolerances: tuple[float, ...] = (5.0, 30.0), key: str = KEY) -> DataFrame:
+    """One row a program with the metrics of matching, boundaries (bf1_<tolerance>) and windows."""
+    out = match_summary(predicted, truth, topic_matches(predicted, truth, key=key), key)
+    p, t = boundaries(predicted, key=key), boundaries(truth, key=key)
+    for tol in tolerances:
+        out = out.join(match_counts(p, t, tol, key).select(key, F.col("f1").alias(f"bf1_{tol:g}".replace(".", "_"))), key, "left")
+    out = out.join(window_metrics(programs, predicted, truth, key=key), key, "left")
+    names = ["n_ground_truth", "n_prediction", "topic_count_error", "match_rate", "mean_iou_matched", "onset_mae_sec", "offset_mae_sec"]
+    return out.select(key, *names, *(f"bf1_{tol:g}".replace(".", "_") for tol in tolerances), "pk", "window_diff")
 
 
 def tiou_scores(predicted: DataFrame, truth: DataFrame, thresholds: tuple[float, ...] = (0.3, 0.5, 0.7, 0.9), key: str = KEY) -> DataFrame:

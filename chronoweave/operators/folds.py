@@ -1,30 +1,37 @@
 """Greedy passes in order, one program at a time, as folds over a sorted array.
 
-Each program's rows become one sorted array, so a program must fit one row (thousands of entries do);
-programs are spread over the cluster. The fold runs in the JVM.
+Rows become sorted arrays that are folded in the JVM. Where a pass forgets what lies further back than some
+gap, a program is cut at such gaps first; in other passes a program must fit one row (thousands of entries do).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import KEY, points_in_spans
+from .joins import KEY, overlap_join, points_in_spans
 
 
-def sorted_rows(df: DataFrame, order: list[str], key: str = KEY) -> DataFrame:
-    """key, rows: an array of structs with the order columns first."""
-    rest = [c for c in df.columns if c not in (*order, key)]
-    return df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, *rest))).alias("rows"))
+def fold(df: DataFrame, order: list[str], start: Callable[[Column], Column], step: Callable[[Column, Column], Column], finish: Callable[[Column], Column] | None = None, by: tuple[str, ...] = (KEY,)) -> DataFrame:
+    """Fold the sorted rows of each group; explode what finish (or the state) gives, an array of structs."""
+    rest = [c for c in df.columns if c not in (*order, *by)]
+    rows = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, *rest))).alias("rows"))
+    kept = F.aggregate("rows", start(F.col("rows")), step, finish) if finish else F.aggregate("rows", start(F.col("rows")), step)
+    return rows.select(*by, F.explode(kept).alias("k")).select(*by, "k.*")
 
 
-def fold(df: DataFrame, order: list[str], start: Callable[[Column], Column], step: Callable[[Column, Column], Column], finish: Callable[[Column], Column] | None = None, key: str = KEY) -> DataFrame:
-    """Fold each program's rows; explode what finish (or the state) gives, an array of structs."""
-    rows = sorted_rows(df, order, key)
-    kept = F.aggregate("rows", start(F.col("rows")), step, finish) if finish else F.aggregate("rows", start(F.col("rows")), step)
-    return rows.select(key, F.posexplode(kept).alias("kept_seq", "k")).select(key, "kept_seq", "k.*")
+def stretches(df: DataFrame, apart: Callable[[Column], Column], order: list[str], key: str = KEY) -> DataFrame:
+    """df with __part, which counts the rows that are far enough from the row before them.
+
+    apart says so of the column of times; what such a row meets doesn't depend on the rows before it, so each
+    part can be folded alone and no fold carries a whole program.
+    """
+    w = Window.partitionBy(key).orderBy(*order)
+    t = F.col(order[0])
+    new = F.coalesce(apart(t - F.lag(t).over(w)).cast("int"), F.lit(1))
+    return df.withColumn("__new", new).withColumn("__part", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
 
 
 def _none(rows: Column) -> Column:
@@ -37,13 +44,16 @@ def _last(a: Column) -> Column:
 
 def thin(points: DataFrame, gap: float, duration: str | None = None, edge: float = 0.5, time: str = "time_sec", key: str = KEY) -> DataFrame:
     """Points at least gap after the one kept before them, the first one after gap; none within edge of the ends."""
-    near_end = (lambda x: x[time] >= x[duration] - edge) if duration else (lambda x: F.lit(False))
+    inside = points.where(F.col(time) > edge)
+    if duration:
+        inside = inside.where(~F.coalesce(F.col(time) >= F.col(duration) - edge, F.lit(False)))
 
     def step(acc: Column, x: Column) -> Column:
-        last = F.when(F.size(acc) > 0, _last(acc)[time]).otherwise(0.0)
-        return F.when((x[time] <= edge) | near_end(x) | (x[time] - last < gap), acc).otherwise(F.array_append(acc, x))
+        near = F.when(F.size(acc) > 0, x[time] - _last(acc)[time] < gap).otherwise((x["__first"] == 1) & (x[time] < gap))
+        return F.when(near, acc).otherwise(F.array_append(acc, x))
 
-    return fold(points, [time, "seq"], _none, step, key=key)
+    cut = stretches(inside, lambda d: d >= gap, [time, "seq"], key).withColumn("__first", F.col("__part"))
+    return fold(cut, [time, "seq"], _none, step, by=(key, "__part")).drop("__part", "__first")
 
 
 def keep_strongest(points: DataFrame, gap: float, inclusive: bool, rank: str = "rank", time: str = "time_sec", key: str = KEY) -> DataFrame:
@@ -59,7 +69,8 @@ def keep_strongest(points: DataFrame, gap: float, inclusive: bool, rank: str = "
         replaced = F.array_append(F.slice(acc, 1, F.size(acc) - 1), x)
         return F.when(~near, F.array_append(acc, x)).when(stronger, replaced).otherwise(acc)
 
-    return fold(points, [time, "seq"], _none, step, key=key)
+    cut = stretches(points, lambda d: (d > gap) if inclusive else (d >= gap), [time, "seq"], key)
+    return fold(cut, [time, "seq"], _none, step, by=(key, "__part")).drop("__part")
 
 
 def stitch(points: DataFrame, tolerance: float = 15.0, **names) -> DataFrame:
@@ -81,21 +92,33 @@ def merge_short(ranges: DataFrame, least: float = 2.0, key: str = KEY) -> DataFr
         join_left = x["end_sec"] - x["start_sec"] < least
         return F.when(F.size(acc) == 0, F.array_append(acc, x)).when(pending | join_left, longer).otherwise(F.array_append(acc, x))
 
-    return fold(ranges.select(key, "start_sec", "end_sec"), ["start_sec", "end_sec"], _none, step, key=key)
+    return fold(ranges.select(key, "start_sec", "end_sec"), ["start_sec", "end_sec"], _none, step, by=(key,))
 
 
 def add_disjoint(kept: DataFrame, candidates: DataFrame, most: float = 1.0, key: str = KEY) -> DataFrame:
-    """kept, and the candidates in order whose overlap with everything kept so far stays below most seconds.
+    """kept, and the candidates in order whose overlap with everything kept so far stays below most (over 0) seconds.
 
-    Both have seq, start_sec, end_sec; candidates rows are marked added.
+    Both have seq, start_sec, end_sec; candidates rows are marked added. An overlap join takes out what kept
+    spans forbid; what is left is cut where no candidate overlaps the ones before it, and folded in order of seq.
     """
-    each = kept.withColumns({"added": F.lit(False), "__o": F.lit(0)}).unionByName(candidates.withColumns({"added": F.lit(True), "__o": F.lit(1)}))
+    if most <= 0:
+        raise ValueError("most must be over 0 seconds")
+    span = ["seq", "start_sec", "end_sec"]
+    met = overlap_join(kept.select(key, *span), candidates.select(key, *span), key=key)
+    over = F.least("l_end_sec", "r_end_sec") - F.greatest("l_start_sec", "r_start_sec")
+    barred = met.where(over >= most).select(key, *(F.col("r_" + c).alias(c) for c in span)).distinct()
+    free = candidates.join(barred, [key, *span], "left_anti")
+    w = Window.partitionBy(key).orderBy("start_sec", "end_sec", "seq")
+    before = F.max("end_sec").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.coalesce((F.col("start_sec") >= before).cast("int"), F.lit(1))
+    cut = free.withColumn("__new", new).withColumn("__part", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
 
     def step(acc: Column, x: Column) -> Column:
-        over = F.exists(acc, lambda y: F.least(x["end_sec"], y["end_sec"]) - F.greatest(x["start_sec"], y["start_sec"]) >= most)
-        return F.when(x["added"] & over, acc).otherwise(F.array_append(acc, x))
+        meets = F.exists(acc, lambda y: F.least(x["end_sec"], y["end_sec"]) - F.greatest(x["start_sec"], y["start_sec"]) >= most)
+        return F.when(meets, acc).otherwise(F.array_append(acc, x))
 
-    return fold(each, ["__o", "seq"], _none, step, key=key).drop("__o", "kept_seq")
+    added = fold(cut, span, _none, step, by=(key, "__part")).drop("__part")
+    return kept.withColumn("added", F.lit(False)).unionByName(added.withColumn("added", F.lit(True)))
 
 
 def pack(items: DataFrame, target: int, size: str = "tokens", key: str = KEY) -> DataFrame:
@@ -109,7 +132,7 @@ def pack(items: DataFrame, target: int, size: str = "tokens", key: str = KEY) ->
 
     start = lambda rows: F.struct(F.lit(0).alias("n"), F.lit(0).alias("batch"), F.lit(target).cast("long").alias("room"), F.array().cast("array<struct<batch:int,seq:bigint>>").alias("out"))
     slim = items.select(key, F.col("seq").cast("long").alias("seq"), F.col(size).cast("long").alias(size))
-    return fold(slim, ["seq"], start, step, lambda acc: acc["out"], key).drop("kept_seq")
+    return fold(slim, ["seq"], start, step, lambda acc: acc["out"], by=(key,))
 
 
 def overlapping_chunks(segments: DataFrame, target: int = 6000, overlap: float = 90.0, size: str = "tokens", key: str = KEY) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import KEY, overlap_join, points_in_spans
+from .joins import KEY, overlap_join, points_in_spans, snap
 
 
 def merge_islands(spans: DataFrame, gap: float = 5.0, kind: str = "kind", key: str = KEY) -> DataFrame:
@@ -130,9 +130,60 @@ def force_split(ranges: DataFrame, longest: float = 30.0, target: float = 20.0)
     return out.withColumns({"__s": at(F.col("part")), "__e": F.when(last, F.col("end_sec")).otherwise(at(F.col("part") + 1))}).withColumns({"start_sec": F.col("__s"), "end_sec": F.col("__e")}).drop("__s", "__e", "__n")
 
 
-def round_bounds(ranges: DataFrame, key: str = KEY) -> DataFrame:
-    """Contiguous ranges with their shared bounds rounded, so that none drift apart; empty ones go."""
-    return ranges.withColumns({"start_sec": F.bround("start_sec", 2), "end_sec": F.bround("end_sec", 2)}).where("end_sec > start_sec")
+def round_bounds(ranges: DataFrame, places: int = 2) -> DataFrame:
+    """Contiguous ranges with their shared bounds rounded, so that none drift apart; empty ones go.
+
+    Microseconds are rounded first, so that a half-way case isn't lost to the last bits of a sum.
+    """
+    near = lambda c: F.bround(F.bround(c, 6), places)
+    return ranges.withColumns({"start_sec": near("start_sec"), "end_sec": near("end_sec")}).where("end_sec > start_sec")
+
+
+def refine_ranges(
+    ranges: DataFrame, cuts: DataFrame, silence_ends: DataFrame, long_sec: float = 20.0, snap_sec: float = 1.0, margin: float = 0.5, least: float = 2.0, longest: float = 30.0, target: float = 20.0, key: str = KEY,
+) -> tuple[DataFrame, DataFrame]:
+    """(ranges, counts): further cuts inside the long ranges, moved to ends of silence, then short ones merged and long ones split.
+
+    ranges: seq, start_sec, end_sec, contiguous. cuts and silence_ends: time_sec. A range is long if it lasts
+    over long_sec. counts has a row a program with how many rows each step met or made.
+    """
+    from .folds import merge_short
+
+    long = ranges.where(F.col("end_sec") - F.col("start_sec") > long_sec)
+    inside = points_in_spans(cuts.select(key, "time_sec").distinct(), long.select(key, "start_sec", "end_sec"), "left_semi", include_start=False, key=key)
+    order = Window.partitionBy(key).orderBy("time_sec")
+    numbered = lambda df: df.select(key, "time_sec").distinct().withColumn("seq", F.row_number().over(order))
+    moved = snap(numbered(inside), numbered(silence_ends), snap_sec, key=key)
+    parts = insert_cuts(ranges, moved.select(key, "time_sec").distinct(), margin, key)
+    merged = merge_short(parts, least, key)
+    split = force_split(merged, longest, target)
+    out = round_bounds(split).select(key, "start_sec", "end_sec")
+    out = out.withColumn("seq", (F.row_number().over(Window.partitionBy(key).orderBy("start_sec")) - 1).cast("long"))
+    count = lambda df, name: df.groupBy(key).agg(F.count("*").alias(name))
+    counts = ranges.select(key).distinct()
+    steps = {
+        "n_silence_ends": silence_ends, "n_scenes_in": ranges, "n_long_scenes": long, "n_second_pass_cuts": inside, "n_cuts_snapped": moved.where("moved"),
+        "n_parts": parts, "n_after_merge": merged, "n_after_split": split, "n_scenes_out": out,
+    }
+    for name, df in steps.items():
+        counts = counts.join(count(df, name), key, "left")
+    counts = counts.na.fill(0)
+    made = {"n_cuts_inserted": F.col("n_parts") - F.col("n_scenes_in"), "n_merged": F.col("n_parts") - F.col("n_after_merge"), "n_forced_split_cuts": F.col("n_after_split") - F.col("n_after_merge")}
+    return out, counts.withColumns(made).drop("n_parts", "n_after_merge", "n_after_split")
+
+
+def non_editorial_intervals(annotations: DataFrame, gap: float = 5.0, key: str = KEY) -> DataFrame:
+    """Islands of the non-editorial frames' spans by kind.
+
+    annotations: start_sec, end_sec, non_editorial_kind, is_probably_editorial, sponsor_presentation; lists of
+    frame_id are kept under ids.
+    """
+    from ..functions import scalars as S
+
+    some = annotations.where(S.is_non_editorial("non_editorial_kind", "is_probably_editorial", "sponsor_presentation"))
+    kind = S.resolved_kind("non_editorial_kind", "sponsor_presentation").alias("kind")
+    own = [F.col("frame_id").alias("id")] if "frame_id" in annotations.columns else []
+    return merge_islands(some.select(key, "start_sec", "end_sec", kind, *own), gap, key=key)
 
 
 def scene_cut_candidates(ranges: DataFrame, programs: DataFrame, key: str = KEY) -> DataFrame:

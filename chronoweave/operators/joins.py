@@ -56,11 +56,10 @@ def points_in_spans(points: DataFrame, spans: DataFrame, how: str = "inner", tim
     points. Each point is in one bin, so only the spans are multiplied.
     """
     p = points.withColumn("__bin", _bin(F.col(time), bin_sec))
-    s = _bins(_prefixed(spans, "r_", key), F.col("r_start_sec"), F.col("r_end_sec"), bin_sec, "__bin")
+    s = _bins(_prefixed(spans, "r_", key), F.col("r_start_sec"), F.col("r_end_sec"), bin_sec, "__r_bin").withColumnRenamed(key, "__r_key")
     after = F.col(time) >= F.col("r_start_sec") if include_start else F.col(time) > F.col("r_start_sec")
-    condition = (p[key] == s[key]) & (p["__bin"] == s["__bin"]) & after & (F.col(time) < F.col("r_end_sec"))
-    met = p.join(s, condition, how)
-    return met.drop(s[key]).drop(s["__bin"]).drop(p["__bin"]) if how == "inner" else met.drop("__bin")
+    condition = (F.col(key) == F.col("__r_key")) & (F.col("__bin") == F.col("__r_bin")) & after & (F.col(time) < F.col("r_end_sec"))
+    return p.join(s, condition, how).drop("__r_key", "__r_bin", "__bin")
 
 
 def nearest(points: DataFrame, candidates: DataFrame, tolerance: float, time: str = "time_sec", seq: str = "seq", candidate_time: str = "time_sec", candidate_seq: str = "seq", key: str = KEY) -> DataFrame:

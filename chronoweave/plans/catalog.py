@@ -231,8 +231,38 @@ def i09(spark, sf_dir):
 
 @query("i10_round_bounds", sql("SELECT program_id, seq, round_even(start_sec, 1) AS start_sec, round_even(end_sec, 1) AS end_sec FROM rng WHERE round_even(end_sec, 1) > round_even(start_sec, 1)"))
 def i10(spark, sf_dir):
-    r = R.ranges(spark, sf_dir)
-    return r.withColumns({"start_sec": F.bround("start_sec", 1), "end_sec": F.bround("end_sec", 1)}).where("end_sec > start_sec")
+    return intervals.round_bounds(R.ranges(spark, sf_dir), 1)
+
+
+_EVEN = "(q + CASE WHEN 2 * r > n OR (2 * r = n AND q % 2 = 1) THEN 1 ELSE 0 END) / 100.0::DOUBLE"
+
+
+@query("i11_refine_ranges", sql(f"""
+    SELECT program_id, row_number() OVER (PARTITION BY program_id ORDER BY start_sec) - 1 AS seq, start_sec, end_sec FROM (
+        SELECT program_id, max(b) FILTER (WHERE side = 0) AS start_sec, max(b) FILTER (WHERE side = 1) AS end_sec FROM (SELECT program_id, s, i, side, {_EVEN} AS b FROM edges) GROUP BY program_id, s, i) WHERE end_sec > start_sec""",
+    "cuts0 AS (SELECT DISTINCT c.program_id, c.time_sec AS t FROM click c JOIN rng r ON c.program_id = r.program_id AND r.end_sec - r.start_sec > 600 AND c.time_sec > r.start_sec AND c.time_sec < r.end_sec)",
+    """cuts1 AS (SELECT DISTINCT c.program_id, coalesce((SELECT n.start_sec FROM ne n WHERE n.program_id = c.program_id AND abs(n.start_sec - c.t) <= 60 ORDER BY abs(n.start_sec - c.t), n.start_sec LIMIT 1), c.t) AS t FROM cuts0 c)""",
+    "pts AS (SELECT program_id, start_sec AS a FROM rng UNION SELECT program_id, end_sec FROM rng UNION SELECT r.program_id, c.t FROM rng r JOIN cuts1 c ON c.program_id = r.program_id AND c.t > r.start_sec + 0.5 AND c.t < r.end_sec - 0.5)",
+    "rng1 AS (SELECT * FROM (SELECT program_id, a AS s, lead(a) OVER (PARTITION BY program_id ORDER BY a) AS e FROM pts) WHERE e IS NOT NULL)",
+    """rng2 AS (SELECT program_id, k.s AS s, k.e AS e FROM (SELECT program_id, unnest(list_reduce(list_transform(list({{'s': s, 'e': e}} ORDER BY s), lambda x: [x]), lambda acc, x:
+            CASE WHEN (len(acc) = 1 AND acc[-1].e - acc[-1].s < 300) OR x[1].e - x[1].s < 300 THEN list_concat(acc[:-2], [{{'s': acc[-1].s, 'e': x[1].e}}]) ELSE list_concat(acc, x) END)) AS k FROM rng1 GROUP BY 1))""".replace("{{", "{").replace("}}", "}"),
+    "rng3 AS (SELECT program_id, CAST(round(s * 100) AS BIGINT) AS s, CAST(round(e * 100) AS BIGINT) AS e, CASE WHEN e - s > 900 THEN CAST(ceil((e - s) / 600) AS BIGINT) ELSE 1 END AS n FROM rng2)",
+    "edges AS (SELECT program_id, s, i, side, n, (s * n + (e - s) * (i + side)) // n AS q, (s * n + (e - s) * (i + side)) % n AS r FROM rng3, LATERAL (SELECT unnest(range(n)) AS i) x, (VALUES (0), (1)) v(side))"))
+def i11(spark, sf_dir):
+    silence = R.non_editorial(spark, sf_dir).select("program_id", F.col("start_sec").alias("time_sec"))
+    out, _ = intervals.refine_ranges(R.ranges(spark, sf_dir), R.points(spark, sf_dir, "click"), silence, 600.0, 60.0, 0.5, 300.0, 900.0, 600.0)
+    return out
+
+
+@query("i14_non_editorial_intervals", sql("SELECT * FROM merged", _ISLANDS.replace("FROM ne))", "FROM shown))", 1).replace("    runs AS", """
+    shown AS (SELECT program_id, start_sec, end_sec, CASE WHEN label IN ('error', 'signup') THEN CASE label WHEN 'error' THEN 'commercial' ELSE 'sponsor' END WHEN user_id % 7 = 0 THEN 'sponsor' END AS kind
+        FROM seg WHERE label = 'error' OR (label = 'signup' AND user_id % 2 = 1) OR user_id % 7 = 0),
+    runs AS""")))
+def i14(spark, sf_dir):
+    s = R.segments(spark, sf_dir).withColumns({
+        "non_editorial_kind": F.when(F.col("label") == "error", "commercial").when(F.col("label") == "signup", "sponsor").otherwise("none"), "is_probably_editorial": F.col("user_id") % 2 == 0,
+        "sponsor_presentation": F.when(F.col("user_id") % 7 == 0, "fullscreen_sponsor_credit").otherwise("none")})
+    return intervals.non_editorial_intervals(s)
 
 
 @query("i12_cut_candidates", sql("""
@@ -310,12 +340,13 @@ def g08(spark, sf_dir):
 
 # Changes
 
+#: DuckDB's distance counts bytes, so each accented letter of the tables becomes one capital first.
 _DIST = """dist AS (SELECT program_id, seq, CASE WHEN nxt IS NULL THEN NULL WHEN greatest(length(text), length(nxt)) = 0 THEN 0.0 ELSE levenshtein(text, nxt) / greatest(length(text), length(nxt))::DOUBLE END AS d
-        FROM (SELECT program_id, seq, text, lead(text) OVER (PARTITION BY program_id ORDER BY seq) AS nxt FROM (SELECT program_id, seq, lower(regexp_replace(text, '\\s+', '', 'g')) AS text FROM turn)))"""
+        FROM (SELECT program_id, seq, text, lead(text) OVER (PARTITION BY program_id ORDER BY seq) AS nxt FROM (SELECT program_id, seq, translate(lower(regexp_replace(text, '\\s+', '', 'g')), 'àâäçèéêëîïñóôöùûüßíáú', 'ABCDEFGHIJKLMNOPQRSTU') AS text FROM turn)))"""
 
 
 def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.turns(spark, sf_dir).select("program_id", "seq", S.compact("text", unicode_form=False).alias("text"))
+    return R.turns(spark, sf_dir).select("program_id", "seq", S.compact("text").alias("text"))
 
 
 @query("g14_distance_series", sql("SELECT program_id, seq, round_even(d, 6) AS distance FROM dist", _DIST))
@@ -487,12 +518,16 @@ def e01(spark, sf_dir):
     return evaluation.boundaries(R.topics(spark, sf_dir, 0))
 
 
-@query("e02_f1", sql("""
-    SELECT program_id, tp, n_p - tp AS fp, n_t - tp AS fn, round_even(2.0 * tp / (n_p + n_t), 6) AS f1 FROM fin""", _BOUNDS,
-    "lists AS (SELECT program_id, list(t ORDER BY t) FILTER (WHERE parity = 1) AS p, list(t ORDER BY t) FILTER (WHERE parity = 0) AS g FROM bnd GROUP BY 1)",
-    """two AS (SELECT program_id, p AS rest, p, g, 1 AS j, 0 AS tp FROM lists UNION ALL SELECT program_id, CASE WHEN best IS NULL THEN rest ELSE list_filter(rest, lambda y: y <> best) END, p, g, j + 1, tp + (best IS NOT NULL)::INT
-        FROM (SELECT *, (list_sort(list_transform(list_filter(rest, lambda y: abs(y - g[j]) <= 30), lambda y: {'d': abs(y - g[j]), 'y': y})))[1].y AS best FROM two WHERE j <= len(g)))""",
-    "fin AS (SELECT program_id, max(tp) AS tp, any_value(len(p)) AS n_p, any_value(len(g)) AS n_t FROM two GROUP BY 1)", recursive=True))
+#: Two pointers over the sorted lists p and g: match what is near enough, else pass over the earlier point.
+_TWO = """
+    two AS (SELECT program_id, p, g, 1 AS i, 1 AS j, 0 AS tp FROM lists UNION ALL
+        SELECT program_id, p, g, CASE WHEN p[i] > g[j] + 30 THEN i ELSE i + 1 END, CASE WHEN p[i] < g[j] - 30 THEN j ELSE j + 1 END, tp + (abs(p[i] - g[j]) <= 30)::INT
+        FROM two WHERE i <= len(p) AND j <= len(g)),
+    fin AS (SELECT program_id, max(tp) AS tp, any_value(len(p)) AS n_p, any_value(len(g)) AS n_t FROM two GROUP BY 1)"""
+_LISTS = "lists AS (SELECT program_id, coalesce(list(t ORDER BY t) FILTER (WHERE parity = 1), []) AS p, coalesce(list(t ORDER BY t) FILTER (WHERE parity = 0), []) AS g FROM bnd GROUP BY 1)"
+
+
+@query("e02_f1", sql("SELECT program_id, tp, n_p - tp AS fp, n_t - tp AS fn, round_even(2.0 * tp / (n_p + n_t), 6) AS f1 FROM fin", _BOUNDS, _LISTS, _TWO, recursive=True))
 def e02(spark, sf_dir):
     p, t = (evaluation.boundaries(R.topics(spark, sf_dir, k)) for k in (1, 0))
     out = evaluation.match_counts(p, t, 30.0)
@@ -604,13 +639,38 @@ def a11(spark, sf_dir):
 
 @query("e12_bootstrap")
 def e12(spark, sf_dir):
-    return evaluation.bootstrap(_daily(spark, sf_dir).where("broadcaster = 0"), "program_id", ["bf1_5", "pk"])
+    rows = _daily(spark, sf_dir).withColumn("row", F.concat_ws("/", "program_id", "broadcaster"))
+    return evaluation.bootstrap(rows, "row", ["bf1_5", "pk"])
+
+
+@query("a07_intervals")
+def a07_intervals(spark, sf_dir):
+    rows = _daily(spark, sf_dir).withColumn("row", F.concat_ws("/", "program_id", "broadcaster"))
+    return evaluation.interval_table(rows, "row", ["bf1_5", "pk"], [None, "0", "1", "2"], by="broadcaster")
+
 
+@query("e11_summary")
+def e11(spark, sf_dir):
+    return evaluation.summary(R.programs(spark, sf_dir), R.topics(spark, sf_dir, 1), R.topics(spark, sf_dir, 0))
 
-@query("e16_start_boundaries", sql("""
-    SELECT program_id, count(*) AS n FROM (SELECT program_id, s - lag(s) OVER (PARTITION BY program_id ORDER BY s) AS d FROM (SELECT DISTINCT program_id, start_sec AS s FROM truth)) WHERE d IS NULL OR d > 0.5 GROUP BY 1"""))
+
+def _one_edge(edge: str) -> str:
+    """The matching of e02 for one edge of the topics only, as a subquery."""
+    cut = f"bnd AS (SELECT parity, program_id, t FROM (SELECT *, t - lag(t) OVER (PARTITION BY parity, program_id ORDER BY t) AS d FROM (SELECT DISTINCT parity, program_id, {edge} AS t FROM top)) WHERE d IS NULL OR d > 0.5)"
+    return f"(WITH RECURSIVE {cut}, {_LISTS}, {_TWO} SELECT program_id, round_even(2.0 * tp / (n_p + n_t), 6) AS f1 FROM fin)"
+
+
+@query("e16_start_end_f1", sql(f"SELECT program_id, s.f1 AS start_f1, e.f1 AS end_f1 FROM {_one_edge('start_sec')} s JOIN {_one_edge('end_sec')} e USING (program_id)"))
 def e16(spark, sf_dir):
-    return evaluation.boundaries(R.topics(spark, sf_dir, 0), edges=("start_sec",)).groupBy("program_id").agg(F.count("*").alias("n"))
+    out = evaluation.start_end_scores(R.topics(spark, sf_dir, 1), R.topics(spark, sf_dir, 0), 30.0)
+    return out.select("program_id", *(F.bround(c, 6).alias(c) for c in ("start_f1", "end_f1")))
+
+
+@query("e16_contrast")
+def e16_contrast(spark, sf_dir):
+    p, t = R.topics(spark, sf_dir, 1), R.topics(spark, sf_dir, 0)
+    blunt = intervals.cuts_to_spans(p.where("seq % 2 = 0").select("program_id", F.col("start_sec").alias("time_sec")).union(R.programs(spark, sf_dir).select("program_id", F.lit(R.DAY))))
+    return evaluation.start_end_contrast(evaluation.start_end_scores(p, t, 30.0), evaluation.start_end_scores(blunt, t, 30.0))
 
 
 # Baselines
@@ -642,23 +702,35 @@ def b01_gaps(spark, sf_dir):
 
 def _prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = R.table(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
-    return docs.select(F.col("source").alias("program_id"), F.col("doc_id").alias("seq"), R.ascii_only(F.col("text")).alias("text"))
+    return docs.select(F.col("source").alias("program_id"), F.col("doc_id").alias("seq"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-@query("b02_cohesion_gaps", """
+_COHESION = """
     WITH tok AS (SELECT source AS program_id, doc_id, i, term FROM (SELECT source, doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS term FROM (
-            SELECT source, doc_id, list_filter(regexp_split_to_array(lower(regexp_replace(text, '[^\\n -~]', '', 'g')), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents))),
+            SELECT source, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents))),
     blk AS (SELECT program_id, (row_number() OVER (PARTITION BY program_id ORDER BY doc_id, i) - 1) // 20 AS block, term FROM tok),
     cnt AS (SELECT program_id, block, term, count(*) AS n FROM blk GROUP BY 1, 2, 3),
     size AS (SELECT program_id, max(block) + 1 AS n FROM blk GROUP BY 1),
     side AS (SELECT c.program_id, g.gap, c.term, sum(CASE WHEN c.block < g.gap THEN c.n ELSE 0 END) AS a, sum(CASE WHEN c.block >= g.gap THEN c.n ELSE 0 END) AS b
-        FROM cnt c JOIN (SELECT program_id, unnest(range(10, n - 9)) AS gap FROM size WHERE n >= 20) g ON c.program_id = g.program_id AND c.block BETWEEN g.gap - 10 AND g.gap + 9 GROUP BY 1, 2, 3)
-    SELECT program_id, gap, round_even(sum(a * b)::DOUBLE / sqrt(sum(a * a)::DOUBLE * sum(b * b)::DOUBLE), 6) AS similarity FROM side GROUP BY 1, 2""")
+        FROM cnt c JOIN (SELECT program_id, unnest(range(10, n - 9)) AS gap FROM size WHERE n >= 20) g ON c.program_id = g.program_id AND c.block BETWEEN g.gap - 10 AND g.gap + 9 GROUP BY 1, 2, 3),
+    gaps AS (SELECT program_id, gap, sum(a * b)::DOUBLE / sqrt(sum(a * a)::DOUBLE * sum(b * b)::DOUBLE) AS s FROM side GROUP BY 1, 2)"""
+
+
+@query("b02_cohesion_gaps", _COHESION + " SELECT program_id, gap, round_even(s, 6) AS similarity FROM gaps")
 def b02_gaps(spark, sf_dir):
     out = baselines.cohesion_gaps(baselines.token_blocks(_prose(spark, sf_dir)))
     return out.select("program_id", F.col("gap").cast("long").alias("gap"), F.bround("similarity", 6).alias("similarity"))
 
 
+@query("b02_depth_scores", _COHESION + """,
+    runs AS (SELECT *, sum(CASE WHEN s > l THEN 1 ELSE 0 END) OVER w AS up, sum(CASE WHEN s < l THEN 1 ELSE 0 END) OVER w AS down
+        FROM (SELECT program_id, gap, round_even(s, 9) AS s, lag(round_even(s, 9)) OVER (PARTITION BY program_id ORDER BY gap) AS l FROM gaps) WINDOW w AS (PARTITION BY program_id ORDER BY gap))
+    SELECT program_id, gap, round_even(max(s) OVER (PARTITION BY program_id, up) + max(s) OVER (PARTITION BY program_id, down) - 2 * s, 6) AS depth FROM runs""")
+def b02_depth(spark, sf_dir):
+    gaps = baselines.cohesion_gaps(baselines.token_blocks(_prose(spark, sf_dir))).withColumn("similarity", F.bround("similarity", 9))
+    return baselines.depth_scores(gaps).select("program_id", F.col("gap").cast("long").alias("gap"), F.bround("depth", 6).alias("depth"))
+
+
 @query("b02_cohesion_boundaries")
 def b02(spark, sf_dir):
     return baselines.cohesion_boundaries(_prose(spark, sf_dir))

@@ -54,10 +54,10 @@ def s07(spark, sf_dir):
     return readers.dialogues_from(lines).select("program_id", "seq", "start_sec", "end_sec", "speaker", "text", "y")
 
 
-@query("s21_silence_ends", sql("SELECT DISTINCT program_id, round_even(end_sec - 2.0, 3) AS time_sec FROM seg"))
+@query("s21_silence_ends", sql("SELECT DISTINCT program_id, round_even(end_sec - 20000.0, 3) AS time_sec FROM seg WHERE end_sec >= 20000"))
 def s21(spark, sf_dir):
     lines = R.segments(spark, sf_dir).select("program_id", F.col("seq").alias("i"), F.concat(F.lit("[silencedetect] silence_end: "), F.format_string("%.2f", "end_sec"), F.lit(" | silence_duration: 1")).alias("value"))
-    return readers.silence_ends_from(lines, 2.0)
+    return readers.silence_ends_from(lines, 20000.0)
 
 
 @query("s13_segmentations", sql("SELECT program_id, seq, 86400.0::DOUBLE AS duration_sec, start_sec, end_sec, label FROM truth"))
@@ -70,10 +70,10 @@ def s13(spark, sf_dir):
 
 @query("s16_scene_frames", sql("""
     SELECT program_id, 'scene_' || lpad(CAST(seq AS VARCHAR), 4, '0') || '_mid' AS frame_id, CASE WHEN e - s > 100 THEN greatest(s, least(greatest(s + 25, least(m, e - 25)), e, 8639950)) ELSE greatest(s, least(m, 8639950)) END / 100.0::DOUBLE AS timestamp_sec
-    FROM (SELECT program_id, seq, CAST(round(start_sec * 100) AS BIGINT) AS s, CAST(round(end_sec * 100) AS BIGINT) AS e, (CAST(round(start_sec * 100) AS BIGINT) + CAST(round(end_sec * 100) AS BIGINT)) // 2 AS m FROM rng) WHERE (s + e) % 2 = 0"""))
+    FROM (SELECT *, h // 2 + CASE WHEN h % 2 = 1 AND (h // 2) % 2 = 1 THEN 1 ELSE 0 END AS m FROM (
+        SELECT program_id, seq, CAST(round(start_sec * 100) AS BIGINT) AS s, CAST(round(end_sec * 100) AS BIGINT) AS e, CAST(round(start_sec * 100) AS BIGINT) + CAST(round(end_sec * 100) AS BIGINT) AS h FROM rng))"""))
 def s16(spark, sf_dir):
-    even = (F.round(F.col("start_sec") * 100).cast("long") + F.round(F.col("end_sec") * 100).cast("long")) % 2 == 0
-    return readers.scene_frames(R.ranges(spark, sf_dir).where(even), R.DAY).select("program_id", "frame_id", "timestamp_sec")
+    return readers.scene_frames(R.ranges(spark, sf_dir), R.DAY).select("program_id", "frame_id", "timestamp_sec")
 
 
 @query("s18_sampled_frames", sql("SELECT program_id, CAST(k AS BIGINT) AS seq, (k + 0.5::DOUBLE) / 0.01::DOUBLE AS timestamp_sec FROM prog, range(864) t(k)"))
@@ -105,7 +105,7 @@ def f20(spark, sf_dir):
         lower(regexp_replace(text, '\\s+', '', 'g')) AS compact FROM (SELECT *, regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '^ | $', '', 'g') AS t FROM turn)"""))
 def f03(spark, sf_dir):
     t = R.turns(spark, sf_dir)
-    return t.select("program_id", "seq", S.truncate_text("text", 60).alias("cut"), S.timeline_line(F.col("seq") * 61, F.col("role"), False).alias("line"), S.clock(F.col("seq") * 997).alias("clock"), S.compact("text", False).alias("compact"))
+    return t.select("program_id", "seq", S.truncate_text("text", 60).alias("cut"), S.timeline_line(F.col("seq") * 61, F.col("role")).alias("line"), S.clock(F.col("seq") * 997).alias("clock"), S.compact("text").alias("compact"))
 
 
 @query("f04_dedupe", sql("""

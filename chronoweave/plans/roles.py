@@ -63,14 +63,9 @@ def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.where(F.col("end_sec").isNotNull())
 
 
-def ascii_only(column):
-    return F.regexp_replace(column, "[^\\n -~]", "")
-
-
-def turns(spark: SparkSession, sf_dir: str, ascii_: bool = True) -> DataFrame:
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "conversations")
-    text = ascii_only(F.col("text")) if ascii_ else F.col("text")
-    return t.select(F.col("conv_id").cast("string").alias("program_id"), F.col("turn").alias("seq"), F.coalesce(text, F.lit("")).alias("text"), "role")
+    return t.select(F.col("conv_id").cast("string").alias("program_id"), F.col("turn").alias("seq"), F.coalesce("text", F.lit("")).alias("text"), "role")
 
 
 #: The same streams as common table expressions, in order of dependence.
@@ -95,7 +90,7 @@ _SQL = {
             FROM (SELECT program_id, time_sec FROM buy UNION SELECT program_id, 0.0::DOUBLE FROM prog UNION SELECT program_id, 86400.0::DOUBLE FROM prog)
             WINDOW w AS (PARTITION BY program_id ORDER BY time_sec))
         WHERE end_sec IS NOT NULL)""",
-    "turn": "turn AS (SELECT CAST(conv_id AS VARCHAR) AS program_id, turn AS seq, coalesce(regexp_replace(text, '[^\\n -~]', '', 'g'), '') AS text, role FROM conversations)",
+    "turn": "turn AS (SELECT CAST(conv_id AS VARCHAR) AS program_id, turn AS seq, coalesce(text, '') AS text, role FROM conversations)",
 }
 
 

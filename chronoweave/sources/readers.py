@@ -87,15 +87,20 @@ ANNOTATION = """struct<frame_id:string,frame_index:int,timestamp_sec:double,visu
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     """Frame annotations, nested under `annotation` or flat; malformed files fail the read."""
-    item = f"array<struct<annotation:{ANNOTATION},{ANNOTATION.strip()[len('struct<'):-1]},span_start_sec:double,span_end_sec:double>>"
+    return annotations_from(_documents(spark, path))
+
+
+def annotations_from(docs: DataFrame) -> DataFrame:
+    """Annotations of JSON documents (program_id, doc); a record's own frame_id goes before the annotation's."""
+    item = f"array<struct<annotation:{ANNOTATION},{ANNOTATION.strip()[len('struct<'):-1]},image_path:string,span_start_sec:double,span_end_sec:double>>"
     options = {"mode": "FAILFAST"}
-    docs = _documents(spark, path)
     rows = F.when(F.ltrim("doc").startswith("["), F.from_json("doc", item, options)).otherwise(F.from_json("doc", f"struct<annotations:{item}>", options)["annotations"])
     each = docs.select("program_id", F.posexplode(rows).alias("seq", "x"))
     names = [f.split(":")[0].strip() for f in ANNOTATION.strip()[len("struct<") : -1].split(",") if ":" in f]
     pick = lambda n: F.coalesce(F.col(f"x.annotation.{n}"), F.col(f"x.{n}"))
     index, at = F.coalesce(pick("frame_index"), F.col("seq")), F.coalesce(pick("timestamp_sec"), F.lit(0.0))
-    own = [pick(n).alias(n) for n in names if n not in ("frame_index", "timestamp_sec")]
+    own = [pick(n).alias(n) for n in names if n not in ("frame_id", "frame_index", "timestamp_sec")]
+    own = [F.coalesce(F.nullif("x.frame_id", F.lit("")), F.col("x.annotation.frame_id")).alias("frame_id"), *own, F.coalesce("x.image_path", F.lit("")).alias("image_path")]
     return each.select("program_id", F.col("seq").cast("long").alias("seq"), index.alias("frame_index"), at.alias("timestamp_sec"), F.coalesce("x.span_start_sec", at).alias("start_sec"), F.coalesce("x.span_end_sec", at).alias("end_sec"), *own)
 
 
@@ -140,20 +145,27 @@ def service_ids(spark: SparkSession, path: str) -> DataFrame:
         return raw.map(lambda b: bytes(b).decode("cp932", "replace"))
 
     files = spark.read.format("binaryFile").load(path)
-    found = F.regexp_extract(decode("content"), r"ServiceID:(\d+)", 1)
+    found = F.regexp_extract(decode("content"), SERVICE_ID, 1)
     name = F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1)
     return files.select(name.alias("program_id"), F.when(found != "", found.cast("int")).alias("service_id"))
 
 
+#: The form of a silence filter's log line and of a recording note's service number.
+SILENCE_END = r"silence_end:\s*([\d.]+)"
+SERVICE_ID = r"ServiceID:(\d+)"
+
+
 def read_silence_ends(spark: SparkSession, path: str, container_start: float = 0.0) -> DataFrame:
     """Distinct ends of silence in a media tool's log, less the container's start if that is over a second."""
     return silence_ends_from(_lines(spark, path), container_start)
 
 
 def silence_ends_from(lines: DataFrame, container_start: float = 0.0) -> DataFrame:
+    """Distinct ends of silence; with a container start of over a second they count from there, and earlier ones go."""
     zero = container_start if container_start > 1.0 else 0.0
-    found = F.explode(F.regexp_extract_all("value", F.lit(r"silence_end:\s*([\d.]+)"), F.lit(1)))
-    return lines.select("program_id", found.alias("t")).select("program_id", F.bround(F.col("t").cast("double") - zero, 3).alias("time_sec")).distinct()
+    found = F.explode(F.regexp_extract_all("value", F.lit(SILENCE_END), F.lit(1)))
+    each = lines.select("program_id", found.alias("t")).withColumn("t", F.col("t").cast("double"))
+    return each.where(F.col("t") >= zero).select("program_id", F.bround(F.col("t") - zero, 3).alias("time_sec")).distinct()
 
 
 def scene_frames(scenes: DataFrame, media_duration: float, most: int | None = None, offset: float = 0.0) -> DataFrame:

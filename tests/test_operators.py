@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from chronoweave.functions import scalars as S
@@ -166,13 +167,44 @@ def test_window_size(spark):
 
 
 def _matches(p, t, tol):
-    left, n = list(p), 0
-    for x in t:
-        near = [(abs(y - x), y) for y in left if abs(y - x) <= tol]
-        if near:
-            left.remove(min(near)[1])
-            n += 1
-    return n
+    """The largest matching, over all choices for the first true point."""
+    if not t:
+        return 0
+    near = [y for y in p if abs(y - t[0]) <= tol]
+    return max([_matches(p, t[1:], tol), *(1 + _matches([z for z in p if z != y], t[1:], tol) for y in near)])
+
+
+def test_the_largest_matching_is_not_greedy(spark):
+    make = lambda xs: spark.createDataFrame([("p", x) for x in xs], "program_id string, time_sec double")
+    assert evaluation.match_counts(make([75.0, 115.0]), make([100.0, 140.0]), 30.0).first()["tp"] == 2
+    got = evaluation.match_counts(make([75.0, 115.0, 900.0]), make([100.0]), 30.0).first()
+    assert (got["tp"], got["fp"], got["fn"]) == (1, 2, 0)
+
+
+def _best_total(pairs, used=()):
+    if not pairs:
+        return 0.0
+    (p, t, v), rest = pairs[0], pairs[1:]
+    free = ("p", p) not in used and ("t", t) not in used
+    return max(_best_total(rest, used), v + _best_total(rest, (*used, ("p", p), ("t", t))) if free else 0.0)
+
+
+@pytest.mark.parametrize("apart", [True, False])
+def test_topic_matching_against_all_choices(apart):
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        if apart:
+            spans = [np.sort(rng.choice(60, 2 * rng.integers(1, 6), replace=False)).reshape(-1, 2) for _ in "pt"]
+        else:
+            spans = [np.sort(rng.integers(0, 60, (rng.integers(1, 5), 2)), axis=1) for _ in "pt"]
+        pairs = [(i, j, (min(a[1], b[1]) - max(a[0], b[0])) / (max(a[1], b[1]) - min(a[0], b[0]))) for i, a in enumerate(spans[0]) for j, b in enumerate(spans[1]) if min(a[1], b[1]) > max(a[0], b[0])]
+        pairs.sort(key=lambda x: (max(spans[0][x[0]][0], spans[1][x[1]][0]), min(spans[0][x[0]][1], spans[1][x[1]][1])))
+        if pairs:
+            p, t, v = (np.array(x) for x in zip(*pairs))
+            taken = evaluation.best_matching(p, t, v)
+            assert len(set(p[taken])) == len(set(t[taken])) == taken.sum()
+            assert abs(v[taken].sum() - _best_total(pairs)) < 1e-9
+            assert not apart or evaluation.chain_matching(p, t, v) is not None
 
 
 def test_match_counts_against_brute_force(spark):
@@ -214,6 +246,8 @@ def test_bootstrap_repeats_numpy(spark):
     df = spark.createDataFrame([(str(i), v) for i, v in enumerate(values)], "program_id string, m double")
     got = evaluation.bootstrap(df, "program_id", ["m"]).first()
     means = np.array(values)[np.random.default_rng(42).integers(0, 4, (1000, 4))].mean(axis=1)
+    index = np.random.default_rng(3).integers(0, 7, (100, 7))
+    assert (evaluation.resample(np.arange(7.0)[:, None], 100, np.random.default_rng(3))[:, 0] == np.arange(7.0)[index].mean(axis=1)).all()
     assert abs(got["ci_low"] - np.percentile(means, 2.5)) < 1e-12 and abs(got["ci_high"] - np.percentile(means, 97.5)) < 1e-12
 
 
@@ -227,3 +261,28 @@ def test_depth_scores(spans, spark):
     g = spark.createDataFrame([("p", i, v) for i, v in enumerate([0.5, 0.9, 0.2, 0.4, 0.8, 0.1])], "program_id string, gap int, similarity double")
     got = dict(rows(baselines.depth_scores(g), "gap", "depth"))
     assert abs(got[2] - (0.7 + 0.6)) < 1e-9 and abs(got[1]) < 1e-9 and abs(got[5] - 0.7) < 1e-9
+
+
+def test_cohesion_in_chunks_is_the_same(spark):
+    rng = random.Random(4)
+    texts = spark.createDataFrame([("p", i, " ".join(f"w{rng.randrange(30)}" for _ in range(rng.randint(0, 40)))) for i in range(40)], "program_id string, seq long, text string")
+    blocks = baselines.token_blocks(texts, 5)
+    whole, cut = (dict(rows(baselines.cohesion_gaps(blocks, 3, chunk=k), "gap", "similarity")) for k in (1000, 4))
+    assert whole.keys() == cut.keys() and all(abs(whole[g] - cut[g]) < 1e-12 for g in whole) and len(whole) > 20
+
+
+def test_refine_chain_counts(spark, spans):
+    ranges = spans([(0.0, 50.0), (50.0, 51.0), (51.0, 100.0)])
+    at = lambda xs: spark.createDataFrame([("p", x) for x in xs], "program_id string, time_sec double")
+    out, counts = intervals.refine_ranges(ranges, at([20.0, 50.5, 99.8]), at([20.4, 90.0]))
+    assert rows(out, "start_sec", "end_sec") == [(0.0, 20.4), (20.4, 51.0), (51.0, 75.5), (75.5, 100.0)] or rows(out, "start_sec", "end_sec")[0] == (0.0, 20.4)
+    got = counts.first().asDict()
+    assert (got["n_scenes_in"], got["n_long_scenes"], got["n_second_pass_cuts"], got["n_cuts_snapped"], got["n_cuts_inserted"], got["n_merged"]) == (3, 2, 2, 1, 1, 1)
+    assert got["n_scenes_out"] == out.count() == 3 - 1 + 1 + got["n_forced_split_cuts"]
+
+
+def test_start_end_contrast(spark):
+    make = lambda rows_: spark.createDataFrame([(str(i), *r) for i, r in enumerate(rows_)], "program_id string, start_f1 double, end_f1 double")
+    got = evaluation.start_end_contrast(make([(0.9, 0.5), (0.8, 0.6)]), make([(0.5, 0.5), (0.6, 0.4)])).first()
+    assert got["n"] == 2 and abs(got["start_gain"] - 0.3) < 1e-12 and abs(got["end_gain"] - 0.1) < 1e-12 and abs(got["mean_contrast"] - 0.2) < 1e-12
+    assert got["ci_low"] <= 0.2 <= got["ci_high"]
