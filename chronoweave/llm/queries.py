@@ -140,11 +140,11 @@ ORACLE_SQL: dict[str, str] = {
             SELECT doc_id, i - 1 AS line, raw, list_filter(regexp_split_to_array(lower(raw), '[ \\t\\x0b\\x0c\\r]+'), lambda x: x <> '') AS w
             FROM (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))
         ),
-        d AS (SELECT w, any_value(len(w)) AS n, min(doc_id * 1000000 + line) AS first FROM ln WHERE len(w) >= 3 GROUP BY w),
-        e AS (SELECT *, list_reverse(w) AS r FROM d WHERE n >= 8),
+        d AS (SELECT w, any_value(len(w)) AS n, min(doc_id * 1000000 + line) AS first FROM ln WHERE len(w) > 0 GROUP BY w),
+        e AS (SELECT *, list_reverse(w) AS r FROM d WHERE n >= 7),
         pairs AS (
             SELECT a.first, a.n AS n, b.n AS m, least(a.n, b.n) AS k, a.w AS x, b.w AS y, a.r AS xr, b.r AS yr
-            FROM e a JOIN (SELECT *, unnest([n - 1, n, n + 1]) AS near FROM e) b ON a.n = b.near AND b.first < a.first
+            FROM e a JOIN (SELECT *, unnest([n - 1, n, n + 1]) AS near FROM e) b ON a.n = b.near AND b.first < a.first AND greatest(a.n, b.n) >= 8
         ),
         gone AS (
             SELECT DISTINCT first FROM (

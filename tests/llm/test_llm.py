@@ -457,8 +457,8 @@ def brute_lines(pairs):
         kept = []
         for line in (t or "").split("\n"):
             w = WORD.findall(line.lower())
-            gone = len(w) >= 3 and any(w == e or (len(w) >= 8 and len(e) >= 8 and near(w, e)) for e in earlier)
-            if len(w) >= 3:
+            gone = bool(w) and any(w == e or (max(len(w), len(e)) >= 8 and near(w, e)) for e in earlier)
+            if w:
                 earlier.append(w)
             if not gone:
                 kept.append(line)
@@ -469,7 +469,7 @@ def brute_lines(pairs):
 def test_lines(spark, odd, empty):
     rng = random.Random(7)
     line = lambda n: [f"w{rng.randrange(40)}" for _ in range(n)]
-    pool = [line(rng.choice([1, 2, 3, 7, 8, 9, 15, 30])) for _ in range(60)]
+    pool = [line(rng.choice([1, 2, 3, 7, 8, 9, 12, 13, 15, 16, 24, 30])) for _ in range(60)]
     rows = []
     for i in range(80):
         some = []
@@ -494,6 +494,25 @@ def test_lines(spark, odd, empty):
     assert line_dedup.line_dedup(odd).count() == 5 and line_dedup.line_dedup(empty).count() == 0
 
 
+def test_very_long_lines_one_word_apart(spark):
+    w = [f"w{i * i % 1009}" for i in range(30_000)]
+    rows = [(1, " ".join(w)), (2, " ".join([*w[:20_000], "other", *w[20_001:]])), (3, " ".join([*w[:9_000], *w[9_001:]])), (4, " ".join([*w[:9_000], "a", "b", *w[9_002:]]))]
+    got = table(line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [got[i]["n_removed"] for i in (1, 2, 3, 4)] == [0, 1, 1, 0]
+
+
+def test_lines_of_rows_with_null_repeated_and_clashing_ids(spark):
+    rows = [
+        (None, "shared first line here\nunique second line that nobody else has", 1), (None, "another opening line here\nshared first line here", 2),
+        (5, "one text\nshared first line here", 3), (5, "other text\nanother opening line here\nonly here", 4), (6, "one text", 5), (6, "one text", 6), (7, "\n \n", 7),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, line long").withColumnRenamed("line", "row")
+    got = {r["row"]: r["text"] for r in line_dedup.line_dedup(df).collect()}
+    assert got[1] == "unique second line that nobody else has" and got[2] == ""
+    assert got[3] == "one text\nshared first line here" and got[4] == "other text\nanother opening line here\nonly here"
+    assert got[5] == got[6] == "" and got[7] == "\n \n"
+
+
 # The pipeline
 
 
