@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keep
+from .shared import discard, keep
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -32,10 +32,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     edges: u, v (long). Self-links and repeats don't matter.
     """
-    edges = keep(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    before, now_kept = [], []
+    edges = keep(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links", shelf=before)
     state = None
     for _ in range(rounds):
-        edges = keep(_star(_star(edges, True), False), "links")
+        edges = keep(_star(_star(edges, True), False), "links", shelf=now_kept)
+        discard(edges.sparkSession, before)
+        before, now_kept = now_kept, before
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % (1 << 40)).alias("s")).first()
         if state == (now["n"], now["s"]):
             break

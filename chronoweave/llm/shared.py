@@ -10,22 +10,38 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one is set where the setting is missing (tests)."""
+    """The folder named in spark.checkpoint.dir. Where it is unset, a temporary one is set in local mode; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="chronoweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def keep(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: this cuts lineage and survives lost executors."""
+def keep(df: DataFrame, tag: str, codec: str = "snappy", shelf: list[str] | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: this cuts lineage and survives lost executors.
+
+    shelf takes the path, for discard() once nothing reads the table any more.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/chronoweave/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=codec)
+    if shelf is not None:
+        shelf.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, shelf: list[str]) -> None:
+    """Delete the kept tables on the shelf."""
+    jvm = spark.sparkContext._jvm
+    while shelf:
+        path = jvm.org.apache.hadoop.fs.Path(shelf.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

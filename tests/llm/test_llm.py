@@ -77,6 +77,56 @@ def test_words_and_shingles():
 # 1 decontamination
 
 
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(before + (x != y), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
+def test_edit_distance_against_all_runs():
+    rng = random.Random(12)
+    for _ in range(150):
+        item, run = [rng.randrange(4) for _ in range(rng.randint(1, 7))], [rng.randrange(4) for _ in range(rng.randint(0, 12))]
+        all_ = [(plain_distance(item, run[a:b]), b, a) for a in range(len(run) + 1) for b in range(a, len(run) + 1)]
+        d, end, start = min(all_)
+        assert decontaminate.edit_distance(item, run, 99) == (d, start, end)
+        assert (decontaminate.edit_distance(item, run, d - 1) is None) and decontaminate._last_row(item, run, False) == [plain_distance(item, run[:b]) for b in range(len(run) + 1)]
+
+
+def mixed_edits(rng, w, n):
+    w = list(w)
+    for _ in range(n):
+        at, kind = rng.randrange(len(w)), rng.randrange(3)
+        if kind == 0:
+            w[at] = f"new{rng.randrange(99)}"
+        elif kind == 1:
+            w.insert(at, f"new{rng.randrange(99)}")
+        else:
+            w.pop(at)
+    return w
+
+
+@pytest.mark.parametrize("low,high", [(8, 30), (30, 150), (150, 300), (300, 600), (600, 1500)])
+def test_recall_of_passages_with_a_fifth_edited(low, high):
+    rng = random.Random(low)
+    items = [[f"w{rng.randrange(3000)}" for _ in range(rng.randint(low, high))] for _ in range(40)]
+    docs = [" ".join([*(f"w{rng.randrange(3000)}" for _ in range(60)), *mixed_edits(rng, w, int(0.2 * len(w))), *(f"w{rng.randrange(3000)}" for _ in range(60))]) for w in items]
+    made = decontaminate.Items(list(range(40)), [" ".join(w) for w in items])
+    found = {(text + t.first, item) for t in texts(pa.array(docs)) for text, item, *_ in decontaminate.search(made, t)}
+    assert {a for a, b in found if a == b} == {a for a, _ in found}
+    assert len(found) >= 38
+
+
+def test_short_items_are_whole_documents(spark):
+    df = spark.createDataFrame([(1, "The  answer", "x"), (2, "the answer is", "x"), (3, "so the answer", "x"), (1, "The  answer", "y")], "doc_id long, text string, distance string")
+    bench = spark.createDataFrame([(7, "the answer"), (8, "")], "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.passages(df, bench).collect()] == [(1, 7, 0, 0, 11)]
+    assert sorted(r["doc_id"] for r in decontaminate.decontaminate(df, bench).collect()) == [2, 3]
+
+
 def test_passages_with_edits(spark):
     rng = random.Random(2)
     vocab = [f"w{i}" for i in range(400)]
@@ -99,10 +149,10 @@ def test_passages_with_edits(spark):
     for r in got:
         if r["doc_id"] is not None:
             found, item = text[r["doc_id"]][r["start_char"] : r["end_char"]].split(), dict(items)[r["item_id"]].split()
-            assert decontaminate.edit_distance(item, found, 99)[0] == r["distance"] <= 0.2 * len(item)
+            assert plain_distance(item, found) == r["distance"] <= 0.2 * len(item)
     left = {r["doc_id"] for r in decontaminate.decontaminate(df, bench).collect()}
     assert left >= {1000, 2000, 2001, None} and 0 not in left
-    assert decontaminate.passages(df, bench, block=7).count() == len(got)
+    assert decontaminate.passages(df, bench, block_bytes=2000).count() == len(got)
     assert decontaminate.passages(df, bench.limit(0)).count() == 0 and decontaminate.passages(df.limit(0), bench).count() == 0
 
 
