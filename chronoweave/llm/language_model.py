@@ -1,26 +1,35 @@
 """Language-model scoring with a weighted backoff automaton over words.
 
-Tokens are words as in tokens.py and one end after each text. The automaton has a root state and a state
-for every word that begins a kept bigram; a text starts in the state of the end. From a state, an arc
-for a kept bigram emits the word with its discounted probability; without such an arc the state's
-failure arc leads to the root at the state's backoff weight, where the word is emitted with its
-add-one probability. One pass from left to right carries the state and adds up the log probabilities;
-the weights are set so that each state's probabilities sum to one.
+Tokens are words as in tokens.py and one end after each text. The model is an interpolated trigram model
+with absolute discounting:
+
+    P(w)      = (c(w) + 1) / (N + V + 1)
+    P(w | v)  = max(c(v w) - D, 0) / c(v) + L(v) P(w)            L(v)   = D n(v) / c(v)
+    P(w | uv) = max(c(u v w) - D, 0) / c(u v) + L(u v) P(w | v)  L(u v) = 1 - (m(u v) - D n(u v)) / c(u v)
+
+where trigrams count from LEAST occurrences on, n is the number of arcs of a context and m the sum of their
+counts; every bigram of the training texts is kept. As an automaton: a state for every pair of words that
+starts a kept trigram, one for every word that starts a bigram, and a root. From a state, an arc for a kept
+n-gram emits the word with its probability above; without such an arc the state's failure arc leads to
+the state of its last word, or to the root, at weight L. A text starts in the state of the end and is
+read once from left to right; the state and the sum of log probabilities are carried. After each token the
+state is the longest kept suffix of what was read, so the states of a whole block are found in one step.
 
 The corpus becomes blocks of some hundred thousand tokens: per text the ranks of its words in the block's
-own vocabulary. Words and bigrams are dealt to shards by hash, where the training counts of each are summed
-and sent back to the blocks that asked, so no task holds the corpus vocabulary or the whole automaton. Every
-bigram of the training texts is kept, at any size of the corpus. Of the blocks that hold a bigram one owns
-it; the owned ones are summed for each state, which gives the weights of the failure arcs, and only these
-are asked for by the texts that fail somewhere.
+own vocabulary. N-grams are dealt to shards by hash, where the training counts of each are summed and sent
+back to the blocks that asked, so no task holds the corpus vocabulary or the whole automaton:
+
+1. words and bigrams; 2. trigrams of which both bigrams reach LEAST (others can't); 3. arcs and counts of
+contexts: of the blocks that hold an n-gram one owns it and adds it to its context.
 
 Null texts count as empty: one end. Rows with a null id are not held out. Repeated rows count as often
-as they come. If nothing can be learned, every token has probability 1.
+as they come. If nothing can be learned, every token has probability 1. Extra columns don't matter; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,43 +37,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keep, text_of
+from .shared import discard, keep, keep_bucketed, shuffle_partitions, text_of
 from .tokens import U64, Words, mix, texts
 
-#: Tokens in a block; discount; words or bigrams in a shard, counted in every block that has them.
-BLOCK, DISCOUNT, SHARD = 500_000, 0.5, 500_000
+#: Tokens in a block; discount; occurrences from which a trigram counts; n-grams in a shard, counted in every block that has them.
+BLOCK, DISCOUNT, LEAST, SHARD = 300_000, 0.5, 2, 500_000
 END = U64(0x454E44)
 _LEFT, _RIGHT = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
 
 
-def pair_key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+def joined_key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The key of the n-gram of a context's key and a word."""
     return mix(h * _LEFT + w * _RIGHT + U64(1))
 
 
-BLOCK_SCHEMA = "block long, doc_ids binary, no_id binary, held binary, offsets binary, low binary, high binary, vocab binary, counts binary, n_train long, n_pairs long"
+BLOCK_SCHEMA = "block long, doc_ids binary, no_id binary, held binary, offsets binary, low binary, high binary, vocab binary, n_train long, n_pairs long"
 
 
-def blocks(docs: DataFrame, id_col: str, text_col: str, held: str, block_tokens: int = BLOCK) -> DataFrame:
-    """Rows of BLOCK_SCHEMA: the texts as ranks, the vocabulary's training counts and the number of distinct bigrams."""
+def blocks(docs: DataFrame, id_col: str, text_col: str, held: str, block_tokens: int, shelf: list[str]) -> DataFrame:
+    """Rows of BLOCK_SCHEMA: the texts as ranks in the block's vocabulary, and the number of distinct bigrams."""
     names = [f.split()[0] for f in BLOCK_SCHEMA.split(", ")]
 
     def made(block: int, ids: list, flags: list, hashes: list) -> pa.RecordBatch:
         size = np.array([len(h) for h in hashes], dtype=np.int64)
         off = np.concatenate([[0], np.cumsum(size)])
-        flat = np.concatenate(hashes)
-        vocab, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
+        vocab, inverse, count = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
         rank = np.empty(len(vocab), dtype=np.int64)
         order = np.argsort(-count, kind="stable")
         rank[order] = np.arange(len(vocab))
-        stream, vocab = rank[inverse].astype(np.uint32), vocab[order]
-        train = np.repeat(~np.array(flags, dtype=bool), size)
-        counts = np.bincount(stream[train], minlength=len(vocab)).astype(np.uint32)
-        n_train = int(train.sum())
-        pair = np.unique(_bigrams(off, stream.astype(np.int64), vocab))
+        stream, vocab = rank[inverse], vocab[order]
+        n_train = int(size[~np.array(flags, dtype=bool)].sum())
+        n_pairs = len(np.unique(_bigrams(off, stream, vocab)))
         idn = np.array([0 if i is None else i for i in ids], dtype=np.int64)
-        values = [
-            idn, np.array([i is None for i in ids]), np.array(flags, dtype=bool), off, (stream & 0xFFFF).astype(np.uint16), (stream >> 16).astype(np.uint16), vocab, counts, n_train, len(pair),
-        ]
+        values = [idn, np.array([i is None for i in ids]), np.array(flags, dtype=bool), off, (stream & 0xFFFF).astype(np.uint16), (stream >> 16).astype(np.uint16), vocab, n_train, n_pairs]
         return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([v.tobytes()], pa.binary()) if isinstance(v, np.ndarray) else pa.array([v], pa.int64()) for v in values)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,20 +86,14 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, held: str, block_tokens:
                     flags.append(held_out[t.first + i])
                     hashes.append(np.append(w.hash[w.off[i] : w.off[i + 1]], END))
                     total += len(hashes[-1])
-                if total >= block_tokens:
-                    yield made(block, ids, flags, hashes)
-                    block, ids, flags, hashes, total = block + 1, [], [], [], 0
+                    if total >= block_tokens:
+                        yield made(block, ids, flags, hashes)
+                        block, ids, flags, hashes, total = block + 1, [], [], [], 0
         if ids:
             yield made(block, ids, flags, hashes)
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(held).alias("held"), text_of(text_col).alias("t"))
-    return keep(source.mapInArrow(run, BLOCK_SCHEMA), "lm-blocks", "zstd")
-
-
-def _stream(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(off, ranks, vocab) of a block."""
-    get = lambda c, t: np.frombuffer(row[c], dtype=t)
-    return get("offsets", np.int64), get("low", np.uint16).astype(np.int64) | get("high", np.uint16).astype(np.int64) << 16, get("vocab", U64)
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held, F.lit(False)).alias("held"), text_of(text_col).alias("t"))
+    return keep_bucketed(source.mapInArrow(run, BLOCK_SCHEMA), "lm_blocks", "block", shuffle_partitions(docs.sparkSession), shelf)
 
 
 def _bigrams(off: np.ndarray, stream: np.ndarray, vocab: np.ndarray) -> np.ndarray:
@@ -109,12 +108,18 @@ def _sides(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """64-bit numbers by byte planes: those of small or sorted numbers compress to little."""
-    return np.ascontiguousarray(np.ascontiguousarray(x, dtype="<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """64-bit numbers by byte planes, without the upper ones that are empty; the first byte counts them."""
+    planes = np.ascontiguousarray(x, dtype="<u8").view(np.uint8).reshape(-1, 8).T
+    k = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return bytes([k]) + np.ascontiguousarray(planes[:k]).tobytes()
 
 
 def _unpack(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    k = b[0]
+    planes = np.frombuffer(b, np.uint8, offset=1).reshape(k, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :k] = planes.T
+    return out.view("<u8").ravel()
 
 
 def _pack_keys(keys: np.ndarray) -> bytes:
@@ -126,148 +131,201 @@ def _unpack_keys(b: bytes) -> np.ndarray:
     return np.cumsum(_unpack(b), dtype=U64)
 
 
-def _edges(keys: np.ndarray, shards: int) -> np.ndarray:
-    """Where each shard of the sorted keys begins."""
-    return np.searchsorted(((keys >> U64(32)) * U64(shards)) >> U64(32), np.arange(shards + 1))
+class Block:
+    """A block's tokens as n-grams: words are ranks in vocab, bigrams places in pair, trigrams places in triple.
+
+    stream and of_pair give each token's word and bigram. Counts are those of the whole training corpus.
+    """
+
+    def __init__(self, row: dict):
+        get = lambda c, t: np.frombuffer(row[c], dtype=t)
+        self.off, self.vocab, self.held = get("offsets", np.int64), get("vocab", U64), get("held", bool)
+        self.stream = get("low", np.uint16).astype(np.int64) | get("high", np.uint16).astype(np.int64) << 16
+        self.pair, self.of_pair = np.unique(_bigrams(self.off, self.stream, self.vocab), return_inverse=True)
+        self.left, self.right = _sides(self.pair)
+        self.train = np.repeat(~self.held, np.diff(self.off))
+        self.pair_keys = joined_key(self.vocab[self.left], self.vocab[self.right])
+
+    def learned(self, told: dict[int, np.ndarray]) -> None:
+        """Take up the counts of words and bigrams."""
+        self.c, self.n = told[0], told[1]
+
+    def find_triples(self) -> None:
+        """Trigrams whose two bigrams both have LEAST occurrences; tokens where one ends, and which."""
+        inner = np.ones(len(self.stream), dtype=bool)
+        inner[self.off[:-1]] = False
+        at = np.flatnonzero(inner)
+        context = self.of_pair[at - 1]
+        often = self.n >= LEAST
+        some = often[context] & often[self.of_pair[at]]
+        self.at = at[some]
+        self.triple, self.of_triple = np.unique(context[some].astype(U64) << U64(32) | self.stream[self.at].astype(U64), return_inverse=True)
+        self.context, last = _sides(self.triple)
+        self.triple_keys = joined_key(self.pair_keys[self.context], self.vocab[last])
+
+    def contexts(self) -> np.ndarray:
+        """Bigrams that may start a kept trigram."""
+        return np.flatnonzero(self.n >= LEAST)
+
+
+def score_tokens(b: Block, triple_count: np.ndarray, arcs: np.ndarray, pair_arcs: np.ndarray, pair_mass: np.ndarray, n_train: int, n_vocab: int) -> tuple[np.ndarray, np.ndarray]:
+    """log10 of P(w) and of the automaton's probability of every token.
+
+    arcs: n of every word. pair_arcs and pair_mass: n and m of every bigram.
+    """
+    c, n = b.c.astype(float), b.n.astype(float)
+    root = ((c + 1) / (n_train + n_vocab + 1))[b.stream]
+    fail = np.where(c > 0, DISCOUNT * arcs / np.maximum(c, 1), 1.0)
+    arc = np.maximum(n - DISCOUNT, 0) * (n > 0) / np.maximum(c[b.left], 1)
+    p = arc[b.of_pair] + fail[b.left][b.of_pair] * root
+    # from the state of two words, where there is one
+    fail = np.where(pair_arcs > 0, 1 - (pair_mass - DISCOUNT * pair_arcs) / np.maximum(n, 1), 1.0)
+    state = np.full(len(b.stream), -1)
+    inner = np.ones(len(b.stream), dtype=bool)
+    inner[b.off[:-1]] = False
+    at = np.flatnonzero(inner)
+    state[at] = b.of_pair[at - 1]
+    p = np.where(state >= 0, fail[state], 1.0) * p
+    kept = triple_count >= LEAST
+    arc = np.where(kept, (triple_count - DISCOUNT) / np.maximum(n[b.context], 1), 0.0)
+    p[b.at] += arc[b.of_triple]
+    return np.log10(root), np.log10(np.maximum(p, 1e-300))
 
 
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+PIECE = "family int, shard int, block long, v binary, c binary, d binary"
+ANSWER = "family int, shard int, block long, c binary, d binary"
+
+
+def _cut(block: int, families: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray | None]]) -> pa.RecordBatch:
+    """Rows of PIECE: for each (family, shards, keys, c, d) the keys in order, cut by shard."""
+    rows: list[list] = [[], [], [], [], [], []]
+    for family, shards, keys, c, d in families:
+        o = np.argsort(keys)
+        keys = keys[o]
+        edge = np.searchsorted(((keys >> U64(32)) * U64(shards)) >> U64(32), np.arange(shards + 1))
+        for s in np.flatnonzero(np.diff(edge)).tolist():
+            part = slice(edge[s], edge[s + 1])
+            for column, value in zip(rows, (family, s, block, _pack_keys(keys[part]), _pack(c[o[part]]), b"" if d is None else _pack(d[o[part]]))):
+                column.append(value)
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds)], [f.split()[0] for f in PIECE.split(", ")])
+
+
+def _told(pieces: list[dict] | None, keys: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By family, the two columns of the answers in the order of keys."""
+    out = {}
+    for family, k in keys.items():
+        mine = sorted((x for x in pieces or [] if x["family"] == family), key=lambda x: x["shard"])
+        o = np.argsort(k)
+        both = []
+        for column in ("c", "d"):
+            x = np.zeros(len(k), np.int64)
+            if len(k):
+                x[o] = np.concatenate([_unpack(y[column]) for y in mine])
+            both.append(x)
+        out[family] = tuple(both)
+    return out
+
+
+def _sum(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Sums over the blocks of a shard; d of an answer: the sums of d, or which block owns a key that was counted."""
+    pdf = pdf.sort_values("block")
+    v = [_unpack_keys(x) for x in pdf["v"]]
+    at = np.cumsum([len(x) for x in v])[:-1]
+    _, first, inverse = np.unique(np.concatenate(v), return_index=True, return_inverse=True)
+    total = lambda column: np.bincount(inverse, np.concatenate([_unpack(x) for x in pdf[column]])).astype(np.int64)
+    c = total("c")
+    if pdf["d"].iloc[0]:
+        d = total("d")[inverse]
+    else:
+        d = np.zeros(len(inverse), np.int64)
+        d[first[c > 0]] = 1
+    c = c[inverse]
+    return pd.DataFrame({"family": key[0], "shard": key[1], "block": pdf["block"].to_numpy(), "c": [_pack(x) for x in np.split(c, at)], "d": [_pack(x) for x in np.split(d, at)]})
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: str = "held_out", block_tokens: int = BLOCK, shard_words: int = SHARD) -> DataFrame:
     """OUT for every row; docs has a boolean column `held` of the rows that aren't learned from."""
-    spark = docs.sparkSession
-    made = blocks(docs, id_col, text_col, held, block_tokens)
-    size = made.agg(F.sum("n_train").alias("n"), F.sum(F.length("vocab") / 8).alias("words"), F.sum("n_pairs").alias("pairs"), F.count("*").alias("blocks")).first()
+    spark, shelf = docs.sparkSession, []
+    made = blocks(docs, id_col, text_col, held, block_tokens, shelf)
+    size = made.agg(F.sum("n_train").alias("n"), F.sum(F.length("vocab") / 8).alias("words"), F.sum("n_pairs").alias("pairs")).first()
     if size["words"] is None:
         return spark.createDataFrame([], OUT)
     n_train = int(size["n"])
-    # shards of words first, then those of bigrams
     w_shards, p_shards = (max(1, int(-(-size[k] // shard_words))) for k in ("words", "pairs"))
+    body = made.select("block", "held", "offsets", "low", "high", "vocab")
+
+    def ask(source: DataFrame, families: Callable[[dict], list], tag: str) -> DataFrame:
+        """Deal what families() gives for each block to shards and keep the sums that come back, a list a block."""
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    row = batch.slice(i, 1).to_pylist()[0]
+                    yield _cut(row["block"], families(row))
+
+        return keep(source.mapInArrow(deal, PIECE).groupBy("family", "shard").applyInPandas(_sum, ANSWER), tag, "zstd", shelf)
+
+    def by_block(answers: DataFrame, name: str) -> DataFrame:
+        return answers.groupBy("block").agg(F.collect_list(F.struct("family", "shard", "c", "d")).alias(name))
+
+    def counts(row: dict) -> Block:
+        b = Block(row)
+        told = _told(row["one"], {0: b.vocab, 1: b.pair_keys})
+        b.learned({f: x[0] for f, x in told.items()})
+        b.own = told[1][1] > 0
+        b.find_triples()
+        return b
+
+    def first(row: dict) -> list:
+        b = Block(row)
+        of = b.stream[b.train]
+        return [(0, w_shards, b.vocab, np.bincount(of, minlength=len(b.vocab)), None), (1, p_shards, b.pair_keys, np.bincount(b.of_pair[b.train], minlength=len(b.pair)), None)]
+
+    def second(row: dict) -> list:
+        b = counts(row)
+        return [(2, p_shards, b.triple_keys, np.bincount(b.of_triple[b.train[b.at]], minlength=len(b.triple)), None)]
+
+    def third(row: dict) -> list:
+        b = counts(row)
+        n, own = _told(row["two"], {2: b.triple_keys})[2]
+        owned = (own > 0) & (n >= LEAST)
+        some = b.contexts()
+        arcs, mass = (np.bincount(b.context[owned], w, minlength=len(b.pair)).astype(np.int64)[some] for w in (None, n[owned]))
+        return [(3, w_shards, b.vocab, np.bincount(b.left[b.own], minlength=len(b.vocab)), None), (4, p_shards, b.pair_keys[some], arcs, mass)]
+
+    one = ask(body, first, "lm-counts")
+    n_vocab = int(one.where(F.col("family") == 0).select(F.explode(_ones("d")).alias("n")).agg(F.sum("n")).first()[0] or 0)
+    with_one = body.join(by_block(one, "one"), "block")
+    two = ask(with_one, second, "lm-trigrams")
+    with_two = with_one.join(by_block(two, "two"), "block", "left")
+    three = ask(with_two, third, "lm-contexts")
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                off, stream, vocab = _stream(row)
-                train = np.repeat(~np.frombuffer(row["held"], dtype=bool), np.diff(off))
-                pair, inverse = np.unique(_bigrams(off, stream, vocab), return_inverse=True)
-                left, right = _sides(pair)
-                shard, v, c = [], [], []
-                for keys, n, first, shards in (
-                    (vocab, np.frombuffer(row["counts"], np.uint32), 0, w_shards),
-                    (pair_key(vocab[left], vocab[right]), np.bincount(inverse[train], minlength=len(pair)), w_shards, p_shards),
-                ):
-                    o = np.argsort(keys)
-                    keys, n = keys[o], n[o]
-                    edge = _edges(keys, shards)
-                    some = np.flatnonzero(np.diff(edge))
-                    shard += (some + first).tolist()
-                    v += [_pack_keys(keys[edge[s] : edge[s + 1]]) for s in some]
-                    c += [_pack(n[edge[s] : edge[s + 1]]) for s in some]
-                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array([row["block"]] * len(shard), pa.int64()), pa.array(v, pa.binary()), pa.array(c, pa.binary())], ["shard", "block", "v", "c"])
-
-    def merge(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block")
-        v = [_unpack_keys(x) for x in pdf["v"]]
-        at = np.cumsum([len(x) for x in v])
-        _, first, inverse = np.unique(np.concatenate(v), return_index=True, return_inverse=True)
-        total = np.bincount(inverse, np.concatenate([_unpack(x) for x in pdf["c"]])).astype(np.int64)
-        own = np.zeros(len(inverse), dtype=bool)
-        own[first[total > 0]] = True
-        own = np.split(own, at[:-1])
-        return pd.DataFrame({
-            "shard": key[0], "block": pdf["block"].to_numpy(), "c": [_pack(x) for x in np.split(total[inverse], at[:-1])],
-            "own": [np.packbits(x).tobytes() for x in own], "n_own": [int(x.sum()) for x in own],
-        })
-
-    answers = keep(
-        made.select("block", "held", "offsets", "low", "high", "vocab", "counts").mapInArrow(deal, "shard int, block long, v binary, c binary")
-        .groupBy("shard").applyInPandas(merge, "shard int, block long, c binary, own binary, n_own long"), "lm-counts", "zstd",
-    )
-    n_vocab = int(answers.where(F.col("shard") < w_shards).agg(F.sum("n_own")).first()[0])
-
-    # Each block's texts with all but the failure arcs (shard -1), and to every shard of words the sums
-    # of the states whose bigrams the block owns, and which texts fail in a state how often.
-    names = ["shard", "block", "doc_ids", "no_id", "held", "tokens", "known", "base", "sure", "v", "c", "arcs", "mass", "ask", "ask_doc", "times"]
-    parts = "shard int, block long, " + ", ".join(f"{x} binary" for x in names[2:])
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                off, stream, vocab = _stream(row)
-                told = sorted(row["told"], key=lambda x: x["shard"])
-                pair, inverse = np.unique(_bigrams(off, stream, vocab), return_inverse=True)
-                left, right = _sides(pair)
-                c, n, own = np.empty(len(vocab), np.int64), np.empty(len(pair), np.int64), np.empty(len(pair), bool)
-                c[np.argsort(vocab)] = np.concatenate([_unpack(x["c"]) for x in told if x["shard"] < w_shards])
-                o, mine = np.argsort(pair_key(vocab[left], vocab[right])), [x for x in told if x["shard"] >= w_shards]
-                n[o] = np.concatenate([_unpack(x["c"]) for x in mine])
-                own[o] = np.concatenate([np.unpackbits(np.frombuffer(x["own"], np.uint8), count=len(x["c"]) // 8) for x in mine])
-                root = np.log10((c + 1) / (n_train + n_vocab + 1))[stream]
-                # each token's arc, or its root where it takes the failure arc first
-                arc = np.log10(np.maximum(n - DISCOUNT, DISCOUNT) / np.maximum(c[left], 1))
-                fails = n[inverse] == 0
-                sure, start = np.where(fails, root, arc[inverse]), off[:-1]
-                values = {
-                    "doc_ids": row["doc_ids"], "no_id": row["no_id"], "held": row["held"], "tokens": np.diff(off).tobytes(), "known": np.add.reduceat((c[stream] > 0).astype(np.int64), start).tobytes(),
-                    "base": np.add.reduceat(root, start).tobytes(), "sure": np.add.reduceat(sure, start).tobytes(),
-                }
-                rows = [{"shard": -1, "block": row["block"], **values}]
-                arcs, mass = np.bincount(left[own], minlength=len(vocab)), np.bincount(left[own], c[right[own]] + 1, minlength=len(vocab)).astype(np.int64)
-                at = np.flatnonzero(fails)
-                asked, times = np.unique((np.searchsorted(off, at, side="right") - 1).astype(U64) << U64(32) | left[inverse[at]].astype(U64), return_counts=True)
-                ask_doc, ask = _sides(asked)
-                some = np.flatnonzero((arcs > 0) | (np.bincount(ask, minlength=len(vocab)) > 0))
-                some = some[np.argsort(vocab[some])]
-                place = np.zeros(len(vocab), np.int64)
-                place[some] = np.arange(len(some))
-                by = np.argsort(place[ask], kind="stable")
-                ask, ask_doc, times = place[ask][by], ask_doc[by], times[by]
-                edge = _edges(vocab[some], w_shards)
-                ask_edge = np.searchsorted(ask, edge)
-                for s in np.flatnonzero(np.diff(edge)):
-                    k, q = some[edge[s] : edge[s + 1]], slice(ask_edge[s], ask_edge[s + 1])
-                    rows.append({"shard": int(s), "block": row["block"], "v": _pack_keys(vocab[k]), "c": _pack(c[k]), "arcs": _pack(arcs[k]), "mass": _pack(mass[k]), "ask": _pack(ask[q] - edge[s]), "ask_doc": _pack(ask_doc[q]), "times": _pack(times[q])})
-                yield pa.RecordBatch.from_pydict({x: [r.get(x) for r in rows] for x in names}, schema=schema)
-
-    schema = pa.schema([("shard", pa.int32()), ("block", pa.int64()), *((x, pa.binary()) for x in names[2:])])
-    # about a block in a partition, so that no Arrow batch holds many
-    told = answers.repartition(size["blocks"], "block").groupBy("block").agg(F.collect_list(F.struct("shard", "c", "own")).alias("told"))
-    walked = keep(made.drop("counts", "n_train", "n_pairs").repartition(size["blocks"], "block").hint("merge").join(told, "block").mapInArrow(walk, parts), "lm-walks", "zstd")
-
-    def fail(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        v = [_unpack_keys(x) for x in pdf["v"]]
-        c, arcs, mass = ([_unpack(x) for x in pdf[k]] for k in ("c", "arcs", "mass"))
-        word, first, inverse = np.unique(np.concatenate(v), return_index=True, return_inverse=True)
-        c = np.concatenate(c)[first]
-        arcs, mass = np.bincount(inverse, np.concatenate(arcs)), np.bincount(inverse, np.concatenate(mass))
-        # every bigram of a state is kept, so its arcs give away no more than their discounts
-        over, under = DISCOUNT * arcs / np.maximum(c, 1), 1 - mass / (n_train + n_vocab + 1)
-        weight = np.where(arcs > 0, np.log10(np.maximum(over, 1e-12) / np.maximum(under, 1e-12)), 0.0)
-        out = {"block": [], "texts": [], "more": []}
-        for block, at, ask, ask_doc, times in zip(pdf["block"], np.split(inverse, np.cumsum([len(x) for x in v])[:-1]), *(map(_unpack, pdf[k]) for k in ("ask", "ask_doc", "times"))):
-            if len(ask):
-                text, k = np.unique(ask_doc, return_inverse=True)
-                out["block"].append(block)
-                out["texts"].append(text.astype(np.int64).tobytes())
-                out["more"].append(np.bincount(k, times * weight[at[ask.astype(np.int64)]]).tobytes())
-        return pd.DataFrame(out).astype({"block": "int64"})
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                get = lambda c, t: np.frombuffer(row[c], dtype=t)  # noqa: B023, E731
-                logp = get("sure", np.float64).copy()
-                for x in sorted(row["told"] or [], key=lambda x: x["shard"]):
-                    logp[np.frombuffer(x["texts"], np.int64)] += np.frombuffer(x["more"], np.float64)
-                ids = pa.array(get("doc_ids", np.int64), mask=get("no_id", bool))
+                b = counts(row)
+                n, _ = _told(row["two"], {2: b.triple_keys})[2]
+                some = b.contexts()
+                told = _told(row["three"], {3: b.vocab, 4: b.pair_keys[some]})
+                arcs, mass = (np.zeros(len(b.pair), np.int64) for _ in "nm")
+                arcs[some], mass[some] = told[4]
+                root, logp = score_tokens(b, n, told[3][0], arcs, mass, n_train, n_vocab)
+                start, known = b.off[:-1], (b.c[b.stream] > 0).astype(np.int64)
+                ids = pa.array(np.frombuffer(row["doc_ids"], np.int64), mask=np.frombuffer(row["no_id"], bool))
                 yield pa.RecordBatch.from_arrays([
-                    ids, pa.array(get("held", bool)), pa.array(get("tokens", np.int64)), pa.array(get("known", np.int64)), pa.array(np.full(len(ids), n_train)), pa.array(get("base", np.float64)), pa.array(logp),
+                    ids, pa.array(b.held), pa.array(np.diff(b.off)), pa.array(np.add.reduceat(known, start)), pa.array(np.full(len(ids), n_train)), pa.array(np.add.reduceat(root, start)), pa.array(np.add.reduceat(logp, start)),
                 ], [f.split()[0] for f in OUT.split(", ")])
 
-    failed = walked.where("shard >= 0").select("shard", "block", *names[9:]).groupBy("shard").applyInPandas(lambda key, pdf: fail(key, pdf).assign(shard=key[0]), "block long, texts binary, more binary, shard int")
-    told_fail = failed.groupBy("block").agg(F.collect_list(F.struct("shard", "texts", "more")).alias("told"))
-    whole = walked.where("shard = -1").select("block", *names[2:9]).hint("merge").join(told_fail, "block", "left")
-    return whole.mapInArrow(finish, OUT)
+    whole = made.select(*body.columns, "doc_ids", "no_id").join(by_block(one, "one"), "block").join(by_block(two, "two"), "block", "left").join(by_block(three, "three"), "block")
+    out = keep(whole.mapInArrow(finish, OUT), "lm-scores")
+    discard(spark, shelf)
+    return out
+
+
+def _ones(column: str):
+    """How many ones a packed column of zeros and ones holds, as an array of one number."""
+    digits = F.hex(F.substring(column, 2, 1 << 30))
+    return F.array(F.length(F.regexp_replace(digits, "0", "")).cast("long"))
