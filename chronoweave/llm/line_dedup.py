@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keep, shuffle_partitions
+from .shared import discard, keep, shuffle_partitions
 
 #: Fewest words of the longer of two lines that are compared under the edit bound of one word.
 MIN_WORDS = 8
@@ -58,21 +58,21 @@ def _count(s: Column) -> Column:
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """PLACE of the lines that go."""
-    parts = shuffle_partitions(docs.sparkSession)
+    parts, shelf = shuffle_partitions(docs.sparkSession), []
     s, least = F.col("s"), min_words - 1
     source = rows(docs, id_col, text_col)
     every = lines(source).where(s != "").withColumn("n", _count(s))
     every = keep(every.select(*PLACE, "n", F.xxhash64(s).alias("h"), F.xxhash64(s, F.lit(1)).alias("g"), *_ends(s, least)), "lines")
     place = F.struct(*PLACE)
     first = every.groupBy("h", "g", "n").agg(F.min(place).alias("first"), F.count("*").alias("times"), *(F.min(k).alias(k) for k in ENDS))
-    first = keep(first, "distinct-lines")
+    first = keep(first, "distinct-lines", shelf=shelf)
 
     # Lines that could have a neighbour: some other line of about this length has one of its ends.
     # (The same filter on both sides of a join lets its two branches share one shuffle.)
     ended = first.where(F.col("n") >= least).select("h", "g", F.posexplode(F.array(*ENDS)).alias("which", "k")).where(F.col("k").isNotNull()).repartition(parts, "k")
     met = ended.groupBy("k").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a < b").select("k")
     sides = ended.join(met, "k").groupBy("h", "g").agg(F.max(F.col("which") % 2 == 0).alias("head"), F.max(F.col("which") % 2 == 1).alias("tail"))
-    near = keep(sides.join(first.select("h", "g", "first"), ["h", "g"]), "near-lines")
+    near = keep(sides.join(first.select("h", "g", "first"), ["h", "g"]), "near-lines", shelf=shelf)
 
     # Their words, fetched again at each line's first place.
     asked = near.select("h", "g", "head", "tail", "first.*")
@@ -81,7 +81,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
         lines(there).join(asked, PLACE).where(F.xxhash64("s") == F.col("h"))
         .select(place.alias("place"), "head", "tail", F.split("s", " ").alias("words"))
     )
-    fetched = keep(fetched, "line-words")
+    fetched = keep(fetched, "line-words", "zstd", shelf)
 
     # A key of a deletion carries its position where a word is replaced (both lines lack the word there),
     # and none where a word is inserted or deleted (the variant is the other line whole).
@@ -111,6 +111,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     # Lines that stand once and stay are left out; kept, so that a line of very many documents can be split.
     judged = first.join(gone, ["h", "g"], "left").where((F.col("times") > 1) | F.col("gone"))
     verdict = keep(judged.select("h", "g", "n", "first", F.coalesce("gone", F.lit(False)).alias("gone")), "line-verdicts")
+    discard(docs.sparkSession, shelf)
     later = every.select(*PLACE, "h", "g", "n").join(verdict, ["h", "g", "n"])
     return later.where(F.col("gone") | (place != F.col("first"))).select(*PLACE).distinct()
 
@@ -119,10 +120,10 @@ ENDS = ("k0", "k1", "k2", "k3")
 
 
 def _end_length(n: Column) -> Column:
-    """How many first or last words of a line of n words make its key: 3, 4, 6, 8, 12, ... up to half of the rest."""
+    """How many first or last words of a line of n words make its key: half of the rest, rounded down to quarters of a power of two."""
     m = F.floor((n - 1) / F.lit(2)).cast("int")
-    p = F.pow(F.lit(2.0), F.floor(F.log2(m + 0.5))).cast("int")
-    return F.when(m * 2 >= p * 3, (p * 3 / 2).cast("int")).otherwise(p)
+    step = F.greatest(F.pow(F.lit(2.0), F.floor(F.log2(m + 0.5)) - 2), F.lit(1.0))
+    return (F.floor(m / step) * step).cast("int")
 
 
 def _ends(s: Column, least: int) -> list[Column]:
