@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,15 +36,31 @@ def keep(df: DataFrame, tag: str, codec: str = "snappy", shelf: list[str] | None
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucket_ids(task: int, buckets: int) -> Iterator[int]:
+    """Numbers of a task that all fall into one of the buckets (by Spark's hash of a long), other ones for each task."""
+    rotate = lambda x, r: x << np.uint32(r) | x >> np.uint32(32 - r)
+    word = lambda x: rotate(x * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+    step = lambda h, k: rotate(h ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    at = task << 36
+    while True:
+        x = np.arange(at, at + 64 * buckets, dtype=np.int64)
+        h = step(step(np.full(len(x), 42, np.uint32), word(x.astype(np.uint32))), word((x >> 32).astype(np.uint32))) ^ np.uint32(8)
+        h = (h ^ h >> np.uint32(16)) * np.uint32(0x85EBCA6B)
+        h = (h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35)
+        h = (h ^ h >> np.uint32(16)).view(np.int32)
+        yield from x[h % buckets == task % buckets].tolist()
+        at += 64 * buckets
+
+
 def keep_bucketed(df: DataFrame, tag: str, column: str, buckets: int, shelf: list[str] | None = None) -> DataFrame:
-    """As keep(), dealt out by a column, so that joins by that column don't shuffle the table again.
+    """As keep(), in buckets of a column, so that joins by that column don't shuffle the table again.
 
-    The catalogue's entry is only needed to write it and goes at once; the files stay until discard().
+    A task that numbers its rows by bucket_ids() writes one file, so nothing is shuffled for this. The catalogue's
+    entry is only needed to write the table and goes at once; the files stay until discard().
     """
     spark, name = df.sparkSession, f"chronoweave_{tag}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/chronoweave/{name}"
-    dealt = df.repartition(buckets, column)
-    dealt.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, column).saveAsTable(name)
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, column).saveAsTable(name)
     if shelf is not None:
         shelf.append(path)
     out = spark.table(name)

@@ -449,26 +449,35 @@ def test_widely_copied_values_are_examples(spark):
 # 9 language model
 
 
+def test_bucket_ids_are_those_of_spark(spark):
+    from pyspark.sql import functions as F
+
+    from chronoweave.llm.shared import bucket_ids
+
+    rows = [(i, t) for t in (0, 1, 5, 900_000) for i, _ in zip(bucket_ids(t, 7), range(200))]
+    assert len({i for i, _ in rows}) == 800
+    assert spark.createDataFrame(rows, "i long, t long").where(F.pmod(F.hash("i"), F.lit(7)) != F.col("t") % 7).count() == 0
+
+
 class Automaton:
     """The backoff automaton as dictionaries: arcs and failure arcs of every state, read token by token."""
 
-    def __init__(self, training, d=0.5, least=2):
+    def __init__(self, training, d=0.5, prior=4.0, least=2):
         self.c, two, three = collections.Counter(), collections.Counter(), collections.Counter()
         for t in training:
             self.c.update(t)
             two.update(zip([None, *t[:-1]], t))
             three.update(zip([None, *t[:-2]], t, t[1:]))
-        three = {k: n for k, n in three.items() if n >= least}
         self.n, self.v = sum(self.c.values()), len(self.c)
         self.arcs, self.fail = collections.defaultdict(dict), {}
         for v in {k[0] for k in two}:
             some = {w: n for (x, w), n in two.items() if x == v}
             self.fail[v,] = d * len(some) / self.c[v]
             self.arcs[v,] = {w: (n - d) / self.c[v] + self.fail[v,] * self.root(w) for w, n in some.items()}
-        for uv in {k[:2] for k in three}:
+        for uv in {k[:2] for k in three if two[k[:2]] >= least}:
             some = {k[2]: n for k, n in three.items() if k[:2] == uv}
-            self.fail[uv] = 1 - sum(n - d for n in some.values()) / two[uv]
-            self.arcs[uv] = {w: (n - d) / two[uv] + self.fail[uv] * self.prob(uv[1:], w) for w, n in some.items()}
+            self.fail[uv] = prior / (two[uv] + prior)
+            self.arcs[uv] = {w: n / (two[uv] + prior) + self.fail[uv] * self.prob(uv[1:], w) for w, n in some.items()}
 
     def root(self, w):
         return (self.c[w] + 1) / (self.n + self.v + 1)
