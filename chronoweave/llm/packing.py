@@ -1,13 +1,16 @@
 """Packing of tokenised documents into fixed windows by lexical retrieval.
 
-A document's ids are cut into whole windows and a tail. Tails are dealt to shards of bounded size by
-hash; each shard has a BM25 inverted index over its tails (terms are token ids, document frequencies
-come from the whole corpus). The longest unused tail is a seed: the index returns its unused neighbours,
-best first, which fill the seed's window, the last one cut to fit; its rest stays in the pool. Only the
-last window of a shard can stay short.
+A document's ids are cut into whole windows and a tail. Tails are dealt to shards of bounded size by their
+strongest BM25 term, so that tails about one thing meet at any size of the corpus; a term of too many
+tails is split by hash. Each shard has a BM25 inverted index over its tails (terms are token ids, document
+frequencies come from the whole corpus). The longest unused tail is a seed: the index, asked with all its terms,
+returns its unused neighbours, best first, which fill the seed's window, the last one cut to fit; its rest stays in
+the pool. Where no neighbour is left the longest unused tails fill the window. Only the last window of a shard can
+stay short.
 
 Null texts count as empty, so every row has at least the end id; rows with null or repeated ids are
-packed as documents of their own. An empty table gives no rows.
+packed as documents of their own. Names of special tokens in a text are these tokens, as the tokenizer says. Extra
+columns don't matter. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keep, text_of
+from .shared import discard, keep, text_of
 
 WINDOW, END_ID = 1024, 0
-#: Tokens of tails in a shard; terms of a seed that are looked up; BM25's k1 and b.
-SHARD_TOKENS, QUERY_TERMS, K1, B = 2_000_000, 12, 1.2, 0.75
+#: Tokens of tails in a shard; BM25's k1 and b.
+SHARD_TOKENS, K1, B = 1_000_000, 1.2, 0.75
 
 
 def vocabulary_path() -> str:
@@ -43,19 +46,22 @@ def encoder(path: str):
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
-        vocab = json.load(f)["model"]["vocab"]
+        file = json.load(f)
+    vocab, special = file["model"]["vocab"], {t["content"]: t["id"] for t in file.get("added_tokens", [])}
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in plain]
     to_byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-    ranks = {bytes(map(to_byte.__getitem__, token)): i for token, i in vocab.items() if all(c in to_byte for c in token) and not token.startswith("<|")}
-    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ranks = {bytes(map(to_byte.__getitem__, token)): i for token, i in vocab.items() if token not in special and all(c in to_byte for c in token)}
+    if max(*vocab.values(), *special.values(), END_ID) >= 1 << 16:
+        raise ValueError("ids are kept in 16 bits")
+    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def tokenise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+def tokenise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, shelf: list[str] | None = None) -> DataFrame:
     """Per document doc_id, n (ids), full (checksums of its whole windows), tail (the rest, 16-bit ids).
 
     A task adds one row with df: over how many of its documents each id goes.
@@ -72,7 +78,7 @@ def tokenise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
             for lo in range(0, batch.num_rows, 512):
                 n, full, tails = [], [], []
                 for text in column.slice(lo, 512).to_pylist():
-                    ids = np.append(enc.encode_to_numpy(text, disallowed_special=()), END_ID).astype(np.uint16)
+                    ids = np.append(enc.encode_to_numpy(text, allowed_special="all"), END_ID).astype(np.uint16)
                     df[np.unique(ids)] += 1
                     cut = len(ids) // WINDOW * WINDOW
                     n.append(len(ids))
@@ -82,7 +88,7 @@ def tokenise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.binary()), pa.array([df.tobytes()])], schema=schema)
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("t"))
-    return keep(source.mapInArrow(run, "doc_id long, n long, full array<long>, tail binary, df binary"), "tokens")
+    return keep(source.mapInArrow(run, "doc_id long, n long, full array<long>, tail binary, df binary"), "tokens", shelf=shelf)
 
 
 def _sum_df(tokens: DataFrame) -> np.ndarray:
@@ -99,6 +105,11 @@ def _sum_df(tokens: DataFrame) -> np.ndarray:
     return sum(np.frombuffer(r["df"], np.int64) for r in parts)
 
 
+def strength(tf: np.ndarray, idf: np.ndarray, length: np.ndarray | int, mean_length: float) -> np.ndarray:
+    """BM25's weight of terms that occur tf times in texts of these lengths."""
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean_length))
+
+
 class Index:
     """BM25 over some bags of token ids."""
 
@@ -106,21 +117,19 @@ class Index:
         size = np.array([len(b) for b in bags], dtype=np.int64)
         owner = np.repeat(np.arange(len(bags), dtype=np.int64), size)
         key, tf = np.unique((owner << 16) | np.concatenate(bags).astype(np.int64), return_counts=True)
-        doc, term = key >> 16, key & 0xFFFF
-        weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / mean_length))).astype(np.float32)
+        doc, self.term = key >> 16, key & 0xFFFF
+        weight = strength(tf, idf[self.term], size[doc], mean_length).astype(np.float32)
         self.n, self.first = len(bags), np.searchsorted(doc, np.arange(len(bags) + 1))
-        self.term, self.weight = term, weight
-        order = np.argsort(term, kind="stable")
+        order = np.argsort(self.term, kind="stable")
         self.doc, self.by_term = doc[order].astype(np.int32), weight[order]
-        self.at = np.searchsorted(term[order], np.arange(len(idf) + 1))
+        self.at = np.searchsorted(self.term[order], np.arange(len(idf) + 1))
 
     def scores(self, i: int) -> np.ndarray:
-        """Of every bag against the strongest terms of bag i."""
-        a, b = self.first[i], self.first[i + 1]
-        w = self.weight[a:b]
-        terms = self.term[a:b][np.argpartition(-w, QUERY_TERMS - 1)[:QUERY_TERMS]] if b - a > QUERY_TERMS else self.term[a:b]
-        spans = [(self.at[t], self.at[t + 1]) for t in terms]
-        return np.bincount(np.concatenate([self.doc[x:y] for x, y in spans]), np.concatenate([self.by_term[x:y] for x, y in spans]), minlength=self.n)
+        """Of every bag against the terms of bag i."""
+        terms = self.term[self.first[i] : self.first[i + 1]]
+        a, n = self.at[terms], self.at[terms + 1] - self.at[terms]
+        at = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        return np.bincount(self.doc[at], self.by_term[at], minlength=self.n)
 
 
 def fill(tails: list[np.ndarray], idf: np.ndarray, mean_length: float) -> Iterator[list[tuple[int, int, int]]]:
@@ -152,40 +161,72 @@ def fill(tails: list[np.ndarray], idf: np.ndarray, mean_length: float) -> Iterat
             s = index.scores(seed)
             s[left == 0] = 0
             near = np.flatnonzero(s > 0)
-            if len(near) > 64:
-                best = near[np.argpartition(-s[near], 63)[:64]]
-                if left[best].sum() >= room:
-                    near = best
             for j in near[np.lexsort((near, -s[near]))]:
                 take(j)
                 if not room:
                     break
-            k = at + 1
-            while room and k < len(order):
-                if left[order[k]]:
-                    take(order[k])
-                k += 1
+            while room and at + 1 < len(order):
+                at += 1
+                if left[order[at]]:
+                    take(order[at])
         yield window
 
 
+def _strongest(rows: DataFrame, idf: np.ndarray, mean_length: float) -> DataFrame:
+    """rows with term: the id of the tail's strongest term, -1 for an empty tail."""
+    names = ["doc_id", "n", "full", "tail"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms = []
+            for tail in batch.column("tail").to_pylist():
+                ids, tf = np.unique(np.frombuffer(tail, np.uint16), return_counts=True)
+                terms.append(int(ids[np.argmax(strength(tf, idf[ids], len(tail) // 2, mean_length))]) if len(ids) else -1)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(terms, pa.int32())], [*names, "term"])
+
+    return rows.select(*names).mapInArrow(run, "doc_id long, n long, full array<long>, tail binary, term int")
+
+
+def _shards(sizes: dict[int, float], limit: int) -> dict[int, tuple[int, int]]:
+    """term -> (first shard, number of shards): small terms share one up to the limit, large ones have several."""
+    out, shard, room = {}, -1, 0.0
+    for term, size in sorted(sizes.items()):
+        if size > limit:
+            k = int(-(-size // limit))
+            out[term] = (shard + 1, k)
+            shard, room = shard + k, 0.0
+            continue
+        if size > room:
+            shard, room = shard + 1, float(limit)
+        out[term] = (shard, 1)
+        room -= size
+    return out
+
+
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece."""
-    tokens = tokenise(docs, id_col, text_col, path)
+    spark, shelf = docs.sparkSession, []
+    tokens = tokenise(docs, id_col, text_col, path, shelf)
     rows = tokens.where("df is null").drop("df")
     out = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     total = rows.agg(F.count("*").alias("n"), F.sum(F.length("tail") / 2).alias("ids")).first()
     if not total["n"]:
-        return docs.sparkSession.createDataFrame([], out)
+        return spark.createDataFrame([], out)
     df = _sum_df(tokens)
     idf = np.log(1 + (total["n"] - df + 0.5) / (df + 0.5))
     mean_length = max(1.0, total["ids"] / total["n"])
-    shards = max(1, int(-(-max(total["ids"], total["n"] * 32) // shard_tokens)))
+    keyed = keep(_strongest(rows, idf, mean_length), "packing-terms")
+    discard(spark, shelf)
+    # one row a term, so never more than the vocabulary; a short tail costs a shard more than its ids
+    sizes = {r["term"]: float(r["size"]) for r in keyed.groupBy("term").agg(F.sum(F.greatest(F.length("tail") / 2, F.lit(32.0))).alias("size")).collect()}
+    of = spark.createDataFrame([(t, a, k) for t, (a, k) in _shards(sizes, shard_tokens).items()], "term int, first int, k int")
+    dealt = keyed.join(F.broadcast(of), "term").withColumn("shard", F.col("first") + F.pmod(F.xxhash64("doc_id", F.crc32("tail")), F.col("k")).cast("int")).drop("term", "first", "k")
 
     def one_shard(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "n"], kind="stable")
         doc, n, full = pdf["doc_id"].to_numpy(), pdf["n"].to_numpy(), list(pdf["full"])
         tails = [np.frombuffer(t, np.uint16) for t in pdf["tail"]]
-        pieces, sequence = [], key[0] << 32
+        pieces, sequence = [], int(key[0]) << 32
         for d, m, crcs in zip(doc, n, full):
             for i, crc in enumerate(crcs):
                 pieces.append((d, i * WINDOW, WINDOW, crc, m, sequence, 0))
@@ -200,5 +241,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
             sequence += 1
         return pd.DataFrame(pieces, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.crc32("tail")), F.lit(shards)))
     return dealt.groupBy("shard").applyInPandas(one_shard, out)
