@@ -2,15 +2,18 @@
 
 A text becomes a TF-IDF vector of hashed byte n-grams (letters only, A-Z lower-cased, other ASCII as one
 separator), scaled to unit length. Each language has several centroids from spherical k-means; the best
-cosine names the language, and a text that is too far from every centroid is rejected.
+cosine names the language, and a text that is too far from every centroid for its length is rejected. How far
+that is, is learned from stretches of the sample's texts, as short texts lie further off than long ones.
 
-The classifier is fitted on a bounded sample: the sample_per_lang labelled rows of each language with
-the smallest hash of their id. Null or letterless texts are `und` with score 0 and rejected; so is
-every text if nothing could be learned. Rows with null or repeated ids each get a row of their own.
+The classifier is fitted on a bounded sample: the sample_per_lang distinct labelled rows of each language with
+the smallest hash of id and text. Null or letterless texts are `und` with score 0 and rejected; so is
+every text if nothing could be learned. Rows with null or repeated ids each get a row of their own. Extra columns
+pass through; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,16 +27,19 @@ from .tokens import U64, texts
 
 #: Vector length; n-gram lengths; labelled rows of a language that are learned from; centroids of a language.
 DIM, GRAMS, SAMPLE, CENTROIDS = 4096, (2, 3), 400, 4
-#: A text is rejected below this share of the lowest cosine that its centroid has with its own sample.
-REJECT = 0.15
+#: A text is rejected below this share of the cosine that all but this part of stretches of its length reach; the
+#: classes of length by their first bytes, with the length of their stretches; shorter texts are too far only
+#: without any n-gram in common.
+REJECT, QUANTILE = 0.75, 0.01
+LENGTHS, STRETCHES = np.array([18, 35, 70, 140, 280, 560]), (25, 50, 100, 200, 400, 1000)
 
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 FOLD[[b for b in range(128) if not chr(b).isalpha()]] = 32
 
 
-def features(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, counts of each row's n-grams, whether it has a letter), for runs of rows."""
+def features(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, counts of each row's n-grams, whether it has a letter, its bytes), for runs of rows."""
     for t in texts(column, limit=1 << 20, rows=256):
         b = FOLD[t.data]
         row = np.repeat(np.arange(t.n), np.diff(t.off))
@@ -51,7 +57,7 @@ def features(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         plain = np.bincount(row[(b != 32) & (b < 128)], minlength=t.n) > 0
         for i in np.flatnonzero(~plain & (np.bincount(row[b >= 128], minlength=t.n) > 0)):
             plain[i] = any(map(str.isalpha, t.bytes_of(i).decode("utf-8", "replace")))
-        yield t.first, out, plain
+        yield t.first, out, plain, np.diff(t.off)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -64,17 +70,22 @@ def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
+    """A language and a row of limits, by class of length, for each centroid."""
+
     langs: list[str]
     centroids: np.ndarray
-    floor: np.ndarray
+    limit: np.ndarray
     idf: np.ndarray
 
 
 def _cluster(x: np.ndarray, k: int) -> np.ndarray:
-    """Spherical k-means from spread-out seeds."""
-    chosen = [0]
+    """Spherical k-means; seeds are drawn with chances by their distance from those before."""
+    rng, chosen = np.random.default_rng(5), [0]
     while len(chosen) < min(k, len(x)):
-        chosen.append(int((x @ x[chosen].T).max(axis=1).argmin()))
+        far = np.maximum(1 - (x @ x[chosen].T).max(axis=1), 0)
+        if far.sum() < 1e-6:
+            break
+        chosen.append(int(rng.choice(len(x), p=far / far.sum())))
     c = x[chosen]
     for _ in range(12):
         own = (x @ c.T).argmax(axis=1)
@@ -82,25 +93,43 @@ def _cluster(x: np.ndarray, k: int) -> np.ndarray:
     return c
 
 
+def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int) -> DataFrame:
+    """lang, t of the per_lang distinct rows of each language with the smallest keys.
+
+    Counts of the languages give a bound of the keys under which there are about three times as many, so few rows
+    travel and no language's rows go to one task.
+    """
+    named = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    named = named.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("t"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"))
+    counts = named.groupBy("lang").agg(F.count("*").alias("n"))
+    share = F.least(F.lit(1.0), F.lit(3.0 * per_lang) / F.col("n"))
+    bound = counts.select("lang", (share * float(1 << 62)).cast("long").alias("bound"))
+    some = named.join(bound, "lang").where(F.shiftrightunsigned("key", 2) <= F.col("bound"))
+    some = some.where(F.col("t").rlike("\\p{L}")).groupBy("lang", "key").agg(F.min("t").alias("t"))
+    return some.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("n") <= per_lang).select("lang", "t")
+
+
+def _stretches(text: str) -> list[tuple[int, str]]:
+    """(class of length, a stretch of that length) of a text, from a place that depends on the text alone."""
+    data, out = text.encode(), [(-1, text)]
+    for k, n in enumerate(STRETCHES):
+        if len(data) >= n:
+            at = zlib.crc32(data) % (len(data) - n + 1)
+            out.append((k, data[at : at + n].decode("utf-8", "ignore")))
+    return out
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_per_lang: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
     """Learn from the labelled rows of docs; the caller leaves held-out rows away."""
-    named = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike("\\p{L}"))
-    key = F.struct(F.xxhash64(id_col), F.col(id_col))
-    ids = (
-        named.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), key.alias("key"), F.pmod(F.xxhash64(id_col), F.lit(16)).alias("salt"))
-        .withColumn("n", F.row_number().over(Window.partitionBy("lang", "salt").orderBy("key"))).where(F.col("n") <= sample_per_lang)
-        .withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("n") <= sample_per_lang)
-        .select("id", "lang")
-    )
-    sample = named.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("t")).join(ids, ["id", "lang"], "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs = batch.column("lang").to_pylist()
-            for first, x, _ in features(batch.column("t")):
-                yield pa.RecordBatch.from_pydict({"lang": langs[first : first + len(x)], "x": [r.astype(np.float32).tobytes() for r in x]}, schema=pa.schema([("lang", pa.string()), ("x", pa.binary())]))
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("t").to_pylist()):
+                some = _stretches(text)
+                rows = [r.astype(np.float32).tobytes() for _, x, *_ in features(pa.array([t for _, t in some])) for r in x]
+                yield pa.RecordBatch.from_pydict({"lang": [lang] * len(rows), "k": [k for k, _ in some], "x": rows}, schema=pa.schema([("lang", pa.string()), ("k", pa.int32()), ("x", pa.binary())]))
 
-    counts = sample.select("lang", "t").mapInArrow(count, "lang string, x binary").persist()
+    counts = sample(docs, id_col, text_col, lang_col, sample_per_lang).mapInArrow(count, "lang string, k int, x binary").persist()
 
     def document_frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(DIM), 0
@@ -110,23 +139,26 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 n += 1
         yield pa.RecordBatch.from_pydict({"df": [total.tobytes()], "n": [n]}, schema=pa.schema([("df", pa.binary()), ("n", pa.int64())]))
 
-    parts = counts.coalesce(8).mapInArrow(document_frequency, "df binary, n long").collect()
+    parts = counts.where("k = -1").coalesce(8).mapInArrow(document_frequency, "df binary, n long").collect()
     n = sum(r["n"] for r in parts)
     idf = np.log((1 + n) / (1 + sum((np.frombuffer(r["df"]) for r in parts), np.zeros(DIM)))) + 1
 
     def cluster(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = weigh(np.stack([np.frombuffer(v, np.float32) for v in sorted(pdf["x"])]), idf)
-        c = _cluster(x, centroids)
-        near = x @ c.T
-        own = near.argmax(axis=1)
-        low = [float(near[own == j, j].min()) if (own == j).any() else 1.0 for j in range(len(c))]
-        return pd.DataFrame({"lang": key[0], "c": [r.astype(np.float32).tobytes() for r in c], "low": low})
-
-    rows = counts.groupBy("lang").applyInPandas(cluster, "lang string, c binary, low double").collect()
+        made = lambda k: weigh(np.stack([np.frombuffer(v, np.float32) for v in sorted(pdf.loc[pdf["k"] == k, "x"])]), idf)
+        c = _cluster(made(-1), centroids)
+        limit = np.zeros(len(STRETCHES))
+        for k in range(len(STRETCHES)):
+            if (pdf["k"] == k).any():
+                limit[k] = REJECT * np.quantile((made(k) @ c.T).max(axis=1), QUANTILE)
+            elif k:
+                limit[k] = limit[k - 1]
+        return pd.DataFrame({"lang": key[0], "c": [r.astype(np.float32).tobytes() for r in c], "limit": [limit.tobytes()] * len(c)})
+
+    rows = counts.groupBy("lang").applyInPandas(cluster, "lang string, c binary, limit binary").collect()
     counts.unpersist()
     rows = sorted(rows, key=lambda r: (r["lang"], r["c"]))
-    c = np.stack([np.frombuffer(r["c"], np.float32) for r in rows]) if rows else np.zeros((0, DIM), np.float32)
-    return Model([r["lang"] for r in rows], c, np.array([r["low"] for r in rows]), idf.astype(np.float32))
+    stack = lambda name, t, width: np.stack([np.frombuffer(r[name], t) for r in rows]) if rows else np.zeros((0, width), t)
+    return Model([r["lang"] for r in rows], stack("c", np.float32, DIM), stack("limit", np.float64, len(STRETCHES)), idf.astype(np.float32))
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", prefix: str = "") -> DataFrame:
@@ -137,7 +169,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", prefix: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lang, score, rejected = [], [], []
-            for _, x, letters in features(batch.column("__text").cast(pa.large_string())):
+            for _, x, letters, size in features(batch.column("__text").cast(pa.large_string())):
                 if not model.langs:
                     lang += ["und"] * len(x)
                     score += [0.0] * len(x)
@@ -146,7 +178,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", prefix: str =
                 near = weigh(x, model.idf) @ model.centroids.T
                 best = near.argmax(axis=1)
                 top = np.clip(near[np.arange(len(x)), best].astype(float), 0, 1)
-                far = top < REJECT * model.floor[best]
+                klass = np.searchsorted(LENGTHS, size, side="right") - 1
+                far = (top <= 0) | (klass >= 0) & (top < model.limit[best, np.maximum(klass, 0)])
                 lang += [model.langs[j] if ok else "und" for j, ok in zip(best, letters)]
                 score += np.where(letters, top, 0).tolist()
                 rejected += (far | ~letters).tolist()

@@ -6,8 +6,8 @@ the graph of every shard, and the shards' finds are merged. Nearness is the larg
 the graph, vectors are lengthened to one norm so that it is also the smallest Euclidean distance.
 
 Rows with a null id, or whose vector is null, zero or holds null or non-finite components, take no
-part. Repeated vectors are one node that carries its k + 1 smallest ids, which is all that a result of
-k rows can show. Vectors of different lengths never meet. Empty tables give no rows.
+part. Rows that repeat an id are candidates each; as queries, equal ones are one and others share one list. Repeated vectors are one node that carries its k + 1 smallest ids, which is all that a result of
+k rows can show. Vectors of different lengths never meet. Extra columns don't matter. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .shared import keep
 
-SHARD = 4096
-QUERY_BLOCK = 1024
+#: Distinct vectors in a shard; queries in a block; blocks that a task searches one shard for.
+SHARD, QUERY_BLOCK, BLOCKS_A_TASK = 4096, 1024, 64
 
 
 class Graph:
@@ -168,52 +168,67 @@ def build_index(vectors: DataFrame, k: int = 20, shard_size: int = SHARD, degree
     return keep(dealt.groupBy("shard", "dim").applyInPandas(build, schema), "ann-index")
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 20, beam: int = 96, degree: int = 32) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int = 20, beam: int = 96, degree: int = 32, block_size: int = QUERY_BLOCK, blocks_a_task: int = BLOCKS_A_TASK) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k nearest finds, its own row left out.
 
-    queries: vec_id, v, dim. They meet each shard in blocks of QUERY_BLOCK, so a task holds one shard
-    and one block.
+    queries: vec_id, v, dim. Blocks of queries are dealt to the shards, where one task holds a shard's graph while
+    up to blocks_a_task blocks pass by; only for more blocks is the shard sent again. Every query visits every
+    shard, so the work is the number of queries times that of shards, whatever the number of machines.
     """
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))
+    spark = queries.sparkSession
+    last = index.agg(F.max("shard")).first()[0]
     n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    packed = (
-        queries.withColumn("block", (block % blocks).cast("int")).groupBy("block", "dim")
-        .agg(F.collect_list(F.struct("vec_id", "v")).alias("qs"))
-    )
-    pairs = packed.join(index, "dim")
+    if last is None or not n:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    blocks = -(-n // block_size)
+    parts = -(-blocks // blocks_a_task)
+    block = F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int").alias("block")
+    packed = queries.select("vec_id", "v", "dim", block).groupBy("block", "dim").agg(F.collect_set(F.struct("vec_id", "v")).alias("qs"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    graphs = index.select("*", each(parts).alias("part"), F.lit(0).alias("block"), F.lit(False).alias("asks"))
+    asked = packed.select("dim", "qs", "block", (F.col("block") % parts).alias("part"), each(last + 1).alias("shard"), F.lit(True).alias("asks"))
+    met = graphs.unionByName(asked, allowMissingColumns=True).repartition(min(20_000, (last + 1) * parts), "shard", "part").sortWithinPartitions("shard", "part", "dim", "asks", "block")
+
+    def opened(one: dict) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
+        get = lambda c, t: np.frombuffer(one[c], dtype=t)
+        g, m = Graph.__new__(Graph), one["n"]
+        x = get("x", np.float64).reshape(m, one["dim"])
+        g.x = np.concatenate([x, get("longer", np.float64).reshape(m, 1)], axis=1).astype(np.float32)
+        g.sq = np.einsum("ij,ij->i", g.x, g.x)
+        g.edges, g.starts, g.degree, g.beam = get("edges", np.int32).reshape(m, degree), get("starts", np.int64), degree, beam
+        return g, x, get("ids", np.int64), get("id_off", np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = None, None
         for batch in batches:
             for row in range(batch.num_rows):
-                one = batch.slice(row, 1).to_pydict()
-                get = lambda c, t: np.frombuffer(one[c][0], dtype=t)
-                m, d = one["n"][0], one["dim"][0]
-                g = Graph.__new__(Graph)
-                x = get("x", np.float64).reshape(m, d)
-                g.x = np.concatenate([x, get("longer", np.float64).reshape(m, 1)], axis=1).astype(np.float32)
-                g.sq = np.einsum("ij,ij->i", g.x, g.x)
-                g.edges, g.starts, g.degree, g.beam = get("edges", np.int32).reshape(m, degree), get("starts", np.int64), degree, beam
-                ids, off = get("ids", np.int64), get("id_off", np.int64)
-                for lo in range(0, len(one["qs"][0]), 256):
-                    some = one["qs"][0][lo : lo + 256]
-                    q = np.array([s["v"] for s in some])
-                    found, _ = g.search(np.concatenate([q, np.zeros((len(q), 1))], axis=1).astype(np.float32), beam)
-                    out = {"query_id": [], "vec_id": [], "score": []}
-                    for i, s in enumerate(some):
-                        near = found[i][found[i] >= 0]
-                        score = x[near] @ q[i]
-                        size = off[near + 1] - off[near]
-                        vid = np.concatenate([ids[off[j] : off[j + 1]] for j in near]) if len(near) else np.zeros(0, np.int64)
-                        score = np.repeat(score, size)
-                        top = np.lexsort((vid, -score))
-                        top = top[vid[top] != s["vec_id"]][:k]
-                        out["query_id"] += [s["vec_id"]] * len(top)
-                        out["vec_id"] += vid[top].tolist()
-                        out["score"] += score[top].tolist()
-                    yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
-
-    found = pairs.repartition(max(2, min(2000, blocks * 8)), "block", "shard").mapInArrow(run, "query_id long, vec_id long, score double")
+                one = {c: batch.column(c)[row] for c in batch.schema.names}
+                this = tuple(one[c].as_py() for c in ("shard", "part", "dim"))
+                if not one["asks"].as_py():
+                    held, key = opened({c: x.as_py() for c, x in one.items() if c != "qs"}), this
+                elif key == this:
+                    # a block of vectors of a length that the shard lacks finds no graph
+                    qs = one["qs"].values
+                    ids, flat = qs.field("vec_id").to_numpy(), qs.field("v").flatten().to_numpy().reshape(-1, this[2])
+                    for lo in range(0, len(ids), 256):
+                        yield answers(held, ids[lo : lo + 256], flat[lo : lo + 256])
+
+    def answers(held: tuple, query: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+        g, x, ids, off = held
+        found, _ = g.search(np.concatenate([q, np.zeros((len(q), 1))], axis=1).astype(np.float32), beam)
+        out = {"query_id": [], "vec_id": [], "score": []}
+        for i, own in enumerate(query.tolist()):
+            near = found[i][found[i] >= 0]
+            vid = np.concatenate([ids[off[j] : off[j + 1]] for j in near]) if len(near) else np.zeros(0, np.int64)
+            score = np.repeat(x[near] @ q[i], off[near + 1] - off[near])
+            top = np.lexsort((vid, -score))
+            top = top[vid[top] != own][:k]
+            out["query_id"] += [own] * len(top)
+            out["vec_id"] += vid[top].tolist()
+            out["score"] += score[top].tolist()
+        return pa.RecordBatch.from_pydict(out, schema=pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
+
+    found = met.mapInArrow(run, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

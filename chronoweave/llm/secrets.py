@@ -2,11 +2,12 @@
 
 Every text is scanned for the three base kinds and for long mixed tokens that no base kind covers.
 The values' hashes are counted over the whole corpus by distinct repositories and owners: a value that
-many owners have is a copied example, one that stays with few owners looks like a live credential.
-Mixed tokens become spans of kind `owned` only if they look live; base spans always stay.
+many owners or many repositories have is a copied example, one that stays with few of both looks like a live
+credential. Mixed tokens become spans of kind `owned` only if they look live; base spans always stay.
 
-Null texts count as empty, a null owner as an owner of its own, rows with a null id are kept. Each row
-is scanned on its own, so repeated rows give repeated results, but one repository in the counts.
+A document is a repository, its owner_col the owner. Null texts count as empty, a null owner as an owner of its
+own, rows with a null id are kept and are one repository. Each row is scanned on its own, so repeated rows give repeated
+results, but one repository in the counts. Extra columns don't matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -118,29 +119,34 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """value, repositories, owners: over how many distinct documents and owners each value goes."""
+    """value, repositories, owners: over how many distinct documents and owners each value goes.
+
+    Repeats go before anything is counted, so a value of very many rows is gathered nowhere. It is kept, so that the
+    join with the rows can be split where a value has very many.
+    """
     each = found.select("doc_id", F.coalesce("owner", F.lit("")).alias("owner"), F.explode("found.value").alias("value"))
     by_owner = each.groupBy("value", "owner").agg(F.count("*").alias("n")).groupBy("value").agg(F.count("*").alias("owners"))
     by_repo = each.groupBy("value", "doc_id").agg(F.count("*").alias("n")).groupBy("value").agg(F.count("*").alias("repositories"))
-    return by_owner.join(by_repo, "value")
+    return keep(by_owner.join(by_repo, "value"), "secret-owners")
+
+
+SPAN = "struct<start:int,end:int,kind:string,live:boolean,owners:bigint,repositories:bigint>"
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", example_owners: int = 3) -> DataFrame:
-    """doc_id and spans array<struct<start, end, kind, live>> of every row, in order of start, then kind.
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", example_owners: int = 3, example_repositories: int = 10) -> DataFrame:
+    """doc_id and spans array<SPAN> of every row, in order of start, then kind.
 
-    live: fewer than example_owners owners have the value. `owned` spans are live ones only.
+    live: fewer than example_owners owners and fewer than example_repositories repositories have the value. `owned`
+    spans are live ones only.
     """
     found = keep(candidates(docs, id_col, text_col, owner_col).withColumn("row_id", F.monotonically_increasing_id()), "secrets")
     some = found.where(F.size("found") > 0)
     each = some.select("row_id", F.explode("found").alias("f"))
+    live = (F.col("owners") < example_owners) & (F.col("repositories") < example_repositories)
+    rank = F.element_at(F.create_map(*(F.lit(x) for kv in ORDER.items() for x in kv)), F.col("f.kind")).alias("rank")
     judged = (
-        each.join(ownership(some).select("value", (F.col("owners") < example_owners).alias("live")), each["f.value"] == F.col("value"))
-        .where((F.col("f.kind") != "owned") | F.col("live"))
-        .groupBy("row_id")
-        .agg(F.array_sort(F.collect_list(F.struct(
-            F.col("f.start").alias("start"), F.element_at(F.create_map(*(F.lit(x) for kv in ORDER.items() for x in kv)), F.col("f.kind")).alias("rank"),
-            F.col("f.end").alias("end"), F.col("f.kind").alias("kind"), "live"))).alias("s"))
+        each.join(ownership(some).withColumn("live", live), each["f.value"] == F.col("value")).where((F.col("f.kind") != "owned") | F.col("live"))
+        .groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct(F.col("f.start").alias("start"), rank, F.col("f.end").alias("end"), F.col("f.kind").alias("kind"), "live", "owners", "repositories"))).alias("s"))
     )
-    none = "array<struct<start:int,end:int,kind:string,live:boolean>>"
-    spans = F.transform("s", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["live"].alias("live")))
-    return found.drop("found", "owner").join(judged, "row_id", "left").select("doc_id", F.coalesce(spans, F.array().cast(none)).alias("spans"))
+    spans = F.transform("s", lambda x: F.struct(*(x[c].alias(c) for c in ("start", "end", "kind", "live", "owners", "repositories"))))
+    return found.drop("found", "owner").join(judged, "row_id", "left").select("doc_id", F.coalesce(spans, F.array().cast(f"array<{SPAN}>")).alias("spans"))
