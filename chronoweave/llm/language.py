@@ -27,6 +27,8 @@ from .tokens import U64, texts
 
 #: Vector length; n-gram lengths; labelled rows of a language that are learned from; centroids of a language.
 DIM, GRAMS, SAMPLE, CENTROIDS = 4096, (2, 3), 400, 4
+#: Languages at most: their counts and centroids go to the driver.
+MOST_LANGS = 1000
 #: A text is rejected below this share of the cosine that all but this part of stretches of its length reach; the
 #: classes of length by their first bytes, with the length of their stretches; shorter texts are too far only
 #: without any n-gram in common.
@@ -101,9 +103,11 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang:
     """
     named = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     named = named.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("t"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"))
-    counts = named.groupBy("lang").agg(F.count("*").alias("n"))
-    share = F.least(F.lit(1.0), F.lit(3.0 * per_lang) / F.col("n"))
-    bound = counts.select("lang", (share * float(1 << 62)).cast("long").alias("bound"))
+    counts = named.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGS + 1).collect()
+    if len(counts) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
+    share = [(r["lang"], int(min(1.0, 3.0 * per_lang / r["n"]) * (1 << 62))) for r in counts]
+    bound = F.broadcast(docs.sparkSession.createDataFrame(share, "lang string, bound long"))
     some = named.join(bound, "lang").where(F.shiftrightunsigned("key", 2) <= F.col("bound"))
     some = some.where(F.col("t").rlike("\\p{L}")).groupBy("lang", "key").agg(F.min("t").alias("t"))
     return some.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("n") <= per_lang).select("lang", "t")

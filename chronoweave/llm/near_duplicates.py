@@ -7,7 +7,8 @@ confirmed on full sets, and only links that join two parts are kept. Equal sets
 so groups of exact copies cost no pairs; clusters over BLOCK documents are confirmed in pairs of blocks.
 
 Documents without words have an empty set and stay alone. Rows with a null id have a null component and
-are kept; rows that share an id should have one text. Null texts count as empty.
+are kept. Rows that share an id are one document: what is linked to one of their texts is linked to all. Null texts
+count as empty. Extra columns don't matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -128,10 +129,19 @@ def links(docs: DataFrame, made: DataFrame, id_col: str = "doc_id", text_col: st
     return gathered.mapInArrow(run, "u long, v long")
 
 
+def same_id(made: DataFrame) -> DataFrame:
+    """(u, v): links between the sets of ids that come with several."""
+    rows = made.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).select("doc_id", "k1", "k2")
+    either = F.struct("k1", "k2")
+    again = rows.groupBy("doc_id").agg(F.min(either).alias("a"), F.max(either).alias("b")).where("a != b").select("doc_id")
+    of = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("id")).join(rows.join(again, "doc_id", "left_semi"), ["k1", "k2"]).select("doc_id", "id")
+    return of.join(of.groupBy("doc_id").agg(F.min("id").alias("v")), "doc_id").where("id != v").select(F.col("id").alias("u"), "v")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     made = sketches(docs, id_col, text_col, percent)
-    found = components(links(docs, made, id_col, text_col, percent, block))
+    found = components(links(docs, made, id_col, text_col, percent, block).union(same_id(made)))
     nodes = made.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("k1", "k2").agg(F.min("doc_id").alias("id"))
     # kept, so that the join below has two plain shuffles and a group of very many copies can be split
     label = keep(nodes.join(found, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component")), "components")

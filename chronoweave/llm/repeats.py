@@ -11,19 +11,19 @@ go. Only suffixes that can share their bucket are sorted:
   identifiers of later offsets, from 8 bytes to 16, 32, 64 and LENGTH bytes, each step reusing the
   identifiers of the step before. Starts meet by their last identifier, and all but the first go.
 
-Identifiers are 64-bit names computed from the bytes, the same in every task, in place of ranks that
-would take a global sort. Texts are kept as blocks in a bucketed table, so that verdicts, which are
+Identifiers are 128-bit names computed from the bytes by two hashes, the same in every task, in place of ranks that
+would take a global sort; among 10**14 starts, two different strings share one with a chance below 10**-10. Texts are kept as blocks in a bucketed table, so that verdicts, which are
 small, travel to the texts. Equal runs of a block collapse before they are dealt out, so a passage that
 very many documents share costs one entry a block.
 
 Order is by doc_id (null last), then block, then position; rows that share an id count as documents one
-after the other. Null texts count as empty. Matches don't cross documents.
+after the other. Null texts count as empty. Matches don't cross documents. Extra columns don't matter; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,29 +32,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keep, shared_dir, shuffle_partitions, text_of
+from .shared import bucket_ids, keep, keep_bucketed, shuffle_partitions, text_of
 from .tokens import BYTE_CODE, U64, hash_runs, mix, prefix, texts
 
+_CODE = mix(BYTE_CODE + U64(0x6A09E667F3BCC909))
+
 #: Length of the strings; of the grams that anchor them; bytes of text in a block; entries in a shard.
 LENGTH, GRAM, BLOCK_BYTES, SHARD = 100, 24, 3 << 20, 400_000
 _NO_ID = (1 << 63) - 1
 _LEFT, _RIGHT = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
+_OTHER_LEFT, _OTHER_RIGHT = U64(0xC2B2AE3D27D4EB4F), U64(0xA24BAED4963EE407)
 
 
 def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (block, ids, has_id, off, data) of some MB of text each, in a table bucketed by block."""
-    spark = docs.sparkSession
     names = ["block", "ids", "has_id", "off", "data"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        block, ids, parts, sizes, total = TaskContext.get().partitionId() << 24, [], [], [], 0
+        numbers, ids, parts, sizes, total = bucket_ids(TaskContext.get().partitionId(), buckets), [], [], [], 0
 
         def made():
             has = np.array([i is not None for i in ids])
             values = [np.array([_NO_ID if i is None else i for i in ids], np.int64), has, np.cumsum([0, *sizes]).astype(np.int64)]
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([v.tobytes()], pa.binary()) for v in values), pa.array([b"".join(parts)], pa.binary())], names)
+            return pa.RecordBatch.from_arrays([pa.array([next(numbers)], pa.int64()), *(pa.array([v.tobytes()], pa.binary()) for v in values), pa.array([b"".join(parts)], pa.binary())], names)
 
         for batch in batches:
             doc = batch.column("doc_id").to_pylist()
@@ -65,16 +67,13 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 total += len(t.data)
                 if total >= BLOCK_BYTES:
                     yield made()
-                    block, ids, parts, sizes, total = block + 1, [], [], [], 0
+                    ids, parts, sizes, total = [], [], [], 0
         if ids:
             yield made()
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("t"))
-    name = f"chronoweave_blocks_{uuid.uuid4().hex}"
-    made = source.mapInArrow(run, "block long, ids binary, has_id binary, off binary, data binary")
-    writer = made.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/chronoweave/{name}")
-    writer.bucketBy(max(1, shuffle_partitions(spark)), "block").saveAsTable(name)
-    return spark.table(name)
+    buckets = shuffle_partitions(docs.sparkSession)
+    return keep_bucketed(source.mapInArrow(run, "block long, ids binary, has_id binary, off binary, data binary"), "blocks", "block", buckets)
 
 
 def _slices(off: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
@@ -86,11 +85,18 @@ def _slices(off: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
+def other_sums(data: np.ndarray) -> np.ndarray:
+    """Sums for a second hash of runs: each place stands for three bytes, so a run ends two places early."""
+    wide = np.zeros(len(data) + 2, dtype=U64)
+    wide[: len(data)] = _CODE[data]
+    return prefix(mix(wide[:-2] + wide[1:-1] * _LEFT + wide[2:] * _RIGHT))
+
+
 def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(anchor name, run name, first start, starts) of the runs of starts that share an anchor."""
+    """(anchor name, run name, second run name, first start, starts) of the runs of starts that share an anchor."""
     n = len(data)
     if n < length:
-        return tuple(np.zeros(0, t) for t in (U64, U64, np.int64, np.int64))
+        return tuple(np.zeros(0, t) for t in (U64, U64, U64, np.int64, np.int64))
     sums = prefix(BYTE_CODE[data])
     at = np.arange(n - gram + 1)
     g = hash_runs(sums, at, at + gram)
@@ -111,24 +117,27 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
     ok = inside[first]
     first, size = first[ok], size[ok]
     a = own[first]
-    name = hash_runs(sums, first, first + size - 1 + length)
-    return g[a], mix(name ^ ((a - first).astype(U64) * _LEFT)), first, size
+    end, place = first + size - 1 + length, (a - first).astype(U64) * _LEFT
+    return g[a], mix(hash_runs(sums, first, end) ^ place), mix(hash_runs(other_sums(data), first, end - 2) ^ place), first, size
 
 
-def refine(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """The names of the buckets of these starts at depth length, by doubling from 8 bytes on.
+def refine(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """The two names of the buckets of these starts at depth length, by doubling from 8 bytes on.
 
     data is one text with at least length bytes after each start.
     """
     word = np.lib.stride_tricks.sliding_window_view(data, 8)
     lo, hi = int(starts.min()), int(starts.max()) + length
-    name = mix(np.ascontiguousarray(word[lo : hi - 7]).view(U64).ravel())
-    depth = 8
-    while depth < length:
-        step = min(depth, length - depth)
-        name = mix(name[:-step] * _LEFT + name[step:] * _RIGHT + U64(depth + step))
-        depth += step
-    return name[starts - lo]
+    first = np.ascontiguousarray(word[lo : hi - 7]).view(U64).ravel()
+    out = []
+    for p, q in ((_LEFT, _RIGHT), (_OTHER_LEFT, _OTHER_RIGHT)):
+        name, depth = mix(first ^ p), 8
+        while depth < length:
+            step = min(depth, length - depth)
+            name = mix(name[:-step] * p + name[step:] * q + U64(depth + step))
+            depth += step
+        out.append(name[starts - lo])
+    return out[0], out[1]
 
 
 def _bin(*arrays: np.ndarray) -> list[bytes]:
@@ -177,24 +186,24 @@ def _runs(made: DataFrame, shards: int, length: int, gram: int) -> DataFrame:
                 data, off, ids = np.frombuffer(row["data"], np.uint8), np.frombuffer(row["off"], np.int64), np.frombuffer(row["ids"], np.int64)
                 got = []
                 for lo, hi in _slices(off):
-                    a, name, first, size = anchors(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], length, gram)
-                    got.append((a, name, first + off[lo], size))
+                    a, name, more, first, size = anchors(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], length, gram)
+                    got.append((a, name, more, first + off[lo], size))
                 if not got:
                     continue
-                a, name, first, size = (np.concatenate(x) for x in zip(*got))
+                a, name, more, first, size = (np.concatenate(x) for x in zip(*got))
                 doc = ids[np.searchsorted(off, first, side="right") - 1]
-                o, lead = _first_of([a, name], [doc, first])
+                o, lead = _first_of([a, name, more], [doc, first])
                 later = o[~lead]
                 o = o[lead]
                 # an anchor has the smallest hash around it, so its own bits would fill a few shards only
-                some, cuts = _deal(shards, mix(a[o]), [a[o], name[o], doc[o], first[o].astype(np.uint32), size[o].astype(np.uint16 if length < 60000 else np.uint32)])
+                some, cuts = _deal(shards, mix(a[o]), [a[o], name[o], more[o], doc[o], first[o].astype(np.uint32), size[o].astype(np.uint16 if length < 60000 else np.uint32)])
                 rows = [some, [row["block"]] * len(some), *cuts]
                 if len(later):
                     rows[0].append(shards + row["block"] % shards)
                     rows[1].append(row["block"])
-                    for c, x in zip(rows[2:], (b"", b"", b"", first[later].astype(np.uint32).tobytes(), size[later].astype(np.uint16 if length < 60000 else np.uint32).tobytes())):
+                    for c, x in zip(rows[2:], (b"", b"", b"", b"", first[later].astype(np.uint32).tobytes(), size[later].astype(np.uint16 if length < 60000 else np.uint32).tobytes())):
                         c.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int64()), *(pa.array(c, pa.binary()) for c in rows[2:])], ["shard", "block", "a", "name", "doc", "first", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int64()), *(pa.array(c, pa.binary()) for c in rows[2:])], ["shard", "block", "a", "name", "more", "doc", "first", "size"])
 
     small = np.uint16 if length < 60000 else np.uint32
 
@@ -204,8 +213,8 @@ def _runs(made: DataFrame, shards: int, length: int, gram: int) -> DataFrame:
         block = np.repeat(pdf["block"].to_numpy(), [len(x) // 4 for x in pdf["first"]])
         if key[0] >= shards:
             return _by_block(block, np.full(len(block), WHOLE), first, size)
-        a, name, doc = (np.concatenate([np.frombuffer(x, t) for x in pdf[c]]) for c, t in (("a", U64), ("name", U64), ("doc", np.int64)))
-        o, lead = _first_of([a, name], [doc, block, first])
+        a, name, more, doc = (np.concatenate([np.frombuffer(x, t) for x in pdf[c]]) for c, t in (("a", U64), ("name", U64), ("more", U64), ("doc", np.int64)))
+        o, lead = _first_of([a, name, more], [doc, block, first])
         bucket = np.cumsum(np.concatenate([[0], a[o][1:] != a[o][:-1]]))
         names = np.bincount(bucket, lead)
         kind = np.where(~lead, WHOLE, np.where(names[bucket] > 1, MIXED, 0))
@@ -213,7 +222,7 @@ def _runs(made: DataFrame, shards: int, length: int, gram: int) -> DataFrame:
         o, kind = o[some], kind[some]
         return _by_block(block[o], kind, first[o], size[o])
 
-    dealt = made.select("block", "ids", "off", "data").mapInArrow(deal, "shard int, block long, a binary, name binary, doc binary, first binary, size binary")
+    dealt = made.select("block", "ids", "off", "data").mapInArrow(deal, "shard int, block long, a binary, name binary, more binary, doc binary, first binary, size binary")
     return keep(dealt.groupBy("shard").applyInPandas(judge, VERDICT), "repeat-runs")
 
 
@@ -241,29 +250,29 @@ def _refined(made: DataFrame, runs: DataFrame, shards: int, length: int) -> Data
                 text = np.searchsorted(off, starts, side="right") - 1
                 edge = np.append(np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]])), len(starts))
                 names = [refine(data[off[text[a]] : off[text[a] + 1]], starts[a:b] - off[text[a]], length) for a, b in zip(edge[:-1], edge[1:])]
-                name, doc = np.concatenate(names), ids[text]
-                o, lead = _first_of([name], [doc, starts])
+                (name, more), doc = (np.concatenate(x) for x in zip(*names)), ids[text]
+                o, lead = _first_of([name, more], [doc, starts])
                 # of equal starts in the block, the first stands for all; the rest go whatever others say
-                some, cuts = _deal(shards, name[o[lead]], [name[o[lead]], doc[o[lead]], starts[o[lead]].astype(np.uint32)])
+                some, cuts = _deal(shards, name[o[lead]], [name[o[lead]], more[o[lead]], doc[o[lead]], starts[o[lead]].astype(np.uint32)])
                 rows = [some, [row["block"]] * len(some), *cuts]
                 if not lead.all():
                     rows[0].append(shards + row["block"] % shards)
                     rows[1].append(row["block"])
-                    for c, x in zip(rows[2:], (b"", b"", starts[o[~lead]].astype(np.uint32).tobytes())):
+                    for c, x in zip(rows[2:], (b"", b"", b"", starts[o[~lead]].astype(np.uint32).tobytes())):
                         c.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int64()), *(pa.array(c, pa.binary()) for c in rows[2:])], ["shard", "block", "name", "doc", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int64()), *(pa.array(c, pa.binary()) for c in rows[2:])], ["shard", "block", "name", "more", "doc", "at"])
 
     def judge(key, pdf: pd.DataFrame) -> pd.DataFrame:
         at = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["at"]]).astype(np.int64)
         block = np.repeat(pdf["block"].to_numpy(), [len(x) // 4 for x in pdf["at"]])
         if key[0] < shards:
-            name, doc = (np.concatenate([np.frombuffer(x, t) for x in pdf[c]]) for c, t in (("name", U64), ("doc", np.int64)))
-            o, lead = _first_of([name], [doc, block, at])
+            name, more, doc = (np.concatenate([np.frombuffer(x, t) for x in pdf[c]]) for c, t in (("name", U64), ("more", U64), ("doc", np.int64)))
+            o, lead = _first_of([name, more], [doc, block, at])
             at, block = at[o[~lead]], block[o[~lead]]
         return _by_block(block, np.full(len(block), START), at, np.ones(len(block)))
 
     met = made.select("block", "ids", "off", "data").join(_told(runs.where(F.col("kind") == MIXED)), "block")
-    dealt = met.mapInArrow(deal, "shard int, block long, name binary, doc binary, at binary")
+    dealt = met.mapInArrow(deal, "shard int, block long, name binary, more binary, doc binary, at binary")
     return keep(dealt.groupBy("shard").applyInPandas(judge, VERDICT), "repeat-starts")
 
 

@@ -4,7 +4,8 @@ The writer makes each page a record of its own gzip member (or plain, with gzip=
 bounded size. Of pages with equal payloads of at least min_bytes bytes, the one with the smallest id is
 a response and the others are revisits that refer to it; rows that repeat the id and payload of that
 response are responses too. A null payload counts as empty, rows with a null id are written with an
-empty id. Extra columns are ignored; an empty table writes no archive.
+empty id. Extra columns are ignored; an empty table writes no archive. Archives of an attempt have names of
+their own, and those of the attempts that count are listed, so a task that runs again leaves nothing behind that is read.
 
 The reader checks every member and record (inflate checksum, version line, lengths, block and payload
 digests). After a failed check it searches for the next gzip member or version line that parses, goes
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import logging
 import os
 import re
 import uuid
@@ -27,7 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import keep, shared_dir
+from .shared import keep, shared_dir, shuffle_partitions
+
+log = logging.getLogger(__name__)
 
 VERSION = b"WARC/1.1"
 VERSION_LINE = re.compile(rb"WARC/\d+\.\d+\r\n")
@@ -60,7 +64,7 @@ def record(page_id: str, url: str, payload: bytes, refers_to: str | None) -> byt
 
 
 class _Sink:
-    """An output folder, local or of any scheme that pyarrow opens; files appear whole or not at all."""
+    """A folder, local or of any scheme that pyarrow opens; files appear whole or not at all."""
 
     def __init__(self, folder: str):
         u = urlparse(folder)
@@ -84,6 +88,13 @@ class _Sink:
             f.writelines(parts)
         os.replace(part, path)
 
+    def get(self, name: str) -> bytes:
+        if self.fs is not None:
+            with self.fs.open_input_file(f"{self.folder}/{name}") as f:
+                return f.read()
+        with open(f"{self.folder}/{name}", "rb") as f:
+            return f.read()
+
 
 def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> DataFrame:
     """page_id, url, payload (binary) and refers_to: the response's id for revisits, else null."""
@@ -100,20 +111,20 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 def write(pages: DataFrame, folder: str, gzip: bool = True, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write rows of with_revisits() as archives under folder; returns (path, records, bytes) of each archive.
 
-    A task's archives are named after its partition, so a task that runs again replaces its own files.
+    Only the archives in this table count: an attempt that failed may have left others.
     """
     suffix = ".warc.gz" if gzip else ".warc"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        sink, task = _Sink(folder), TaskContext.get().partitionId()
+        sink, task = _Sink(folder), f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}"
         parts, size, seq, done = [], 0, 0, {"path": [], "records": [], "bytes": []}
 
         def flush():
             nonlocal parts, size, seq
             if parts:
-                name = f"part-{task:06d}-{seq:04d}{suffix}"
+                name = f"part-{task}-{seq:04d}{suffix}"
                 sink.put(name, parts)
                 for k, v in (("path", f"{folder}/{name}"), ("records", len(parts)), ("bytes", size)):
                     done[k].append(v)
@@ -247,43 +258,67 @@ def salvage(data: bytes) -> Iterator[tuple]:
 READ_SCHEMA = "path string, kind string, start long, end long, reason string, record_type string, record_id string, uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 
 
+def _rows(path: str, data: bytes, payloads: bool, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    rows, size = [], 0
+    for kind, a, b, head, block in salvage(data):
+        row = dict.fromkeys(schema.names) | {"path": path, "kind": kind, "start": a, "end": b}
+        if kind == "gap":
+            row["reason"] = head
+        else:
+            bare = lambda k: (head.get(k) or "").strip("<>").removeprefix(URN) or None  # noqa: B023, E731
+            payload = block.partition(b"\r\n\r\n")[2]
+            length = head.get("x-payload-length", "")
+            row |= {
+                "record_type": head.get("warc-type"), "record_id": bare("warc-record-id"), "uri": head.get("warc-target-uri"), "refers_to": bare("warc-refers-to"),
+                "payload_digest": head.get("warc-payload-digest", "").removeprefix("sha1:") or None,
+                "payload_bytes": int(length) if length.isdigit() else len(payload), "payload": payload if payloads else None,
+            }
+            size += len(payload) if payloads else 0
+        rows.append(row)
+        if len(rows) >= 2000 or size > 4 << 20:
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            rows, size = [], 0
+    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+
+def _schema() -> pa.Schema:
+    kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+    return pa.schema([(n, kinds[t]) for n, t in (f.split() for f in READ_SCHEMA.split(", "))])
+
+
 def read(spark: SparkSession, paths: str | list[str], payloads: bool = True) -> DataFrame:
-    """Records (kind = record) and quarantined gaps (kind = gap) of the archives under these paths."""
-    fields = [f.split() for f in READ_SCHEMA.split(", ")]
-    schema = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[t]) for n, t in fields])
+    """Records (kind = record) and quarantined gaps (kind = gap) of the archives under these paths, up to 2 GB each."""
+    schema = _schema()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                path, rows, size = batch.column("path")[i].as_py(), [], 0
-                for kind, a, b, head, block in salvage(batch.column("content")[i].as_py()):
-                    row = dict.fromkeys(schema.names) | {"path": path, "kind": kind, "start": a, "end": b}
-                    if kind == "gap":
-                        row["reason"] = head
-                    else:
-                        bare = lambda k: (head.get(k) or "").strip("<>").removeprefix(URN) or None  # noqa: B023, E731
-                        payload = block.partition(b"\r\n\r\n")[2]
-                        length = head.get("x-payload-length", "")
-                        row |= {
-                            "record_type": head.get("warc-type"), "record_id": bare("warc-record-id"), "uri": head.get("warc-target-uri"), "refers_to": bare("warc-refers-to"),
-                            "payload_digest": head.get("warc-payload-digest", "").removeprefix("sha1:") or None,
-                            "payload_bytes": int(length) if length.isdigit() else len(payload), "payload": payload if payloads else None,
-                        }
-                        size += len(payload) if payloads else 0
-                    rows.append(row)
-                    if len(rows) >= 2000 or size > 4 << 20:
-                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                        rows, size = [], 0
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                yield from _rows(batch.column("path")[i].as_py(), batch.column("content")[i].as_py(), payloads, schema)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.warc*").load(paths)
     return files.select("path", "content").mapInArrow(run, READ_SCHEMA)
 
 
+def read_written(archives: DataFrame, payloads: bool = True) -> DataFrame:
+    """As read(), of the archives that write() listed; workers open them as they wrote them."""
+    schema = _schema()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                folder, _, name = path.rpartition("/")
+                yield from _rows(path, _Sink(folder).get(name), payloads, schema)
+
+    spread = max(2, shuffle_partitions(archives.sparkSession))
+    return archives.select("path").repartition(spread, "path").mapInArrow(run, READ_SCHEMA)
+
+
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
-    """Write the pages as archives in the shared folder and read them back."""
+    """Write the pages as archives in the shared folder and read them back; what was quarantined is logged."""
     spark = pages.sparkSession
     folder = folder or f"{shared_dir(spark)}/chronoweave/warc-{uuid.uuid4().hex}"
-    if not write(with_revisits(pages), folder).take(1):
-        return spark.createDataFrame([], READ_SCHEMA)
-    return read(spark, folder, payloads=False)
+    found = keep(read_written(write(with_revisits(pages), folder), payloads=False), "warc-records")
+    lost = found.where(F.col("kind") == "gap").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("bytes")).first()
+    if lost["n"]:
+        log.warning("%d gaps of %d bytes quarantined in %s", lost["n"], lost["bytes"], folder)
+    return found

@@ -207,6 +207,13 @@ def test_near_duplicates_of_odd_rows(odd, empty):
     assert near_duplicates.near_duplicates(empty).count() == 0
 
 
+def test_rows_that_share_an_id_are_one_document(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(30))
+    rows = [(1, text("a"), "c"), (5, text("a"), "c"), (5, text("b"), "c"), (7, text("b"), "c"), (9, text("d"), "c"), (None, text("d"), "c")]
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, component string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got if r["doc_id"]) == [(1, 1), (5, 1), (5, 1), (7, 1), (9, 9)]
+
+
 def test_estimates_and_merging():
     rng = np.random.default_rng(4)
     common, a, b = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (4000, 500, 500))
@@ -309,6 +316,15 @@ def test_round_trip_and_revisits(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_archives_of_failed_attempts_are_not_read(spark, tmp_path, caplog):
+    df = spark.createDataFrame([(i, "u", f"page {i}" * 50) for i in range(40)], "page_id long, url string, html string")
+    made = warc.write(warc.with_revisits(df), f"file://{tmp_path}", archive_bytes=400)
+    stale = warc._Sink(f"file://{tmp_path}")
+    stale.put("part-000000-aaaaaaaaaaaa-0000.warc.gz", [warc.record("0", "u", b"stale", None)])
+    assert sorted(int(r["record_id"]) for r in warc.read_written(made).collect()) == list(range(40)) and made.count() > 3
+    assert warc.read(spark, str(tmp_path)).where("kind = 'record'").count() == 41
+
+
 @pytest.mark.parametrize("gzip", [True, False])
 def test_salvage(gzip):
     parts = []
