@@ -121,15 +121,24 @@ class Index:
         weight = strength(tf, idf[self.term], size[doc], mean_length).astype(np.float32)
         self.n, self.first = len(bags), np.searchsorted(doc, np.arange(len(bags) + 1))
         order = np.argsort(self.term, kind="stable")
-        self.doc, self.by_term = doc[order].astype(np.int32), weight[order]
-        self.at = np.searchsorted(self.term[order], np.arange(len(idf) + 1))
+        self.doc, self.by_term = doc[order], weight[order].astype(np.float64)
+        self.at = np.searchsorted(self.term[order], np.arange(len(idf) + 1)).tolist()
 
     def scores(self, i: int) -> np.ndarray:
         """Of every bag against the terms of bag i."""
-        terms = self.term[self.first[i] : self.first[i + 1]]
-        a, n = self.at[terms], self.at[terms + 1] - self.at[terms]
-        at = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        return np.bincount(self.doc[at], self.by_term[at], minlength=self.n)
+        spans = [slice(self.at[t], self.at[t + 1]) for t in self.term[self.first[i] : self.first[i + 1]].tolist()]
+        return np.bincount(np.concatenate([self.doc[x] for x in spans]), np.concatenate([self.by_term[x] for x in spans]), minlength=self.n)
+
+
+def best_first(s: np.ndarray) -> Iterator[int]:
+    """Places of the positive scores, highest first, ties by place; the best few are sorted before the rest."""
+    near = np.flatnonzero(s > 0)
+    if len(near) > 256:
+        least = np.partition(s[near], -64)[-64]
+        top = near[s[near] >= least]
+        yield from top[np.argsort(-s[top], kind="stable")].tolist()
+        near = near[s[near] < least]
+    yield from near[np.argsort(-s[near], kind="stable")].tolist()
 
 
 def fill(tails: list[np.ndarray], idf: np.ndarray, mean_length: float) -> Iterator[list[tuple[int, int, int]]]:
@@ -160,8 +169,7 @@ def fill(tails: list[np.ndarray], idf: np.ndarray, mean_length: float) -> Iterat
         if room:
             s = index.scores(seed)
             s[left == 0] = 0
-            near = np.flatnonzero(s > 0)
-            for j in near[np.lexsort((near, -s[near]))]:
+            for j in best_first(s):
                 take(j)
                 if not room:
                     break
