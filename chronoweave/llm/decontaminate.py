@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_of
+from .shared import free_name, text_of
 from .tokens import U64, Texts, Words, mix, texts
 
 #: Repetitions; steps sampled in each; anchors of an item at least, at most, and words that give one more; horizons in steps.
@@ -245,5 +245,6 @@ def passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs without a passage of the benchmark; rows with a null id stay."""
-    found = passages(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias("__leaked")).distinct()
-    return docs.join(found, F.col(id_col).cast("long") == F.col("__leaked"), "left_anti")
+    leaked = free_name(docs, "__leaked")
+    found = passages(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias(leaked)).distinct()
+    return docs.join(found, F.col(id_col).cast("long") == F.col(leaked), "left_anti")

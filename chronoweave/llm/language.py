@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import free_name
 from .tokens import U64, texts
 
 #: Vector length; n-gram lengths; labelled rows of a language that are learned from; centroids of a language.
@@ -168,12 +169,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def predict(docs: DataFrame, model: Model, text_col: str = "text", prefix: str = "") -> DataFrame:
     """docs with lang_pred, score (cosine, 0 to 1) and rejected, named with the prefix; columns of these names are replaced."""
     added = [prefix + c for c in ("lang_pred", "score", "rejected")]
-    kept = [c for c in docs.columns if c not in added]
+    kept, given = [c for c in docs.columns if c not in added], free_name(docs, "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lang, score, rejected = [], [], []
-            for _, x, letters, size in features(batch.column("__text").cast(pa.large_string())):
+            for _, x, letters, size in features(batch.column(given).cast(pa.large_string())):
                 if not model.langs:
                     lang += ["und"] * len(x)
                     score += [0.0] * len(x)
@@ -193,4 +194,4 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", prefix: str =
     from pyspark.sql import types as T
 
     out = T.StructType([docs.schema[c] for c in kept]).add(added[0], "string").add(added[1], "double").add(added[2], "boolean")
-    return docs.select(*kept, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, out)
+    return docs.select(*kept, F.col(text_col).cast("string").alias(given)).mapInArrow(run, out)

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, keep, shuffle_partitions
+from .shared import discard, free_name, keep, shuffle_partitions
 
 #: Fewest words of the longer of two lines that are compared under the edit bound of one word.
 MIN_WORDS = 8
@@ -178,19 +178,19 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Every row stays, with an empty text where all its lines go.
     """
-    gone = removed(docs, id_col, text_col, min_words).groupBy(*ROW).agg(F.sort_array(F.collect_list("line")).alias("__gone"))
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), "__gone")
     base = docs.drop(prefix + "n_lines", prefix + "n_removed")
-    names = base.columns
-    base = base.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)), "__row": F.xxhash64(F.col(text_col).cast("string"))})
-    met = base.join(gone, ["__id", "__row"], "left")
+    names, (at, row, lost) = base.columns, (free_name(base, c) for c in ("__id", "__row", "__gone"))
+    gone = removed(docs, id_col, text_col, min_words).groupBy(*ROW).agg(F.sort_array(F.collect_list("line")).alias(lost))
+    gone = gone.select(F.col("doc_id").alias(at), F.col("row").alias(row), lost)
+    base = base.withColumns({at: F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)), row: F.xxhash64(F.col(text_col).cast("string"))})
+    met = base.join(gone, [at, row], "left")
     raw = F.split(F.col(text_col).cast("string"), "\n", -1)
-    marks = F.map_from_arrays(F.col("__gone"), F.transform("__gone", lambda x: F.lit(True)))
+    marks = F.map_from_arrays(F.col(lost), F.transform(lost, lambda x: F.lit(True)))
     left = F.array_join(F.filter(raw, lambda x, i: F.element_at(marks, i).isNull()), "\n")
-    none = F.col("__gone").isNull() | F.col(text_col).isNull()
+    none = F.col(lost).isNull() | F.col(text_col).isNull()
     text = F.when(none, F.col(text_col).cast("string")).otherwise(left)
     n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(raw)).cast("long")
     return met.select(
         *(text.alias(c) if c == text_col else F.col(c) for c in names),
-        n_lines.alias(prefix + "n_lines"), F.when(none, 0).otherwise(F.size("__gone")).cast("long").alias(prefix + "n_removed"),
+        n_lines.alias(prefix + "n_lines"), F.when(none, 0).otherwise(F.size(lost)).cast("long").alias(prefix + "n_removed"),
     )

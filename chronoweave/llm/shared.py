@@ -80,6 +80,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, lengthened until df has no column of it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_of(column: str = "text"):
     """The text column as a non-null string."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

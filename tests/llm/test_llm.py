@@ -703,3 +703,27 @@ def test_pipeline_stages(spark, tmp_path):
     assert ids["near_dups"] == ids["lines"] - {50} and ids["benchmark"] == ids["near_dups"] - {51}
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in out} == ids["benchmark"]
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(18)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(n))
+    rows = [(i, prose(60), "en", "s", 1, "x", "y") for i in range(20)]
+    item = prose(25)
+    rows += [(3, rows[3][1], "en", "s", 1, "x", "y"), (None, prose(40), None, None, None, None, None), (30, item, None, "s", 1, "x", "y"), (31, prose(30_000), "en", "s", 1, "x", "y"), (32, None, "en", "s", 1, "x", "y"), (33, "", "en", "s", 1, "x", "y")]
+    schema = SCHEMA + ", __row string, __text string"
+    for name, some in (("some", rows), ("none", [])):
+        spark.createDataFrame(some, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        docs = seen = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for stage_name, stage in corpus_pipeline.STAGES[:-1]:
+            seen = stage(spark, seen, f"{tmp_path}/{name}")
+            assert seen.columns == docs.columns
+            seen.write.parquet(f"{tmp_path}/{name}/{stage_name}")
+            seen = spark.read.parquet(f"{tmp_path}/{name}/{stage_name}")
+        ids = sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in seen.collect())
+        assert ids == (sorted([-1, *range(20), 3, 31]) if some else []) and {(r["__row"], r["__text"]) for r in seen.collect()} == ({("x", "y"), (None, None)} if some else set())
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert sorted({-1 if r["doc_id"] is None else r["doc_id"] for r in out}) == sorted(set(ids))
