@@ -8,6 +8,10 @@ lines       repeated and nearly repeated lines go from the texts; every document
 near_dups   of each group of near-duplicates the document with the smallest id stays
 benchmark   documents that hold a passage of the benchmark go
 packing     what is left is packed into sequences of tokens
+
+Null and letterless texts go with the first stage. Rows with a null id stay in near_dups and benchmark; rows that
+share an id are one document there and stay or go together. Extra columns go along to the last stage; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoweave.llm import decontaminate, language, line_dedup, near_duplicates, packing
-from chronoweave.llm.shared import crc_mod, keep
+from chronoweave.llm.shared import crc_mod, free_name, keep
 from chronoweave.session import ready
 
 
@@ -27,19 +31,20 @@ NEAR = 80
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     held = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
     model = language.fit(docs.where(~held))
-    return language.predict(docs, model, prefix="__").where(~F.col("__rejected")).select(*docs.columns)
+    return language.predict(docs, model, prefix="__lang_id_").where(~F.col("__lang_id_rejected")).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.line_dedup(docs, prefix="__")
+    out = line_dedup.line_dedup(docs, prefix="__line_dedup_")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
     return out.select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = near_duplicates.near_duplicates(docs, percent=NEAR).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    dropped = free_name(docs, "__gone")
+    gone = near_duplicates.near_duplicates(docs, percent=NEAR).where(~F.col("kept")).select(F.col("doc_id").alias(dropped)).distinct()
+    return docs.join(gone, docs["doc_id"] == F.col(dropped), "left_anti")
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
