@@ -6,6 +6,7 @@ or answers with the wrong number of items, keeps its input.
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -31,6 +32,55 @@ def token_counts(df: DataFrame, count: Callable[[str], int] = estimate_tokens, t
     return df.withColumn(name, tokens(F.col(text)))
 
 
+def split_by_tokens(text: str, limit: int, count: Callable[[str], int] = estimate_tokens) -> list[str]:
+    """The text whole if it has at most limit tokens, else its lines in order, as many in a piece as fit; a longer line is alone."""
+    if count(text) <= limit:
+        return [text]
+    pieces, lines, used = [], [], 0
+    for line in text.split("\n"):
+        n = count(line + "\n")
+        if lines and used + n > limit:
+            pieces.append("\n".join(lines))
+            lines, used = [], 0
+        lines.append(line)
+        used += n
+    return [*pieces, "\n".join(lines)]
+
+
+def token_pieces(df: DataFrame, limit: int, count: Callable[[str], int] = estimate_tokens, text: str = "text", name: str = "pieces") -> DataFrame:
+    """df with the pieces of each text, as from split_by_tokens(); null has none."""
+
+    @F.pandas_udf("array<string>")
+    def pieces(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: [] if x is None else split_by_tokens(x, limit, count))
+
+    return df.withColumn(name, pieces(F.col(text)))
+
+
+#: Columns of a finaliser's topics.
+TOPICS = "start_sec double, end_sec double, title string, summary string, domain string"
+
+
+def synthesise(payloads: DataFrame, model: Callable[[dict], list[dict] | None], key: str = KEY) -> DataFrame:
+    """key, seq and TOPICS of the topics that a model makes of each program's payload (a JSON text).
+
+    A model that gives None for a program has refused, which fails the job.
+    """
+    names = [f.split()[0] for f in TOPICS.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for program, payload in zip(pdf[key], pdf["payload"]):
+                topics = model(json.loads(payload))
+                if topics is None:
+                    raise RuntimeError(f"no metadata for {program}")
+                rows += [(program, i, *(t.get(n) for n in names)) for i, t in enumerate(topics)]
+            yield pd.DataFrame(rows, columns=[key, "seq", *names])
+
+    return payloads.select(key, "payload").mapInPandas(run, f"{key} string, seq long, {TOPICS}")
+
+
 def refine(batches: DataFrame, model: Callable[[list[str], str], list[str]] | None = None, key: str = KEY) -> DataFrame:
     """Texts as the model rewrites them, a batch at a time, with the times of the rows they came from.
 

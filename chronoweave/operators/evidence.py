@@ -115,6 +115,41 @@ def evidence_windows(spans: DataFrame, captions: DataFrame | None = None, asr: D
     return out.where(some).withColumn("window_id", S.numbered("w", "seq", 4))
 
 
+def first_windows(windows: DataFrame, most: int = 200, key: str = KEY) -> DataFrame:
+    """The first `most` windows of each program, and how many are omitted."""
+    w = Window.partitionBy(key)
+    numbered = windows.withColumns({"__r": F.row_number().over(w.orderBy("seq")), "omitted": F.greatest(F.count("*").over(w) - most, F.lit(0))})
+    return numbered.where(F.col("__r") <= most).drop("__r")
+
+
+#: What a finaliser is told: always, of fused or of separate texts (second place), and where there are hints (last place).
+RULES = ("Give structured metadata of the given schema only.", "Visual labels are evidence of what is seen; no topic begins or ends on them alone.", "Non-editorial spans stay segments and are in no topic.", "Use times of evidence, not the edges of windows.")
+FUSED_RULE, SEPARATE_RULE = "The primary text is corrected and canonical; captions and speech support it.", "Where captions exist their wording is canonical; speech gives times and fills gaps."
+HINT_RULE = "Take the boundary hints unless evidence is clearly against them."
+
+
+def finaliser_payload(programs: DataFrame, windows: DataFrame, segments: DataFrame, hints: DataFrame | None = None, fused: bool = False, most: int = 200, warnings: tuple[str, ...] = (), key: str = KEY) -> DataFrame:
+    """key, payload: a JSON text a program with its fields, rules, hints, segments, first windows and warnings."""
+    rows = lambda df, name: df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("seq", F.struct(*(c for c in df.columns if c not in (key, "seq"))).alias("x")))).alias(name))
+    some = first_windows(windows, most, key)
+    omitted = some.groupBy(key).agg(F.first("omitted").alias("omitted"))
+    out = programs.join(rows(some.drop("omitted"), "w"), key, "left").join(omitted, key, "left").join(rows(segments, "s"), key, "left")
+    out = out.join(rows(hints, "h"), key, "left") if hints is not None else out.withColumn("h", F.lit(None))
+    listed = lambda name: F.transform(name, lambda r: r["x"]) if name != "h" or hints is not None else F.array()
+    base = F.array(F.lit(RULES[0]), F.lit(FUSED_RULE if fused else SEPARATE_RULE), *map(F.lit, RULES[1:]))
+    rules = F.when(F.col("h").isNotNull(), F.concat(base, F.array(F.lit(HINT_RULE)))).otherwise(base)
+    payload = F.to_json(F.struct(
+        F.struct(*programs.columns).alias("program"), rules.alias("rules"), F.coalesce(listed("h"), F.array()).alias("hints") if hints is not None else F.array().cast("array<string>").alias("hints"),
+        listed("s").alias("segments"), listed("w").alias("windows"), F.coalesce("omitted", F.lit(0)).alias("omitted"), F.array(*map(F.lit, warnings)).cast("array<string>").alias("warnings"),
+    ))
+    return out.select(key, payload.alias("payload"))
+
+
+def visual_candidates(candidates: DataFrame) -> DataFrame:
+    """Candidates that hints may snap to: those that neither text cues nor non-editorial spans made."""
+    return candidates.where(~F.col("source").isin("cue", "cm_detector"))
+
+
 def editorial_spans(programs: DataFrame, non_editorial: DataFrame, cues: DataFrame, key: str = KEY) -> DataFrame:
     """Spans between 0, the end, cue times and the edges of non-editorial spans, without those whose middle lies in one."""
     edges = intervals.clip(non_editorial.join(programs, key), F.lit(0.0), F.col("duration_sec"))
@@ -226,7 +261,12 @@ def boundary_candidates(scenes: DataFrame, cues: DataFrame, screen_changes: Data
     edges = F.explode(F.array(*(F.struct(F.lit(e).alias("edge"), F.col(f"{e}_sec").alias("t")) for e in ("start", "end")))).alias("x")
     d = non_editorial.select(key, "seq", "kind", edges)
     d = d.select(key, F.concat(S.numbered("b_cm_", "seq", 6), F.lit("_"), "x.edge"), S.round2("x.t"), F.concat(F.lit("cm_"), "x.edge"), F.lit("cm_detector"), F.lit(0.86), F.array("kind"))
-    return a.union(b).union(c).union(d)
+    return in_order(a.union(b).union(c).union(d), "time_sec", "boundary_id", key=key)
+
+
+def in_order(df: DataFrame, *columns: str, key: str = KEY) -> DataFrame:
+    """Rows sorted within partitions that hold whole programs, as they are to be written."""
+    return df.repartition(key).sortWithinPartitions(key, *columns)
 
 
 def cue_rows(primary: DataFrame, break_: str = S.BREAK_CUE, resume: str = S.RESUME_CUE, topic: str | None = None, markers: str = S.DISCOURSE_MARKERS, key: str = KEY) -> DataFrame:

@@ -141,11 +141,42 @@ def f15(spark, sf_dir):
 @query("f24_first_windows", sql("""
     SELECT program_id, seq, omitted FROM (SELECT program_id, seq, row_number() OVER (PARTITION BY program_id ORDER BY seq) AS r, greatest(count(*) OVER (PARTITION BY program_id) - 20, 0) AS omitted FROM rng) WHERE r <= 20"""))
 def f24(spark, sf_dir):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("program_id")
-    r = R.ranges(spark, sf_dir).withColumns({"r": F.row_number().over(w.orderBy("seq")), "omitted": F.greatest(F.count("*").over(w) - 20, F.lit(0))})
-    return r.where("r <= 20").select("program_id", "seq", "omitted")
+    return evidence.first_windows(R.ranges(spark, sf_dir), 20).select("program_id", "seq", "omitted")
+
+
+@query("f24_payload", sql("""
+    SELECT r.program_id, count(*) AS windows, any_value(omitted) AS omitted, any_value(segments) AS segments, any_value(CASE WHEN hints > 0 THEN 6 ELSE 5 END) AS rules, any_value(coalesce(hints, 0)) AS hints FROM (
+        SELECT program_id, seq, row_number() OVER (PARTITION BY program_id ORDER BY seq) AS r, greatest(count(*) OVER (PARTITION BY program_id) - 20, 0) AS omitted FROM rng) r
+    LEFT JOIN (SELECT program_id, count(*) AS segments FROM ne GROUP BY 1) s USING (program_id) LEFT JOIN (SELECT program_id, count(*) AS hints FROM hint WHERE rank = 3 GROUP BY 1) h USING (program_id) WHERE r <= 20 GROUP BY 1"""))
+def f24_payload(spark, sf_dir):
+    hints = R.hints(spark, sf_dir).where("rank = 3").select("program_id", "seq", "time_sec")
+    out = evidence.finaliser_payload(R.programs(spark, sf_dir), R.ranges(spark, sf_dir), R.non_editorial(spark, sf_dir), hints, most=20)
+    count = lambda path: F.coalesce(F.json_array_length(F.get_json_object("payload", path)), F.lit(0)).cast("long")
+    return out.select("program_id", count("$.windows").alias("windows"), F.get_json_object("payload", "$.omitted").cast("long").alias("omitted"), count("$.segments").alias("segments"), count("$.rules").alias("rules"), count("$.hints").alias("hints"))
+
+
+@query("f31_visual_candidates", sql("SELECT program_id, round_even(start_sec, 2) AS time_sec FROM (SELECT program_id, start_sec FROM rng UNION SELECT program_id, end_sec FROM rng) GROUP BY 1, 2"))
+def f31(spark, sf_dir):
+    scenes = intervals.scene_cut_candidates(R.ranges(spark, sf_dir), R.programs(spark, sf_dir))
+    cuts = scenes.select("program_id", "time_sec", F.lit("scene_detector").alias("source"))
+    others = R.points(spark, sf_dir, "click").select("program_id", "time_sec", F.when(F.col("seq") % 2 == 0, "cue").otherwise("cm_detector"))
+    return evidence.visual_candidates(cuts.union(others)).select("program_id", "time_sec")
+
+
+@query("g10_token_pieces", sql("""
+    SELECT program_id, seq, CASE WHEN whole <= 40 THEN 1 ELSE 0 END AS is_whole FROM (SELECT program_id, seq, length(text) AS whole FROM turn)"""))
+def g10(spark, sf_dir):
+    pieces = models.token_pieces(R.turns(spark, sf_dir), 40, len)
+    same = (F.size("pieces") == 1) & (F.length("text") <= 40)
+    joined = F.array_join("pieces", "\n") == F.col("text")
+    return pieces.where(joined).select("program_id", "seq", same.cast("int").alias("is_whole"))
+
+
+@query("x03_synthesise", sql("SELECT program_id, 0 AS seq, min(start_sec) AS start_sec FROM rng GROUP BY 1"))
+def x03(spark, sf_dir):
+    payloads = evidence.finaliser_payload(R.programs(spark, sf_dir), R.ranges(spark, sf_dir), R.non_editorial(spark, sf_dir), most=20)
+    found = models.synthesise(payloads, lambda p: [{"start_sec": p["windows"][0]["start_sec"], "end_sec": p["program"]["duration_sec"]}])
+    return found.select("program_id", "seq", "start_sec")
 
 
 @query("a02_batch_ranges", sql("SELECT program_id, user_id % 5 AS batch, min(start_sec) AS start_sec, max(end_sec) AS end_sec FROM seg GROUP BY 1, 2"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalars as S
 from ..operators.joins import KEY
@@ -25,6 +26,34 @@ def write_json_lines(df: DataFrame, path: str, mode: str = "error") -> None:
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
+def json_schema(schema: T.DataType) -> dict:
+    """The strict JSON schema of a struct type: all fields required, no others; nullable ones may be null."""
+    plain = {"string": "string", "double": "number", "float": "number", "boolean": "boolean", "integer": "integer", "long": "integer", "short": "integer"}
+    if isinstance(schema, T.StructType):
+        fields = {f.name: json_schema(f.dataType) if not f.nullable else {"anyOf": [json_schema(f.dataType), {"type": "null"}]} for f in schema.fields}
+        return {"type": "object", "properties": fields, "required": list(fields), "additionalProperties": False}
+    if isinstance(schema, T.ArrayType):
+        return {"type": "array", "items": json_schema(schema.elementType)}
+    return {"type": plain[schema.typeName()]}
+
+
+def response_format(name: str, schema: T.StructType) -> dict:
+    return {"type": "json_schema", "json_schema": {"name": name, "strict": True, "schema": json_schema(schema)}}
+
+
+def validated(topics: DataFrame, key: str = KEY) -> DataFrame:
+    """topics, where a missing id or time, or a span that doesn't go forward, fails the job."""
+    ok = F.col(key).isNotNull() & F.col("topic_id").isNotNull() & (F.col("start_sec") >= 0) & (F.col("end_sec") >= F.col("start_sec"))
+    say = F.concat(F.lit("invalid topic: "), F.to_json(F.struct(key, "topic_id", "start_sec", "end_sec")))
+    return topics.where(F.when(F.coalesce(ok, F.lit(False)), True).otherwise(F.raise_error(say).cast("boolean")))
+
+
+def write_metadata(topics: DataFrame, path: str, mode: str = "error") -> None:
+    """Validate, then write one JSON document a program."""
+    checked = validated(topics)
+    json_documents(document(checked, "topics", [c for c in checked.columns if c != KEY], ["start_sec"])).select("json").write.mode(mode).text(path)
+
+
 def flat(df: DataFrame, columns: list[str]) -> DataFrame:
     """These columns only, with lists, maps and structs as JSON texts."""
     nested = {f.name for f in df.schema.fields if f.dataType.typeName() in ("array", "map", "struct")}

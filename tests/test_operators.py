@@ -286,3 +286,22 @@ def test_start_end_contrast(spark):
     got = evaluation.start_end_contrast(make([(0.9, 0.5), (0.8, 0.6)]), make([(0.5, 0.5), (0.6, 0.4)])).first()
     assert got["n"] == 2 and abs(got["start_gain"] - 0.3) < 1e-12 and abs(got["end_gain"] - 0.1) < 1e-12 and abs(got["mean_contrast"] - 0.2) < 1e-12
     assert got["ci_low"] <= 0.2 <= got["ci_high"]
+
+
+def test_pieces_of_tokens():
+    from chronoweave.functions.models import split_by_tokens
+
+    assert split_by_tokens("a\nb", 9, len) == ["a\nb"] and split_by_tokens("", 0, len) == [""]
+    assert split_by_tokens("aaa\nbbb\nccccccccc\nd", 8, len) == ["aaa\nbbb", "ccccccccc", "d"]
+
+
+def test_schema_and_validation(spark, tmp_path):
+    from chronoweave.sources import sinks
+
+    t = spark.createDataFrame([("p", "t0", 0.0, 5.0, ["x"]), ("p", "t1", 5.0, 9.0, [])], "program_id string, topic_id string, start_sec double, end_sec double, evidence array<string>")
+    made = sinks.response_format("topics", t.schema)["json_schema"]["schema"]
+    assert made["required"] == t.columns and made["properties"]["evidence"]["anyOf"][0] == {"type": "array", "items": {"type": "string"}} and made["additionalProperties"] is False
+    sinks.write_metadata(t, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).selectExpr("size(topics)").first()[0] == 2
+    with pytest.raises(Exception, match="invalid topic"):
+        sinks.validated(t.withColumn("end_sec", F.lit(1.0))).collect()
