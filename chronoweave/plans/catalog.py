@@ -724,10 +724,10 @@ def b02_gaps(spark, sf_dir):
 
 @query("b02_depth_scores", _COHESION + """,
     runs AS (SELECT *, sum(CASE WHEN s > l THEN 1 ELSE 0 END) OVER w AS up, sum(CASE WHEN s < l THEN 1 ELSE 0 END) OVER w AS down
-        FROM (SELECT program_id, gap, round_even(s, 9) AS s, lag(round_even(s, 9)) OVER (PARTITION BY program_id ORDER BY gap) AS l FROM gaps) WINDOW w AS (PARTITION BY program_id ORDER BY gap))
+        FROM (SELECT program_id, gap, round_even(s, 6) AS s, lag(round_even(s, 6)) OVER (PARTITION BY program_id ORDER BY gap) AS l FROM gaps) WINDOW w AS (PARTITION BY program_id ORDER BY gap))
     SELECT program_id, gap, round_even(max(s) OVER (PARTITION BY program_id, up) + max(s) OVER (PARTITION BY program_id, down) - 2 * s, 6) AS depth FROM runs""")
 def b02_depth(spark, sf_dir):
-    gaps = baselines.cohesion_gaps(baselines.token_blocks(_prose(spark, sf_dir))).withColumn("similarity", F.bround("similarity", 9))
+    gaps = baselines.cohesion_gaps(baselines.token_blocks(_prose(spark, sf_dir))).withColumn("similarity", F.bround("similarity", 6))
     return baselines.depth_scores(gaps).select("program_id", F.col("gap").cast("long").alias("gap"), F.bround("depth", 6).alias("depth"))
 
 
