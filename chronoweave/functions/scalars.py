@@ -160,8 +160,9 @@ def dedupe(values: Col, limit: int | None = None) -> Column:
 
 
 def merge_lists(lists: Col, limit: int = 300) -> Column:
-    """The lists end to end, as dedupe() leaves them."""
-    return dedupe(F.flatten(_c(lists)), limit)
+    """The lists end to end in compatibility form, as dedupe() leaves them."""
+    end = "\x01"  # no form joins across a control character
+    return dedupe(F.split(nfkc(F.array_join(F.flatten(_c(lists)), end)), end), limit)
 
 
 def ordered(value: Column, *order: Col) -> Column:

@@ -135,6 +135,11 @@ def pack(items: DataFrame, target: int, size: str = "tokens", key: str = KEY) ->
     return fold(slim, ["seq"], start, step, lambda acc: acc["out"], by=(key,))
 
 
+def batch_ranges(items: DataFrame, batch: str = "batch", key: str = KEY) -> DataFrame:
+    """First start and last end of each batch."""
+    return items.groupBy(key, batch).agg(F.min("start_sec").alias("start_sec"), F.max("end_sec").alias("end_sec"))
+
+
 def overlapping_chunks(segments: DataFrame, target: int = 6000, overlap: float = 90.0, size: str = "tokens", key: str = KEY) -> DataFrame:
     """chunk, first and last (positions in order of seq), start_sec, end_sec of chunks of up to target tokens.
 

@@ -333,7 +333,12 @@ def g09(spark, sf_dir):
     return met.groupBy("program_id", "batch").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
 
 
-@query("g08_overlapping_chunks")
+@query("g08_overlapping_chunks", sql("""
+    SELECT program_id, CAST(chunk AS INT) AS chunk, CAST(i - 1 AS INT) AS first, CAST(j - 1 AS INT) AS last, start_sec, end_sec FROM chain""",
+    "line AS (SELECT program_id, row_number() OVER w AS p, start_sec, end_sec, sum(length(label)) OVER w AS cum, length(label) AS n FROM seg WINDOW w AS (PARTITION BY program_id ORDER BY seq))",
+    "reach AS (SELECT a.program_id, a.p, a.start_sec, greatest(a.p, coalesce(max(b.p), 0)) AS j FROM line a LEFT JOIN line b ON b.program_id = a.program_id AND b.p >= a.p AND b.cum - a.cum + a.n <= 120 GROUP BY 1, 2, 3)",
+    "jump AS (SELECT r.program_id, r.p, r.j, r.start_sec, e.end_sec, greatest(r.p + 1, coalesce(max(m.p), 0) + 1) AS nxt, (SELECT max(p) FROM line l WHERE l.program_id = r.program_id) AS size FROM reach r JOIN line e ON e.program_id = r.program_id AND e.p = r.j LEFT JOIN line m ON m.program_id = r.program_id AND m.p > r.p AND m.p <= r.j AND m.start_sec <= e.end_sec - 900 GROUP BY 1, 2, 3, 4, 5)",
+    "chain AS (SELECT program_id, 0 AS chunk, p AS i, j, start_sec, end_sec, nxt, size FROM jump WHERE p = 1 UNION ALL SELECT c.program_id, c.chunk + 1, u.p, u.j, u.start_sec, u.end_sec, u.nxt, u.size FROM chain c JOIN jump u ON u.program_id = c.program_id AND u.p = c.nxt WHERE c.j < c.size)", recursive=True))
 def g08(spark, sf_dir):
     return folds.overlapping_chunks(R.segments(spark, sf_dir).withColumn("tokens", F.length("label")), 120, 900.0)
 
@@ -585,9 +590,15 @@ def e13(spark, sf_dir):
     return evaluation.chapter_topics(chapters)
 
 
-@query("e14_tiou_scores")
+@query("e14_tiou_scores", sql("""
+    SELECT program_id, threshold, round_even(p, 6) AS precision, round_even(r, 6) AS recall, round_even(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM (
+        SELECT program_id, threshold, avg((iou >= threshold)::INT) FILTER (WHERE side = 'pred') AS p, avg((iou >= threshold)::INT) FILTER (WHERE side = 'truth') AS r FROM (
+            SELECT p.program_id, 'pred' AS side, coalesce(max(o / (lp + lt - o)), 0) AS iou FROM pred p LEFT JOIN ov ON ov.program_id = p.program_id AND ov.pred = p.seq GROUP BY p.program_id, p.seq
+            UNION ALL SELECT t.program_id, 'truth', coalesce(max(o / (lp + lt - o)), 0) FROM truth t LEFT JOIN ov ON ov.program_id = t.program_id AND ov.truth = t.seq GROUP BY t.program_id, t.seq),
+            (SELECT unnest([0.3, 0.5, 0.7, 0.9])::DOUBLE AS threshold) GROUP BY 1, 2)""", _OVER))
 def e14(spark, sf_dir):
-    return evaluation.tiou_scores(R.topics(spark, sf_dir, 1), R.topics(spark, sf_dir, 0))
+    out = evaluation.tiou_scores(R.topics(spark, sf_dir, 1), R.topics(spark, sf_dir, 0))
+    return out.select("program_id", "threshold", *(F.bround(c, 6).alias(c) for c in ("precision", "recall", "f1")))
 
 
 @query("e15_recall_by_type", sql("""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import models
 from ..functions import scalars as S
-from ..operators import evidence, intervals, joins
+from ..operators import evidence, folds, intervals, joins
 from ..sources import readers, resolve, sinks
 from ..streaming import variants
 from . import roles as R
@@ -181,7 +181,7 @@ def x03(spark, sf_dir):
 
 @query("a02_batch_ranges", sql("SELECT program_id, user_id % 5 AS batch, min(start_sec) AS start_sec, max(end_sec) AS end_sec FROM seg GROUP BY 1, 2"))
 def a02(spark, sf_dir):
-    return R.segments(spark, sf_dir).groupBy("program_id", (F.col("user_id") % 5).alias("batch")).agg(F.min("start_sec").alias("start_sec"), F.max("end_sec").alias("end_sec"))
+    return folds.batch_ranges(R.segments(spark, sf_dir).withColumn("batch", F.col("user_id") % 5))
 
 
 @query("k03_flat_rows", sql("SELECT program_id, seq, '[\"' || label || '\"]' AS labels FROM seg"))
@@ -229,13 +229,6 @@ def k15(spark, sf_dir):
     return sinks.stage_counts({"segments": R.segments(spark, sf_dir), "clicks": R.points(spark, sf_dir, "click"), "non_editorial": R.non_editorial(spark, sf_dir)})
 
 
-@query("u04_disjoint_parts", sql("SELECT count(*) AS shared FROM (SELECT program_id FROM seg WHERE program_id < '2024-01-15' INTERSECT SELECT program_id FROM seg WHERE program_id >= '2024-01-15')"))
-def u04(spark, sf_dir):
-    s = R.segments(spark, sf_dir)
-    a, b = s.where(F.col("program_id") < "2024-01-15").select("program_id"), s.where(F.col("program_id") >= "2024-01-15").select("program_id")
-    return a.intersect(b).agg(F.count("*").alias("shared"))
-
-
 @query("u05_unmatched", sql("SELECT program_id, seq FROM click EXCEPT SELECT c.program_id, c.seq FROM click c JOIN buy b ON c.program_id = b.program_id AND abs(c.time_sec - b.time_sec) <= 60"))
 def u05(spark, sf_dir):
     near = joins.nearest(R.points(spark, sf_dir, "click"), R.points(spark, sf_dir, "purchase"), 60.0)
@@ -253,7 +246,8 @@ def x05(spark, sf_dir):
     return models.refine(rows, model).select("program_id", "batch", "seq", "text", "fallback")
 
 
-@query("x08_token_counts")
+@query("x08_token_counts", sql("""
+    SELECT program_id, sum((length(regexp_replace(text, '[^\\x21-\\x7e]', '', 'g')) + 3) // 4 + length(regexp_replace(text, '[\\x00-\\x7e\\x{85}\\x{a0}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]', '', 'g')))::BIGINT AS tokens FROM turn GROUP BY 1"""))
 def x08(spark, sf_dir):
     return models.token_counts(R.turns(spark, sf_dir)).groupBy("program_id").agg(F.sum("tokens").alias("tokens"))
 

@@ -67,10 +67,14 @@ def asr_from(docs: DataFrame) -> DataFrame:
 
 
 def asr_documents(spark: SparkSession, path: str) -> DataFrame:
+    return asr_documents_from(_documents(spark, path))
+
+
+def asr_documents_from(docs: DataFrame) -> DataFrame:
     """program_id, model, duration_sec: of bare lists the last end is the duration."""
     head = F.from_json("doc", "struct<model:string,duration_sec:double,duration:double>")
-    known = _documents(spark, path).select("program_id", head["model"].alias("model"), F.coalesce(head["duration_sec"], head["duration"]).alias("__d"))
-    last = read_asr(spark, path).groupBy("program_id").agg(F.max_by("end_sec", "seq").alias("__last"))
+    known = docs.select("program_id", head["model"].alias("model"), F.coalesce(head["duration_sec"], head["duration"]).alias("__d"))
+    last = asr_from(docs).groupBy("program_id").agg(F.max_by("end_sec", "seq").alias("__last"))
     return known.join(last, "program_id", "left").select("program_id", "model", F.coalesce("__d", "__last").alias("duration_sec"))
 
 
@@ -138,16 +142,19 @@ def dialogues_from(lines: DataFrame) -> DataFrame:
 
 
 def service_ids(spark: SparkSession, path: str) -> DataFrame:
-    """program_id, service_id of recording notes in code page 932."""
+    files = spark.read.format("binaryFile").load(path)
+    return service_ids_from(files.select(F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1).alias("program_id"), "content"))
+
+
+def service_ids_from(files: DataFrame) -> DataFrame:
+    """program_id, service_id of recording notes (program_id, content) in code page 932."""
 
     @F.pandas_udf("string")
     def decode(raw: pd.Series) -> pd.Series:
         return raw.map(lambda b: bytes(b).decode("cp932", "replace"))
 
-    files = spark.read.format("binaryFile").load(path)
     found = F.regexp_extract(decode("content"), SERVICE_ID, 1)
-    name = F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1)
-    return files.select(name.alias("program_id"), F.when(found != "", found.cast("int")).alias("service_id"))
+    return files.select("program_id", F.when(found != "", found.cast("int")).alias("service_id"))
 
 
 #: The form of a silence filter's log line and of a recording note's service number.
@@ -182,11 +189,11 @@ def sampled_frames(programs: DataFrame, fps: float, start: float = 0.0) -> DataF
 
 
 def interval_frames(programs: DataFrame, interval: float, most: int | None = None) -> DataFrame:
-    """Frames every interval seconds, the first after five seconds or half the program."""
+    """Frames every interval seconds before the program's end, the first after five seconds or half the program; one at least."""
     first = F.least(F.lit(5.0), F.col("duration_sec") / 2.0)
-    n = F.floor((F.col("duration_sec") - first) / interval).cast("int")
+    n = F.ceil((F.col("duration_sec") - first) / interval).cast("int") - 1
     n = n if most is None else F.least(n, F.lit(most - 1))
-    return programs.select("program_id", first.alias("__f"), F.explode(F.sequence(F.lit(0), F.greatest(n, F.lit(0)))).alias("seq")).select("program_id", F.col("seq").cast("long").alias("seq"), (F.col("__f") + F.col("seq") * interval).alias("timestamp_sec"))
+    return programs.select("program_id", first.alias("__f"), F.explode(F.sequence(F.lit(0), F.greatest(n, F.lit(0)))).alias("seq")).select("program_id", F.col("seq").cast("long").alias("seq"), S.round2(F.col("__f") + F.col("seq") * interval).alias("timestamp_sec"))
 
 
 _TOPICS = "array<struct<topic_id:string,start_sec:double,end_sec:double,domain:string,label:string,notes:string>>"
@@ -216,10 +223,13 @@ def read_chapters(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_split(spark: SparkSession, path: str) -> DataFrame:
+    return split_from(_documents(spark, path))
+
+
+def split_from(docs: DataFrame) -> DataFrame:
     """part and program_id of a manifest of disjoint parts; parts that share a program raise."""
     part = "struct<program_ids:array<string>>"
-    x = F.from_json("doc", f"struct<development:{part},evaluation:{part}>")
-    docs = _documents(spark, path).select(x.alias("x"))
+    docs = docs.select(F.from_json("doc", f"struct<development:{part},evaluation:{part}>").alias("x"))
     each = lambda n: docs.select(F.lit(n).alias("part"), F.explode(f"x.{n}.program_ids").alias("program_id"))
     a, b = each("development"), each("evaluation")
     if a.select("program_id").intersect(b.select("program_id")).take(1):

@@ -22,8 +22,13 @@ def json_documents(df: DataFrame, key: str = KEY) -> DataFrame:
     return df.select(key, F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("json"))
 
 
+def json_lines(df: DataFrame) -> DataFrame:
+    """One JSON text a row; null fields stay."""
+    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("json"))
+
+
 def write_json_lines(df: DataFrame, path: str, mode: str = "error") -> None:
-    df.write.mode(mode).option("ignoreNullFields", False).json(path)
+    json_lines(df).write.mode(mode).text(path)
 
 
 def json_schema(schema: T.DataType) -> dict:

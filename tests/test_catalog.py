@@ -37,7 +37,7 @@ def con():
 
 
 def _own():
-    from chronoweave.plans import catalog, catalog_io  # noqa: F401
+    from chronoweave.plans import catalog, catalog_io, catalog_rows  # noqa: F401
 
     return sorted(catalog.QUERIES)
 

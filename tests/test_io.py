@@ -37,6 +37,12 @@ def test_notes_in_another_code_page(spark, tmp_path):
     assert rows(readers.service_ids(spark, str(tmp_path)), "program_id", "service_id") == [("p", 1024)]
 
 
+def test_frames_at_intervals_end_before_the_program(spark):
+    p = spark.createDataFrame([("a", 25.0), ("b", 0.0), ("c", 4.0)], "program_id string, duration_sec double")
+    assert rows(readers.interval_frames(p, 10.0), "program_id", "timestamp_sec") == [("a", 5.0), ("a", 15.0), ("b", 0.0), ("c", 2.0)]
+    assert rows(readers.interval_frames(p, 10.0, 1), "program_id", "timestamp_sec") == [("a", 5.0), ("b", 0.0), ("c", 2.0)]
+
+
 def test_splits_must_not_meet(spark, tmp_path):
     (tmp_path / "s.json").write_text(json.dumps({"development": {"program_ids": ["a"]}, "evaluation": {"program_ids": ["b", "a"]}}))
     with pytest.raises(ValueError):

@@ -305,3 +305,9 @@ def test_schema_and_validation(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out")).selectExpr("size(topics)").first()[0] == 2
     with pytest.raises(Exception, match="invalid topic"):
         sinks.validated(t.withColumn("end_sec", F.lit(1.0))).collect()
+
+
+def test_merged_lists_are_one_in_compatibility_form(spark):
+    df = spark.createDataFrame([(["Ａ", " b "], ["A", None, "", "ｂ", "c"])], "x array<string>, y array<string>")
+    assert df.select(S.merge_lists(F.array("x", "y"), 2).alias("m"), S.merge_lists(F.array("x", "y")).alias("n")).first() == (["A", "b"], ["A", "b", "c"])
+    assert spark.range(1).select(S.merge_lists(F.array(F.array().cast("array<string>")))).first()[0] == []
