@@ -7,12 +7,14 @@ go. Only suffixes that can share their bucket are sorted:
   its anchor, so equal strings have equal anchors at equal offsets. Anchors are bucketed by their gram.
   The starts that share an anchor are one run, named by the hash of all bytes they cover. Buckets of one
   run are final. In the others, runs with one name are equal throughout: the first stays, later ones go.
-* Refinement: where a bucket has runs of several names, each start's bucket is refined by the bucket
-  identifiers of later offsets, from 8 bytes to 16, 32, 64 and LENGTH bytes, each step reusing the
-  identifiers of the step before. Starts meet by their last identifier, and all but the first go.
-
-Identifiers are 128-bit names computed from the bytes by two hashes, the same in every task, in place of ranks that
-would take a global sort; among 10**14 starts, two different strings share one with a chance below 10**-10. Texts are kept as blocks in a bucketed table, so that verdicts, which are
+* Refinement: where a bucket has runs of several names, its starts are sorted, a block of texts at a time,
+  by their first 8 bytes, then by the bucket pointers of the starts 8, 16, 32 and so on bytes later, each
+  round reusing the pointers of the round before, up to LENGTH bytes. All but the first of a bucket go;
+  the first ones of all blocks meet by the name of their bytes, and all but the first of these go.
+
+In a block, bytes are compared. Across blocks strings are known by 128-bit names computed from the bytes by two
+hashes, the same in every task, in place of ranks that would take a global sort; among 10**14 starts, two different
+strings share one with a chance below 10**-10. Texts are kept as blocks in a bucketed table, so that verdicts, which are
 small, travel to the texts. Equal runs of a block collapse before they are dealt out, so a passage that
 very many documents share costs one entry a block.
 
@@ -41,7 +43,6 @@ _CODE = mix(BYTE_CODE + U64(0x6A09E667F3BCC909))
 LENGTH, GRAM, BLOCK_BYTES, SHARD = 100, 24, 3 << 20, 400_000
 _NO_ID = (1 << 63) - 1
 _LEFT, _RIGHT = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
-_OTHER_LEFT, _OTHER_RIGHT = U64(0xC2B2AE3D27D4EB4F), U64(0xA24BAED4963EE407)
 
 
 def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -121,27 +122,60 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
     return g[a], mix(hash_runs(sums, first, end) ^ place), mix(hash_runs(other_sums(data), first, end - 2) ^ place), first, size
 
 
-def refine(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """The two names of the buckets of these starts at depth length, by doubling from 8 bytes on.
+def _cover(starts: np.ndarray, width: int, size: int) -> np.ndarray:
+    """Places in the width bytes from each start on."""
+    edge = np.zeros(size + 1, np.int32)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, np.minimum(starts + width, size), -1)
+    return np.flatnonzero(np.cumsum(edge[:size]))
 
-    data is one text with at least length bytes after each start.
-    """
-    word = np.lib.stride_tricks.sliding_window_view(data, 8)
-    lo, hi = int(starts.min()), int(starts.max()) + length
-    first = np.ascontiguousarray(word[lo : hi - 7]).view(U64).ravel()
-    out = []
-    for p, q in ((_LEFT, _RIGHT), (_OTHER_LEFT, _OTHER_RIGHT)):
-        name, depth = mix(first ^ p), 8
-        while depth < length:
-            step = min(depth, length - depth)
-            name = mix(name[:-step] * p + name[step:] * q + U64(depth + step))
-            depth += step
-        out.append(name[starts - lo])
-    return out[0], out[1]
+
+def _heads(keys: np.ndarray) -> np.ndarray:
+    """For each of the sorted keys, the index of the first that equals it."""
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = keys[1:] != keys[:-1]
+    return np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))
 
 
-def _bin(*arrays: np.ndarray) -> list[bytes]:
-    return [a.tobytes() for a in arrays]
+def refine(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Bucket pointers of these starts at depth length: equal just where the length bytes from there on are.
+
+    A bucket is a range of the sorted suffixes and its pointer is where it begins. Suffixes are sorted into
+    buckets by their first 8 bytes. Then each bucket of several is sorted by the pointers of the suffixes
+    `depth` bytes on, which splits it into buckets of twice the depth; these pointers serve the next round.
+    starts: each has length bytes of one text after it.
+    """
+    depth = min(8, length)
+    at = _cover(starts, length - depth + 1, len(data))
+    word = np.zeros(len(at), U64)
+    for k in range(depth):
+        word = word << U64(8) | data[at + k]
+    o = np.argsort(word, kind="stable")
+    pointer, n = np.zeros(len(data), np.int64), len(at)
+    pointer[at[o]] = _heads(word[o])
+    while depth < length:
+        step = min(depth, length - depth)
+        at = _cover(starts, length - depth - step + 1, len(data))
+        own = pointer[at]
+        several = np.bincount(own, minlength=n)[own] > 1
+        at, own = at[several], own[several]
+        both = own * n + pointer[at + step]
+        o = np.argsort(both, kind="stable")
+        own = own[o]
+        pointer[at[o]] = own + _heads(both[o]) - _heads(own)
+        depth += step
+    return pointer[starts]
+
+
+def names(data: np.ndarray, off: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Two names of 64 bits each of the length bytes from each of the sorted starts on."""
+    out = [(np.zeros(0, U64), np.zeros(0, U64))]
+    for lo, hi in _slices(off):
+        a, b = np.searchsorted(starts, off[[lo, hi]])
+        if a < b:
+            part, s = data[off[lo] : off[hi]], starts[a:b] - off[lo]
+            out.append((mix(hash_runs(prefix(BYTE_CODE[part]), s, s + length)), mix(hash_runs(other_sums(part), s, s + length - 2))))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _first_of(keys: list[np.ndarray], order: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -247,13 +281,12 @@ def _refined(made: DataFrame, runs: DataFrame, shards: int, length: int) -> Data
                 row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
                 data, off, ids = np.frombuffer(row["data"], np.uint8), np.frombuffer(row["off"], np.int64), np.frombuffer(row["ids"], np.int64)
                 starts = _starts(row["told"], MIXED)
-                text = np.searchsorted(off, starts, side="right") - 1
-                edge = np.append(np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]])), len(starts))
-                names = [refine(data[off[text[a]] : off[text[a] + 1]], starts[a:b] - off[text[a]], length) for a, b in zip(edge[:-1], edge[1:])]
-                (name, more), doc = (np.concatenate(x) for x in zip(*names)), ids[text]
-                o, lead = _first_of([name, more], [doc, starts])
+                doc = ids[np.searchsorted(off, starts, side="right") - 1]
+                o, lead = _first_of([refine(data, starts, length)], [doc, starts])
                 # of equal starts in the block, the first stands for all; the rest go whatever others say
-                some, cuts = _deal(shards, name[o[lead]], [name[o[lead]], more[o[lead]], doc[o[lead]], starts[o[lead]].astype(np.uint32)])
+                first = np.sort(o[lead])
+                name, more = names(data, off, starts[first], length)
+                some, cuts = _deal(shards, name, [name, more, doc[first], starts[first].astype(np.uint32)])
                 rows = [some, [row["block"]] * len(some), *cuts]
                 if not lead.all():
                     rows[0].append(shards + row["block"] % shards)

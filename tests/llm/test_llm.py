@@ -480,6 +480,17 @@ def test_repeats(docs, length, gram):
     assert sum(w[1] for w in want.values()) > 0
 
 
+@pytest.mark.parametrize("length", [5, 8, 13, 64, 100])
+def test_buckets_hold_equal_bytes(length):
+    rng = np.random.default_rng(length)
+    data = np.concatenate([rng.integers(0, 2, 900), np.tile(rng.integers(0, 3, 150), 4), np.zeros(300, int)]).astype(np.uint8)
+    for starts in (np.arange(len(data) - length + 1), np.sort(rng.choice(len(data) - length + 1, 200, replace=False))):
+        got, seen = repeats.refine(data, starts, length), {}
+        for p, s in zip(got.tolist(), starts.tolist()):
+            seen.setdefault(p, set()).add(data[s : s + length].tobytes())
+        assert all(len(x) == 1 for x in seen.values()) and len(seen) == len(set().union(*seen.values()))
+
+
 def test_repeats_of_odd_rows(spark, odd, empty):
     runs = [(1, "a" * 250), (2, "ab" * 120 + "a" * 130), (3, "a" * 100), (4, "a" * 99)]
     got = table(repeats.remove_repeats(spark.createDataFrame(runs, "doc_id long, text string")))
