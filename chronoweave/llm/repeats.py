@@ -125,16 +125,16 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
 def _cover(starts: np.ndarray, width: int, size: int) -> np.ndarray:
     """Places in the width bytes from each start on."""
     edge = np.zeros(size + 1, np.int32)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, np.minimum(starts + width, size), -1)
-    return np.flatnonzero(np.cumsum(edge[:size]))
+    edge[starts] = 1
+    edge[starts + width] -= 1
+    return np.flatnonzero(np.cumsum(edge[:size], dtype=np.int32))
 
 
 def _heads(keys: np.ndarray) -> np.ndarray:
     """For each of the sorted keys, the index of the first that equals it."""
     new = np.ones(len(keys), dtype=bool)
     new[1:] = keys[1:] != keys[:-1]
-    return np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))
+    return np.maximum.accumulate(np.where(new, np.arange(len(keys), dtype=np.int32), 0))
 
 
 def refine(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -143,24 +143,24 @@ def refine(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.nda
     A bucket is a range of the sorted suffixes and its pointer is where it begins. Suffixes are sorted into
     buckets by their first 8 bytes. Then each bucket of several is sorted by the pointers of the suffixes
     `depth` bytes on, which splits it into buckets of twice the depth; these pointers serve the next round.
-    starts: each has length bytes of one text after it.
+    starts: distinct, each with length bytes of one text after it.
     """
     depth = min(8, length)
-    at = _cover(starts, length - depth + 1, len(data))
-    word = np.zeros(len(at), U64)
-    for k in range(depth):
-        word = word << U64(8) | data[at + k]
-    o = np.argsort(word, kind="stable")
-    pointer, n = np.zeros(len(data), np.int64), len(at)
+    at = _cover(starts, length - depth + 1, len(data)).astype(np.int32)
+    word = np.zeros((len(at), 8), np.uint8)
+    word[:, 8 - depth :] = np.lib.stride_tricks.sliding_window_view(data, depth)[at]
+    word = word.view(">u8").ravel().astype(U64)
+    o = np.argsort(word)
+    pointer, n = np.zeros(len(data), np.int32), len(at)
     pointer[at[o]] = _heads(word[o])
     while depth < length:
         step = min(depth, length - depth)
-        at = _cover(starts, length - depth - step + 1, len(data))
+        at = _cover(starts, length - depth - step + 1, len(data)).astype(np.int32)
         own = pointer[at]
         several = np.bincount(own, minlength=n)[own] > 1
         at, own = at[several], own[several]
-        both = own * n + pointer[at + step]
-        o = np.argsort(both, kind="stable")
+        both = own.astype(np.int64) * n + pointer[at + step]
+        o = np.argsort(both)
         own = own[o]
         pointer[at[o]] = own + _heads(both[o]) - _heads(own)
         depth += step
