@@ -123,7 +123,12 @@ def depth_scores(gaps: DataFrame, key: str = KEY) -> DataFrame:
     return runs.select(key, "gap", "similarity", (peak("__up") - x + peak("__down") - x).alias("depth"))
 
 
-def cohesion_boundaries(texts: DataFrame, size: int = 20, width: int = 10, radius: int = 2, factor: float = -0.5, key: str = KEY) -> DataFrame:
-    """Gaps whose depth is a local maximum and reaches mean - sd / 2."""
-    scores = smooth(cohesion_gaps(token_blocks(texts, size, key=key), width, key), "similarity", radius, key)
-    return peaks(depth_scores(scores, key), "depth", factor, key=key).select(key, "gap", "depth")
+def cohesion_boundaries(texts: DataFrame, size: int = 20, width: int = 10, radius: int = 2, factor: float = -0.5, digits: int = 9, key: str = KEY) -> DataFrame:
+    """Gaps whose depth is a local maximum and reaches mean - sd / 2.
+
+    Scores are rounded to some digits on the way, so that the last bits of sums don't split a plateau.
+    """
+    rounded = lambda df, c: df.withColumn(c, F.bround(c, digits))
+    gaps = rounded(cohesion_gaps(token_blocks(texts, size, key=key), width, key), "similarity")
+    scores = rounded(smooth(gaps, "similarity", radius, key), "similarity")
+    return peaks(rounded(depth_scores(scores, key), "depth"), "depth", factor, key=key).select(key, "gap", "depth")

@@ -539,15 +539,34 @@ def e02(spark, sf_dir):
     return out.select("program_id", *(F.col(c).cast("long").alias(c) for c in ("tp", "fp", "fn")), F.bround("f1", 6).alias("f1"))
 
 
-@query("e03_topic_matches")
+#: The largest total IoU over chains of pairs in order of time: a pair is taken after the last one that shares no topic with it.
+_MATCHES = """
+    pr AS (SELECT *, row_number() OVER (PARTITION BY program_id ORDER BY s, e, pred, truth) AS k FROM (
+        SELECT p.program_id, p.seq AS pred, t.seq AS truth, greatest(p.start_sec, t.start_sec) AS s, least(p.end_sec, t.end_sec) AS e, p.start_sec - t.start_sec AS onset, p.end_sec - t.end_sec AS offs,
+            (least(p.end_sec, t.end_sec) - greatest(p.start_sec, t.start_sec)) / (greatest(p.end_sec, t.end_sec) - least(p.start_sec, t.start_sec)) AS iou
+        FROM pred p JOIN truth t ON p.program_id = t.program_id AND least(p.end_sec, t.end_sec) > greatest(p.start_sec, t.start_sec))),
+    fr AS (SELECT program_id, k, iou, least(min(k) OVER (PARTITION BY program_id, pred), min(k) OVER (PARTITION BY program_id, truth)) - 1 AS free FROM pr),
+    dp AS (SELECT program_id, v, f, 1 AS k, [v[1]] AS b FROM (SELECT program_id, list(iou ORDER BY k) AS v, list(free ORDER BY k) AS f FROM fr GROUP BY 1) UNION ALL
+        SELECT program_id, v, f, k + 1, list_append(b, greatest(b[k], v[k + 1] + coalesce(b[f[k + 1]], 0))) FROM dp WHERE k < len(v)),
+    tr AS (SELECT program_id, f, b, CAST(k AS BIGINT) AS k FROM dp WHERE k = len(v) UNION ALL SELECT program_id, f, b, CASE WHEN b[k] > coalesce(b[k - 1], 0) THEN f[k] ELSE k - 1 END FROM tr WHERE k > 0),
+    mt AS (SELECT pr.* FROM pr JOIN tr ON pr.program_id = tr.program_id AND pr.k = tr.k WHERE iou >= 0.3 AND b[tr.k] > coalesce(b[tr.k - 1], 0))"""
+
+
+@query("e03_topic_matches", sql('SELECT program_id, pred, truth AS "true", round_even(iou, 6) AS iou, round_even(onset, 6) AS onset_error, round_even(offs, 6) AS offset_error FROM mt', _MATCHES, recursive=True))
 def e03(spark, sf_dir):
-    return evaluation.topic_matches(R.topics(spark, sf_dir, 1), R.topics(spark, sf_dir, 0))
+    out = evaluation.topic_matches(R.topics(spark, sf_dir, 1), R.topics(spark, sf_dir, 0))
+    return out.select("program_id", "pred", "true", *(F.bround(c, 6).alias(c) for c in ("iou", "onset_error", "offset_error")))
 
 
-@query("e04_match_summary")
+@query("e04_match_summary", sql("""
+    SELECT program_id, n_ground_truth, n_prediction, coalesce(n_matched, 0) AS n_matched, round_even(i, 6) AS mean_iou_matched, round_even(a, 6) AS onset_mae_sec, round_even(o, 6) AS offset_mae_sec,
+        abs(n_prediction - n_ground_truth) AS topic_count_error, round_even(coalesce(n_matched, 0) / n_ground_truth, 6) AS match_rate
+    FROM (SELECT program_id, count(*) FILTER (WHERE parity = 0) AS n_ground_truth, count(*) FILTER (WHERE parity = 1) AS n_prediction FROM top GROUP BY 1)
+    LEFT JOIN (SELECT program_id, count(*) AS n_matched, avg(iou) AS i, avg(abs(onset)) AS a, avg(abs(offs)) AS o FROM mt GROUP BY 1) USING (program_id)""", _MATCHES, recursive=True))
 def e04(spark, sf_dir):
     p, t = R.topics(spark, sf_dir, 1), R.topics(spark, sf_dir, 0)
-    return evaluation.match_summary(p, t, evaluation.topic_matches(p, t))
+    out = evaluation.match_summary(p, t, evaluation.topic_matches(p, t))
+    return out.select("program_id", "n_ground_truth", "n_prediction", "n_matched", "topic_count_error", *(F.bround(c, 6).alias(c) for c in ("mean_iou_matched", "onset_mae_sec", "offset_mae_sec", "match_rate")))
 
 
 @query("e07_window_metrics", sql("""
@@ -572,10 +591,18 @@ def e09(spark, sf_dir):
     return out.select("program_id", "kind", *(F.array_join(F.col(c).cast("array<string>"), ";").alias(c) for c in ("predictions", "truths")))
 
 
-@query("e10_other_errors")
+@query("e10_other_errors", sql("""
+    SELECT program_id, 'phase_shifted' AS kind, CAST(pred AS VARCHAR) AS predictions, CAST(truth AS VARCHAR) AS truths FROM shifted
+    UNION ALL SELECT program_id, 'hallucinated', CAST(seq AS VARCHAR), '' FROM free_p p WHERE NOT EXISTS (FROM shifted s WHERE s.program_id = p.program_id AND s.pred = p.seq)
+    UNION ALL SELECT program_id, 'missed', '', CAST(seq AS VARCHAR) FROM free_t t WHERE NOT EXISTS (FROM shifted s WHERE s.program_id = t.program_id AND s.truth = t.seq)""", _OVER, _MATCHES,
+    "told AS (SELECT program_id, pred, truth FROM mt UNION ALL SELECT program_id, pred, truth FROM ov WHERE o / lp >= 0.5 QUALIFY count(*) OVER (PARTITION BY program_id, truth) >= 2 UNION ALL SELECT program_id, pred, truth FROM ov WHERE o / lt >= 0.5 QUALIFY count(*) OVER (PARTITION BY program_id, pred) >= 2)",
+    "free_p AS (SELECT program_id, seq FROM pred p WHERE NOT EXISTS (FROM told WHERE told.program_id = p.program_id AND told.pred = p.seq))",
+    "free_t AS (SELECT program_id, seq FROM truth t WHERE NOT EXISTS (FROM told WHERE told.program_id = t.program_id AND told.truth = t.seq))",
+    "shifted AS (SELECT pr.program_id, pred, truth FROM pr JOIN free_p p ON p.program_id = pr.program_id AND p.seq = pred JOIN free_t t ON t.program_id = pr.program_id AND t.seq = truth WHERE iou >= 0.1)", recursive=True))
 def e10(spark, sf_dir):
     p, t = R.topics(spark, sf_dir, 1), R.topics(spark, sf_dir, 0)
-    return evaluation.other_errors(p, t, evaluation.topic_matches(p, t), evaluation.splits(p, t))
+    out = evaluation.other_errors(p, t, evaluation.topic_matches(p, t), evaluation.splits(p, t))
+    return out.select("program_id", "kind", *(F.array_join(F.col(c).cast("array<string>"), ";").alias(c) for c in ("predictions", "truths")))
 
 
 @query("e13_chapters", sql("""
@@ -687,28 +714,33 @@ def e16_contrast(spark, sf_dir):
 # Baselines
 
 
-@query("b01_embedding_window")
-def b01(spark, sf_dir):
-    from pyspark.sql import Window
-
-    e = R.table(spark, sf_dir, "embeddings")
-    w = Window.partitionBy("program_id").orderBy("label", "vec_id")
-    units = e.select((F.col("vec_id") % 4).cast("string").alias("program_id"), "label", "vec_id", F.col("embedding").cast("array<double>").alias("v")).withColumn("seq", F.row_number().over(w) - 1)
-    return baselines.embedding_boundaries(units.select("program_id", "seq", "v"))
-
-
-@query("b01_dissimilarity", """
+_UNITS = """
     WITH u AS (SELECT CAST(vec_id % 4 AS VARCHAR) AS program_id, embedding::DOUBLE[64] AS v, row_number() OVER (PARTITION BY vec_id % 4 ORDER BY label, vec_id) - 1 AS seq FROM embeddings),
     sums AS (SELECT g.program_id, g.seq AS gap, d.i, sum(CASE WHEN o.seq < g.seq THEN o.v[d.i] END) / 3 AS a, sum(CASE WHEN o.seq >= g.seq THEN o.v[d.i] END) / 3 AS b, count(*) AS n
-        FROM u g JOIN u o ON g.program_id = o.program_id AND o.seq BETWEEN g.seq - 3 AND g.seq + 2, (SELECT unnest(range(1, 65)) AS i) d GROUP BY 1, 2, 3)
-    SELECT program_id, gap, round_even(1 - sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))), 6) AS dissimilarity FROM sums WHERE n = 6 GROUP BY 1, 2""")
-def b01_gaps(spark, sf_dir):
+        FROM u g JOIN u o ON g.program_id = o.program_id AND o.seq BETWEEN g.seq - 3 AND g.seq + 2, (SELECT unnest(range(1, 65)) AS i) d GROUP BY 1, 2, 3),
+    far AS (SELECT program_id, gap, 1 - sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))) AS d FROM sums WHERE n = 6 GROUP BY 1, 2)"""
+
+
+def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy("program_id").orderBy("label", "vec_id")
     e = R.table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 4).cast("string").alias("program_id"), "label", "vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    units = e.withColumn("seq", F.row_number().over(w) - 1).select("program_id", "seq", "v")
-    return baselines.embedding_gaps(units).select("program_id", F.col("gap").cast("long").alias("gap"), F.bround("dissimilarity", 6).alias("dissimilarity"))
+    return e.withColumn("seq", F.row_number().over(w) - 1).select("program_id", "seq", "v")
+
+
+#: Peaks lie two units of 15 seconds apart at least, so the least distance of 30 seconds drops none of them.
+@query("b01_embedding_window", _UNITS + """,
+    sm AS (SELECT program_id, gap, avg(d) OVER (PARTITION BY program_id ORDER BY gap ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS d FROM far),
+    pk AS (SELECT *, avg(d) OVER p + 0.5 * stddev_pop(d) OVER p AS high, lag(d) OVER o AS l, lead(d) OVER o AS r FROM sm WINDOW p AS (PARTITION BY program_id), o AS (PARTITION BY program_id ORDER BY gap))
+    SELECT program_id, gap * 15.0::DOUBLE AS time_sec FROM pk WHERE d >= high AND (l IS NULL OR d >= l) AND (r IS NULL OR d > r)""")
+def b01(spark, sf_dir):
+    return baselines.embedding_boundaries(_units(spark, sf_dir))
+
+
+@query("b01_dissimilarity", _UNITS + " SELECT program_id, gap, round_even(d, 6) AS dissimilarity FROM far")
+def b01_gaps(spark, sf_dir):
+    return baselines.embedding_gaps(_units(spark, sf_dir)).select("program_id", F.col("gap").cast("long").alias("gap"), F.bround("dissimilarity", 6).alias("dissimilarity"))
 
 
 def _prose(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -742,6 +774,12 @@ def b02_depth(spark, sf_dir):
     return baselines.depth_scores(gaps).select("program_id", F.col("gap").cast("long").alias("gap"), F.bround("depth", 6).alias("depth"))
 
 
-@query("b02_cohesion_boundaries")
+@query("b02_cohesion_boundaries", _COHESION + """,
+    sm AS (SELECT program_id, gap, round_even(avg(round_even(s, 9)) OVER (PARTITION BY program_id ORDER BY gap ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 9) AS s FROM gaps),
+    runs AS (SELECT *, sum((s > l)::INT) OVER w AS up, sum((s < l)::INT) OVER w AS down FROM (SELECT *, lag(s, 1, s) OVER (PARTITION BY program_id ORDER BY gap) AS l FROM sm) WINDOW w AS (PARTITION BY program_id ORDER BY gap)),
+    deep AS (SELECT program_id, gap, round_even(max(s) OVER (PARTITION BY program_id, up) + max(s) OVER (PARTITION BY program_id, down) - 2 * s, 9) AS d FROM runs),
+    pk AS (SELECT *, avg(d) OVER p - 0.5 * stddev_pop(d) OVER p AS high, lag(d) OVER o AS l, lead(d) OVER o AS r FROM deep WINDOW p AS (PARTITION BY program_id), o AS (PARTITION BY program_id ORDER BY gap))
+    SELECT program_id, gap, round_even(d, 6) AS depth FROM pk WHERE d >= high AND (l IS NULL OR d >= l) AND (r IS NULL OR d > r)""")
 def b02(spark, sf_dir):
-    return baselines.cohesion_boundaries(_prose(spark, sf_dir))
+    out = baselines.cohesion_boundaries(_prose(spark, sf_dir))
+    return out.select("program_id", F.col("gap").cast("long").alias("gap"), F.bround("depth", 6).alias("depth"))
