@@ -687,9 +687,16 @@ def a07_intervals(spark, sf_dir):
     return evaluation.interval_table(rows, "row", ["bf1_5", "pk"], [None, "0", "1", "2"], by="broadcaster")
 
 
-@query("e11_summary")
+_AT_5 = ORACLE_SQL["e02_f1"].replace("g[j] + 30", "g[j] + 5").replace("g[j] - 30", "g[j] - 5").replace("<= 30", "<= 5")
+
+
+@query("e11_summary", f"""
+    SELECT program_id, n_ground_truth, n_prediction, topic_count_error, match_rate, mean_iou_matched, onset_mae_sec, offset_mae_sec, a.f1 AS bf1_5, b.f1 AS bf1_30, pk, window_diff
+    FROM ({ORACLE_SQL["e04_match_summary"]}) LEFT JOIN ({_AT_5}) a USING (program_id) LEFT JOIN ({ORACLE_SQL["e02_f1"]}) b USING (program_id) LEFT JOIN ({ORACLE_SQL["e07_window_metrics"]}) w USING (program_id)""")
 def e11(spark, sf_dir):
-    return evaluation.summary(R.programs(spark, sf_dir), R.topics(spark, sf_dir, 1), R.topics(spark, sf_dir, 0))
+    out = evaluation.summary(R.programs(spark, sf_dir), R.topics(spark, sf_dir, 1), R.topics(spark, sf_dir, 0))
+    counts = ["program_id", "n_ground_truth", "n_prediction", "topic_count_error"]
+    return out.select(*counts, *(F.bround(c, 6).alias(c) for c in out.columns if c not in counts))
 
 
 def _one_edge(edge: str) -> str:

@@ -72,6 +72,57 @@ def without_repeats(stream: DataFrame, key: str = "program_id", time: str = "ts"
     return source.groupBy(key).applyInPandasWithState(run, f"{key} string, {time} timestamp, {text} string", "last string", "append", GroupStateTimeout.NoTimeout)
 
 
+def strongest(stream: DataFrame, gap_sec: float, inclusive: bool = True, key: str = "program_id", time: str = "ts", rank: str = "rank", late: str = "10 minutes") -> DataFrame:
+    """(key, ts, rank) of the rows that folds.keep_strongest() keeps, with the last kept row as state.
+
+    That row is given once a row beyond the gap has come, or once the watermark says that none within it can come any more.
+    A key's rows are put in order within a micro-batch.
+    """
+    gap = round(gap_sec * 1_000_000)
+
+    def run(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        out, last = [], tuple(state.get) if state.exists else None
+        if state.hasTimedOut:
+            out.append(last)
+            state.remove()
+        else:
+            for t, r in sorted(((x.value // 1000, int(y)) for pdf in batches for x, y in zip(pdf[time], pdf[rank])), key=lambda row: row[0]):
+                near = last is not None and t - last[0] < gap + inclusive
+                if near and r <= last[1]:
+                    continue
+                if last is not None and not near:
+                    out.append(last)
+                last = (t, r)
+            state.update(last)
+            state.setTimeoutTimestamp(max((last[0] + gap) // 1000, state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame({key: [k[0]] * len(out), time: pd.to_datetime([t for t, _ in out], unit="us"), rank: [r for _, r in out]})
+
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    source = stream.select(F.col(key).cast("string").alias(key), F.col(time).cast("timestamp").alias(time), F.col(rank).cast("long").alias(rank)).withWatermark(time, late)
+    return source.groupBy(key).applyInPandasWithState(run, f"{key} string, {time} timestamp, {rank} long", "t long, r long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def packed(stream: DataFrame, target: int, size: str = "tokens", key: str = "program_id", time: str = "ts", late: str = "10 minutes") -> DataFrame:
+    """(key, ts, size, batch) of every row, in batches as from folds.pack(), with the open batch and its room as state."""
+
+    def run(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        batch, room = state.get if state.exists else (-1, 0)
+        pdf, numbers = pd.concat(list(batches)).sort_values(time, kind="stable"), []
+        for n in pdf[size]:
+            if batch < 0 or n > room:
+                batch, room = batch + 1, target
+            room -= int(n)
+            numbers.append(batch)
+        state.update((batch, room))
+        yield pdf[[key, time, size]].assign(batch=numbers)
+
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    source = stream.select(F.col(key).cast("string").alias(key), F.col(time).cast("timestamp").alias(time), F.col(size).cast("long").alias(size)).withWatermark(time, late)
+    return source.groupBy(key).applyInPandasWithState(run, f"{key} string, {time} timestamp, {size} long, batch long", "batch long, room long", "append", GroupStateTimeout.NoTimeout)
+
+
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Drain what the source holds into Parquet; a second call goes on from the checkpoint."""
     stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()

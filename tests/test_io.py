@@ -1,12 +1,14 @@
 """Readers over files, resolvers, sinks, plug-ins and streams."""
 
 import json
+import random
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from chronoweave.functions import models
+from chronoweave.operators import folds
 from chronoweave.sources import readers, resolve, sinks
 from chronoweave.streaming import variants
 
@@ -119,3 +121,23 @@ def test_streams(spark, tmp_path):
     variants.run_once(counted, str(tmp_path / "o3"), str(tmp_path / "c3"))
     assert spark.read.parquet(str(tmp_path / "o3")).count() >= 0
     assert rows(variants.sessions(df, [F.col("program_id")], [F.count("*").alias("n")], 10.0), "n") == [(2,), (3,)]
+
+
+def test_keyed_state_gives_what_the_folds_give(spark, tmp_path):
+    rng = random.Random(3)
+    rows_ = [(f"p{k % 3}", k, float(60 * k + rng.randrange(50)), rng.randrange(4), rng.choice([2, 5, 9, 40])) for k in range(90)]
+    df = spark.createDataFrame(rows_, "program_id string, seq long, time_sec double, rank int, tokens long").withColumn("ts", F.timestamp_seconds("time_sec"))
+    path, streamed = str(tmp_path / "in"), spark.readStream.schema(df.schema)
+    ends = spark.createDataFrame([(f"p{k}", 90, 1e6, 0, 1) for k in range(3)], "program_id string, seq long, time_sec double, rank int, tokens long").withColumn("ts", F.timestamp_seconds("time_sec"))
+    for part in (df.where("seq < 47"), df.where("seq >= 47"), ends):
+        part.coalesce(1).write.mode("append").parquet(path)
+        for name, gap, inclusive in (("stitch", 180.0, True), ("spaced", 200.0, False)):
+            variants.run_once(variants.strongest(streamed.parquet(path), gap, inclusive), str(tmp_path / name), str(tmp_path / f"c-{name}"))
+        variants.run_once(variants.packed(streamed.parquet(path), 20), str(tmp_path / "packed"), str(tmp_path / "c-packed"))
+    for name, gap, inclusive in (("stitch", 180.0, True), ("spaced", 200.0, False)):
+        want = rows(folds.keep_strongest(df, gap, inclusive), "program_id", "time_sec")
+        got = spark.read.parquet(str(tmp_path / name)).where(F.unix_seconds("ts") < 900000).withColumn("time_sec", F.unix_seconds("ts").cast("double"))
+        assert rows(got, "program_id", "time_sec") == want and 3 < len(want) < 90
+    got = spark.read.parquet(str(tmp_path / "packed")).where(F.unix_seconds("ts") < 900000)
+    batches = lambda d: sorted(r[0] for r in d.groupBy("program_id", "batch").agg(F.concat_ws("/", "program_id", F.count("*"), F.sum("tokens")).alias("x")).select("x").collect())
+    assert batches(got) == batches(folds.pack(df, 20).join(df.select("program_id", "seq", "tokens"), ["program_id", "seq"]))
