@@ -22,6 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import free_name
 from .tokens import U64, texts
@@ -114,6 +115,19 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang:
     return some.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("n") <= per_lang).select("lang", "t")
 
 
+def thin(counts: np.ndarray) -> bytes:
+    """The places and values of a row's counts that aren't 0: a stretch has a few hundred at most, of DIM."""
+    at = np.flatnonzero(counts)
+    return at.astype(np.uint16).tobytes() + counts[at].astype(np.float32).tobytes()
+
+
+def dense(row: bytes) -> np.ndarray:
+    """The counts that thin() was given."""
+    n, out = len(row) // 6, np.zeros(DIM, np.float32)
+    out[np.frombuffer(row, np.uint16, n)] = np.frombuffer(row[2 * n :], np.float32)
+    return out
+
+
 def _stretches(text: str) -> list[tuple[int, str]]:
     """(class of length, a stretch of that length) of a text, from a place that depends on the text alone."""
     data, out = text.encode(), [(-1, text)]
@@ -124,23 +138,30 @@ def _stretches(text: str) -> list[tuple[int, str]]:
     return out
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_per_lang: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
-    """Learn from the labelled rows of docs; the caller leaves held-out rows away."""
+def counted(some: DataFrame) -> DataFrame:
+    """lang, class of length, thin counts of each text of a sample and of its stretches."""
+    schema = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("x", pa.binary())])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("t").to_pylist()):
-                some = _stretches(text)
-                rows = [r.astype(np.float32).tobytes() for _, x, *_ in features(pa.array([t for _, t in some])) for r in x]
-                yield pa.RecordBatch.from_pydict({"lang": [lang] * len(rows), "k": [k for k, _ in some], "x": rows}, schema=pa.schema([("lang", pa.string()), ("k", pa.int32()), ("x", pa.binary())]))
+                cut = _stretches(text)
+                rows = [thin(r) for _, x, *_ in features(pa.array([t for _, t in cut])) for r in x]
+                yield pa.RecordBatch.from_pydict({"lang": [lang] * len(rows), "k": [k for k, _ in cut], "x": rows}, schema=schema)
+
+    return some.mapInArrow(run, "lang string, k int, x binary")
+
 
-    counts = sample(docs, id_col, text_col, lang_col, sample_per_lang).mapInArrow(count, "lang string, k int, x binary").persist()
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_per_lang: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
+    """Learn from the labelled rows of docs; the caller leaves held-out rows away."""
+    counts = counted(sample(docs, id_col, text_col, lang_col, sample_per_lang)).persist()
+    counts.count()  # else the tasks that read them first would run two Python workers each
 
     def document_frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(DIM), 0
         for batch in batches:
             for x in batch.column("x").to_pylist():
-                total += np.frombuffer(x, np.float32) > 0
+                total += dense(x) > 0
                 n += 1
         yield pa.RecordBatch.from_pydict({"df": [total.tobytes()], "n": [n]}, schema=pa.schema([("df", pa.binary()), ("n", pa.int64())]))
 
@@ -149,7 +170,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     idf = np.log((1 + n) / (1 + sum((np.frombuffer(r["df"]) for r in parts), np.zeros(DIM)))) + 1
 
     def cluster(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        made = lambda k: weigh(np.stack([np.frombuffer(v, np.float32) for v in sorted(pdf.loc[pdf["k"] == k, "x"])]), idf)
+        made = lambda k: weigh(np.stack(sorted((dense(v) for v in pdf.loc[pdf["k"] == k, "x"]), key=bytes)), idf)
         c = _cluster(made(-1), centroids)
         limit = np.zeros(len(STRETCHES))
         for k in range(len(STRETCHES)):
@@ -169,7 +190,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def predict(docs: DataFrame, model: Model, text_col: str = "text", prefix: str = "") -> DataFrame:
     """docs with lang_pred, score (cosine, 0 to 1) and rejected, named with the prefix; columns of these names are replaced."""
     added = [prefix + c for c in ("lang_pred", "score", "rejected")]
-    kept, given = [c for c in docs.columns if c not in added], free_name(docs, "__text")
+    kept = [c for c in docs.columns if c not in added]
+    # texts travel once, unless they need a cast or their column is replaced
+    once = text_col in kept and isinstance(docs.schema[text_col].dataType, T.StringType)
+    given = text_col if once else free_name(docs, "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,7 +215,6 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", prefix: str =
             more = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *more], [*kept, *added])
 
-    from pyspark.sql import types as T
-
     out = T.StructType([docs.schema[c] for c in kept]).add(added[0], "string").add(added[1], "double").add(added[2], "boolean")
-    return docs.select(*kept, F.col(text_col).cast("string").alias(given)).mapInArrow(run, out)
+    more = [] if once else [F.col(text_col).cast("string").alias(given)]
+    return docs.select(*kept, *more).mapInArrow(run, out)

@@ -454,6 +454,26 @@ def test_the_sample_takes_distinct_rows_with_the_smallest_keys(spark):
     assert len(got) == len(set(got)) == 21 and got[-1] == ("y", "no id")
 
 
+def test_language_sends_texts_once_and_thin_counts(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(26)
+    rows = [(i, "".join(rng.choice("abcdefgh  ") for _ in range(rng.randint(20, 1500))), "ab"[i % 2]) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(df)
+    width = lambda d, **kw: language.predict(d, model, **kw)._jdf.queryExecution().analyzed().children().apply(0).output().size()
+    assert width(df) == 3
+    got = table(language.predict(df, model))
+    for other, kw in ((df.withColumnRenamed("text", "score"), {"text_col": "score"}), (df.withColumn("text", F.col("text").cast("binary")), {})):
+        again = table(language.predict(other, model, **kw))
+        assert width(other, **kw) == (3 if kw else 4) and {i: r["lang_pred"] for i, r in again.items()} == {i: r["lang_pred"] for i, r in got.items()}
+    texts = [t for _, t, _ in rows]
+    x = np.concatenate([x for _, x, *_ in language.features(pa.array(texts))])
+    assert all((language.dense(language.thin(r)) == r).all() for r in x) and not language.dense(language.thin(x[0] * 0)).any()
+    sizes = [len(r["x"]) for r in language.counted(language.sample(df, "doc_id", "text", "lang", 100)).collect()]
+    assert len(sizes) > 60 and max(sizes) == max(6 * (r > 0).sum() for r in x) < 4 * language.DIM
+
+
 # 7 repeats
 
 
