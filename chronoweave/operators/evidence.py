@@ -151,11 +151,14 @@ def visual_candidates(candidates: DataFrame) -> DataFrame:
 
 
 def editorial_spans(programs: DataFrame, non_editorial: DataFrame, cues: DataFrame, key: str = KEY) -> DataFrame:
-    """Spans between 0, the end, cue times and the edges of non-editorial spans, without those whose middle lies in one."""
-    edges = intervals.clip(non_editorial.join(programs, key), F.lit(0.0), F.col("duration_sec"))
+    """Spans between 0, the end, cue times and the edges of non-editorial spans, without those whose middle lies in one.
+
+    A non-editorial span of no length cuts too.
+    """
+    edges = F.explode(F.array(*(S.clamp(c, F.lit(0.0), "duration_sec") for c in ("start_sec", "end_sec"))))
     cuts = (
         programs.select(key, F.explode(F.array(F.lit(0.0), "duration_sec")).alias("time_sec"))
-        .union(cues.select(key, "time_sec")).union(edges.select(key, F.explode(F.array("start_sec", "end_sec"))))
+        .union(cues.select(key, "time_sec")).union(non_editorial.join(programs, key).select(key, edges))
     )
     spans = intervals.cuts_to_spans(cuts, key).withColumn("__mid", (F.col("start_sec") + F.col("end_sec")) / 2.0)
     left = points_in_spans(spans, non_editorial.select(key, "start_sec", "end_sec"), "left_anti", time="__mid", key=key).drop("__mid")

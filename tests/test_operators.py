@@ -311,3 +311,10 @@ def test_merged_lists_are_one_in_compatibility_form(spark):
     df = spark.createDataFrame([(["Ａ", " b "], ["A", None, "", "ｂ", "c"])], "x array<string>, y array<string>")
     assert df.select(S.merge_lists(F.array("x", "y"), 2).alias("m"), S.merge_lists(F.array("x", "y")).alias("n")).first() == (["A", "b"], ["A", "b", "c"])
     assert spark.range(1).select(S.merge_lists(F.array(F.array().cast("array<string>")))).first()[0] == []
+
+
+def test_a_non_editorial_span_of_no_length_cuts(spark, spans):
+    programs = spark.createDataFrame([("p", 100.0)], "program_id string, duration_sec double")
+    cues = spans([(60.0,)], "time_sec double")
+    out = evidence.editorial_spans(programs, spans([(20.0, 20.0), (70.0, 80.0), (95.0, 120.0)]), cues)
+    assert rows(out, "start_sec", "end_sec", "seq") == [(0.0, 20.0, 0), (20.0, 60.0, 1), (60.0, 70.0, 2), (80.0, 95.0, 3)]
