@@ -318,3 +318,13 @@ def test_a_non_editorial_span_of_no_length_cuts(spark, spans):
     cues = spans([(60.0,)], "time_sec double")
     out = evidence.editorial_spans(programs, spans([(20.0, 20.0), (70.0, 80.0), (95.0, 120.0)]), cues)
     assert rows(out, "start_sec", "end_sec", "seq") == [(0.0, 20.0, 0), (20.0, 60.0, 1), (60.0, 70.0, 2), (80.0, 95.0, 3)]
+
+
+def test_a_share_of_exactly_the_limit_is_covered(spark, spans):
+    edges = [(k * 10 + 0.1, k * 10 + 0.1 + 0.02 * n, k * 10 + 0.1 + 0.01 * n) for k, n in ((i, i % 400 + 1) for i in range(400))]
+    rounded = [tuple(round(x, 2) for x in e) for e in edges]
+    topics, half = spans([e[:2] for e in rounded]), spans([(e[0], e[2]) for e in rounded])
+    assert intervals.drop_covered(topics, half, 0.5).count() == 0
+    programs = spark.createDataFrame([("p", 5000.0)], "program_id string, duration_sec double")
+    kept, _, removed = evidence.finalise(topics.withColumn("topic_id", S.numbered("t", "seq", 3)), half, half.limit(0), programs, 0.5)
+    assert kept.count() == 0 and removed.first()["n"] == 400
