@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -96,33 +98,35 @@ def assign(value: np.ndarray) -> np.ndarray:
     return out
 
 
+def _chain(pred: np.ndarray, true: np.ndarray, value: np.ndarray, base: float) -> tuple[np.ndarray, float] | None:
+    """Which rows make the matching of the largest total value, and base plus this total; None if the rows aren't a chain."""
+    n, first = len(value), []
+    for x in (pred, true):
+        new = np.concatenate([[True], x[1:] != x[:-1]])
+        if len(np.unique(x)) != np.count_nonzero(new):
+            return None
+        first.append(np.maximum.accumulate(np.where(new, np.arange(n), 0)))
+    free, best = np.minimum(*first).tolist(), [base]
+    for k, v in enumerate(value.tolist()):
+        best.append(max(best[k], v + best[free[k]]))
+    out, k = np.zeros(n, dtype=bool), n
+    while k:
+        if best[k] > best[k - 1]:
+            out[k - 1], k = True, free[k - 1]
+        else:
+            k -= 1
+    return out, best[n]
+
+
 def chain_matching(pred: np.ndarray, true: np.ndarray, value: np.ndarray) -> np.ndarray | None:
     """Which rows make the matching of the largest total value, or None if the rows aren't a chain.
 
     Rows are overlaps in order of time. They are a chain if all rows of one topic stand together, as they do
-    where the topics of neither side overlap each other. Then a row can be taken if the topics that it shares
-    with the row before are still free, and a table over the four states of these two topics is enough.
+    where the topics of neither side overlap each other. Then a row can be taken after the last one that shares
+    no topic with it. Of equal totals the one with the earlier rows is taken.
     """
-    for x in (pred, true):
-        if len(np.unique(x)) != 1 + np.count_nonzero(x[1:] != x[:-1]):
-            return None
-    best, back = {(False, False): 0.0}, []
-    for k in range(len(value)):
-        same_p, same_t = k > 0 and pred[k] == pred[k - 1], k > 0 and true[k] == true[k - 1]
-        now: dict[tuple[bool, bool], float] = {}
-        came: dict[tuple[bool, bool], tuple[tuple[bool, bool], bool]] = {}
-        for state, v in best.items():
-            p, t = state[0] and same_p, state[1] and same_t
-            choices = [((p, t), v, False)] if p or t else [((p, t), v, False), ((True, True), v + value[k], True)]
-            for to, w, taken in choices:
-                if w > now.get(to, -1.0):
-                    now[to], came[to] = w, (state, taken)
-        best = now
-        back.append(came)
-    out, state = np.zeros(len(value), dtype=bool), max(best, key=best.__getitem__)
-    for k in range(len(value) - 1, -1, -1):
-        state, out[k] = back[k][state]
-    return out
+    found = _chain(pred, true, value, 0.0)
+    return None if found is None else found[0]
 
 
 def linked(pred: np.ndarray, true: np.ndarray) -> list[np.ndarray]:
@@ -142,11 +146,11 @@ def linked(pred: np.ndarray, true: np.ndarray) -> list[np.ndarray]:
     return np.split(order, np.flatnonzero(np.diff(label[order])) + 1)
 
 
-def best_matching(pred: np.ndarray, true: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """Which overlaps, in order of time, make the matching of the largest total value."""
-    out = chain_matching(pred, true, value)
-    if out is not None:
-        return out
+def _best(pred: np.ndarray, true: np.ndarray, value: np.ndarray, base: float) -> tuple[np.ndarray, float]:
+    """Which overlaps, in order of time, make the matching of the largest total value, and base plus this total."""
+    found = _chain(pred, true, value, base)
+    if found is not None:
+        return found
     _, pred = np.unique(pred, return_inverse=True)
     _, true = np.unique(true, return_inverse=True)
     out = np.zeros(len(value), dtype=bool)
@@ -158,26 +162,58 @@ def best_matching(pred: np.ndarray, true: np.ndarray, value: np.ndarray) -> np.n
             m[i, j] = value[rows]
             some = assign(m)[i] == j
         out[rows] = some
-    return out
+    return out, base + float(value[out].sum())
+
+
+def best_matching(pred: np.ndarray, true: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Which overlaps, in order of time, make the matching of the largest total value."""
+    return _best(pred, true, value, 0.0)[0]
 
 
 def topic_matches(predicted: DataFrame, truth: DataFrame, least: float = 0.3, key: str = KEY) -> DataFrame:
     """Pairs of the assignment with the largest total IoU, without those below least; errors are predicted - true.
 
-    A program's overlaps are solved as a chain in linear time; only connected groups of topics that overlap
-    others of their own side need the general assignment.
+    Overlaps come in order of time, a batch at a time, and are settled where no topic of an earlier one lasts on,
+    which no choice spans; the total goes on from there. What is settled at once is solved as a chain in linear time;
+    only connected groups of topics that overlap others of their own side need the general assignment.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = np.lexsort([pdf["true"], pdf["pred"], np.minimum(pdf["l_end_sec"], pdf["r_end_sec"]), np.maximum(pdf["l_start_sec"], pdf["r_start_sec"])])
-        pdf = pdf.iloc[at]
-        taken = best_matching(pdf["pred"].to_numpy(), pdf["true"].to_numpy(), pdf["iou"].to_numpy())
-        out = pdf[taken & (pdf["iou"].to_numpy() >= max(least, 1e-300))].copy()
-        out["onset_error"], out["offset_error"] = out["l_start_sec"] - out["r_start_sec"], out["l_end_sec"] - out["r_end_sec"]
-        return out[[key, "pred", "true", "iou", "onset_error", "offset_error"]]
-
-    pairs = iou_pairs(predicted, truth, key).select(key, F.col("pred").cast("long").alias("pred"), F.col("true").cast("long").alias("true"), "iou", "l_start_sec", "l_end_sec", "r_start_sec", "r_end_sec")
-    return pairs.groupBy(key).applyInPandas(run, f"{key} string, pred long, true long, iou double, onset_error double, offset_error double")
+    edges = ["l_start_sec", "l_end_sec", "r_start_sec", "r_end_sec"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        program, reach, base, held = None, -np.inf, 0.0, []
+
+        def settled() -> pd.DataFrame:
+            nonlocal base
+            pdf = pd.concat(held, ignore_index=True)
+            held.clear()
+            taken, base = _best(pdf["pred"].to_numpy(), pdf["true"].to_numpy(), pdf["iou"].to_numpy(), base)
+            out = pdf[taken & (pdf["iou"].to_numpy() >= max(least, 1e-300))].copy()
+            out["onset_error"], out["offset_error"] = out["l_start_sec"] - out["r_start_sec"], out["l_end_sec"] - out["r_end_sec"]
+            return out[[key, "pred", "true", "iou", "onset_error", "offset_error"]]
+
+        for batch in batches:
+            names = batch[key].to_numpy()
+            for pdf in np.split(np.arange(len(batch)), np.flatnonzero(names[1:] != names[:-1]) + 1):
+                pdf = batch.iloc[pdf]
+                if not len(pdf):
+                    continue
+                if pdf[key].iloc[0] != program:
+                    if held:
+                        yield settled()
+                    program, reach, base = pdf[key].iloc[0], -np.inf, 0.0
+                lasts = np.maximum.accumulate(np.concatenate([[reach], np.maximum(pdf["l_end_sec"], pdf["r_end_sec"])]))
+                cuts, reach = np.flatnonzero(np.maximum(pdf["l_start_sec"], pdf["r_start_sec"]).to_numpy() >= lasts[:-1]), lasts[-1]
+                at = int(cuts[-1]) if len(cuts) else 0
+                if len(cuts) and (at or held):
+                    held.append(pdf.iloc[:at])
+                    yield settled()
+                held.append(pdf.iloc[at:])
+        if held:
+            yield settled()
+
+    pairs = iou_pairs(predicted, truth, key).select(key, F.col("pred").cast("long").alias("pred"), F.col("true").cast("long").alias("true"), "iou", *edges)
+    in_time = pairs.repartition(key).sortWithinPartitions(key, F.greatest("l_start_sec", "r_start_sec"), F.least("l_end_sec", "r_end_sec"), "pred", "true")
+    return in_time.mapInPandas(run, f"{key} string, pred long, true long, iou double, onset_error double, offset_error double")
 
 
 def match_summary(predicted: DataFrame, truth: DataFrame, matches: DataFrame, key: str = KEY) -> DataFrame:

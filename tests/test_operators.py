@@ -328,3 +328,31 @@ def test_a_share_of_exactly_the_limit_is_covered(spark, spans):
     programs = spark.createDataFrame([("p", 5000.0)], "program_id string, duration_sec double")
     kept, _, removed = evidence.finalise(topics.withColumn("topic_id", S.numbered("t", "seq", 3)), half, half.limit(0), programs, 0.5)
     assert kept.count() == 0 and removed.first()["n"] == 400
+
+
+def test_equal_totals_take_the_earlier_overlaps():
+    p, t, v = np.array([0, 0, 1]), np.array([0, 1, 1]), np.array([0.25, 0.5, 0.25])
+    assert list(evaluation.best_matching(p, t, v)) == [False, True, False]
+    p, t, v = np.array([0, 0]), np.array([0, 1]), np.array([0.5, 0.5])
+    assert list(evaluation.best_matching(p, t, v)) == [True, False]
+
+
+def test_topic_matches_in_batches_are_the_same(spark):
+    rng = random.Random(11)
+    cut = lambda: sorted(rng.sample(range(1, 600), 60))
+    chain = lambda: [(str(k), i, float(a), float(b)) for k in range(3) for i, (a, b) in enumerate(itertools.pairwise([0, *cut(), 600]))]
+    loose = lambda: [("x", i, float(a), a + rng.uniform(1, 30)) for i, a in enumerate(rng.choices(range(600), k=40))]
+    p, t = (spark.createDataFrame([*chain(), *loose()], "program_id string, seq long, start_sec double, end_sec double") for _ in "pt")
+    found = evaluation.topic_matches(p, t)
+    assert "FlatMapGroups" not in found._jdf.queryExecution().toString()  # no task holds a whole program
+    whole = rows(found, "program_id", "pred", "true", "iou")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        assert rows(evaluation.topic_matches(p, t), "program_id", "pred", "true", "iou") == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for k in "012x":
+        pairs = sorted((r["program_id"], max(r["l_start_sec"], r["r_start_sec"]), min(r["l_end_sec"], r["r_end_sec"]), r["pred"], r["true"], r["iou"]) for r in evaluation.iou_pairs(p, t).where(F.col("program_id") == k).collect())
+        _, _, _, i, j, v = (np.array(c) for c in zip(*pairs))
+        taken = evaluation.best_matching(i, j, v)
+        assert abs(sum(r[3] for r in whole if r[0] == k) - v[taken & (v >= 0.3)].sum()) < 1e-9
