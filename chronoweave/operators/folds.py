@@ -6,7 +6,7 @@ gap, a program is cut at such gaps first; in other passes a program must fit one
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -144,26 +144,53 @@ def overlapping_chunks(segments: DataFrame, target: int = 6000, overlap: float =
     """chunk, first and last (positions in order of seq), start_sec, end_sec of chunks of up to target tokens.
 
     A chunk has one segment at least. The next one begins with the earliest segment that starts less than
-    overlap before the chunk's end, but always further on. Needs random access, so it runs in Python, a
-    program at a time.
+    overlap before the chunk's end, but always further on. Needs random access, so it runs in Python, over
+    sorted batches; what is kept between them is the segments from the open chunk's first one on.
     """
     import numpy as np
     import pandas as pd
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="stable")
-        start, end, tokens = pdf["start_sec"].to_numpy(), pdf["end_sec"].to_numpy(), np.concatenate([[0], np.cumsum(pdf["n"])])
-        rows, i, n = [], 0, len(pdf)
-        while i < n:
-            j = max(i + 1, int(np.searchsorted(tokens, tokens[i] + target, side="right")) - 1)
-            rows.append((pdf[key].iloc[0], len(rows), i, j - 1, float(start[i]), float(end[j - 1])))
+    def chunks(start: np.ndarray, end: np.ndarray, size: np.ndarray, over: bool) -> tuple[list[tuple[int, int]], int]:
+        """first and past-the-last place of each chunk whose end is known, and where the next one begins; over: no segment follows."""
+        tokens, found, i, n = np.concatenate([[0], np.cumsum(size)]), [], 0, len(start)
+        reach = np.maximum(np.arange(n) + 1, np.searchsorted(tokens, tokens[:-1] + target, side="right") - 1).tolist()
+        s, e = start.tolist(), (end - overlap).tolist()
+        while i < n and (over or reach[i] < n):
+            j = reach[i]
+            found.append((i, j))
             if j >= n:
-                break
+                return found, n
             k = j
-            while k - 1 > i and start[k - 1] > end[j - 1] - overlap:
+            while k - 1 > i and s[k - 1] > e[j - 1]:
                 k -= 1
             i = k
-        return pd.DataFrame(rows, columns=[key, "chunk", "first", "last", "start_sec", "end_sec"])
+        return found, i
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        program, chunk, at, held = None, 0, 0, [np.empty(0), np.empty(0), np.empty(0, dtype=np.int64)]
+
+        def settled(over: bool) -> pd.DataFrame:
+            nonlocal chunk, at, held
+            found, i = chunks(*held, over)
+            first, past = np.array(found, dtype=np.int64).reshape(-1, 2).T
+            out = pd.DataFrame({key: program, "chunk": chunk + np.arange(len(first)), "first": at + first, "last": at + past - 1, "start_sec": held[0][first], "end_sec": held[1][past - 1]})
+            chunk, at, held = chunk + len(first), at + i, [x[i:] for x in held]
+            return out
+
+        for batch in batches:
+            names = batch[key].to_numpy()
+            for rows in np.split(np.arange(len(batch)), np.flatnonzero(names[1:] != names[:-1]) + 1):
+                if not len(rows):
+                    continue
+                if names[rows[0]] != program:
+                    if len(held[0]):
+                        yield settled(True)
+                    program, chunk, at, held = names[rows[0]], 0, 0, [x[:0] for x in held]
+                held = [np.concatenate([x, batch[c].to_numpy()[rows]]) for x, c in zip(held, ("start_sec", "end_sec", "n"))]
+                yield settled(False)
+        if len(held[0]):
+            yield settled(True)
 
     slim = segments.select(key, "seq", "start_sec", "end_sec", F.col(size).cast("long").alias("n"))
-    return slim.groupBy(key).applyInPandas(run, f"{key} string, chunk int, first int, last int, start_sec double, end_sec double")
+    in_order = slim.repartition(key).sortWithinPartitions(key, "seq").drop("seq")
+    return in_order.mapInPandas(run, f"{key} string, chunk int, first int, last int, start_sec double, end_sec double")

@@ -356,3 +356,30 @@ def test_topic_matches_in_batches_are_the_same(spark):
         _, _, _, i, j, v = (np.array(c) for c in zip(*pairs))
         taken = evaluation.best_matching(i, j, v)
         assert abs(sum(r[3] for r in whole if r[0] == k) - v[taken & (v >= 0.3)].sum()) < 1e-9
+
+
+def test_chunks_in_batches_are_the_same(spark):
+    rng = random.Random(12)
+    t = {k: np.cumsum([rng.uniform(0, 12) for _ in range(n)]) for k, n in (("a", 90), ("b", 1), ("c", 200))}
+    table = [(k, i, float(x), float(x) + rng.uniform(0, 20), rng.choice([0, 1, 5, 30])) for k, xs in t.items() for i, x in enumerate(xs)]
+    s = spark.createDataFrame(table, "program_id string, seq long, start_sec double, end_sec double, tokens int")
+    found = folds.overlapping_chunks(s, 20, 15.0)
+    assert "FlatMapGroups" not in found._jdf.queryExecution().toString()  # no task holds a whole program
+    want = []
+    for name in t:
+        own, i, c = [r for r in table if r[0] == name], 0, 0
+        while True:
+            j = i + 1
+            while j < len(own) and sum(r[4] for r in own[i : j + 1]) <= 20:
+                j += 1
+            want.append((name, c, i, j - 1, own[i][2], own[j - 1][3]))
+            if j >= len(own):
+                break
+            i, c = min(m for m in range(i + 1, j + 1) if all(own[x][2] > own[j - 1][3] - 15.0 for x in range(m, j))), c + 1
+    names = ("program_id", "chunk", "first", "last", "start_sec", "end_sec")
+    for size in (10000, 7, 1):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            assert rows(folds.overlapping_chunks(s, 20, 15.0), *names) == sorted(want)
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
