@@ -65,19 +65,23 @@ def points_in_spans(points: DataFrame, spans: DataFrame, how: str = "inner", tim
 def nearest(points: DataFrame, candidates: DataFrame, tolerance: float, time: str = "time_sec", seq: str = "seq", candidate_time: str = "time_sec", candidate_seq: str = "seq", key: str = KEY) -> DataFrame:
     """Every point with its nearest candidate within the tolerance, on either side, or nulls.
 
-    Adds near_time, near_seq and near_dt (absolute). Equal distances go to the smallest candidate seq.
-    (key, seq) must be unique in points.
+    Adds near_time, near_seq and near_dt (absolute). Equal distances go to the smallest candidate seq. Points are
+    dealt to wide bins, candidates to all bins that they can be near in; in the order of time only the candidates
+    just before and after a point are compared with it, however many lie within the tolerance.
     """
-    c = candidates.select(F.col(key), F.col(candidate_time).alias("near_time"), F.col(candidate_seq).alias("near_seq"), _bin(F.col(candidate_time), tolerance).alias("__bin"))
-    p = points.select(key, F.col(seq).alias("__seq"), F.col(time).alias("__t"))
-    around = p.withColumn("__bin", F.explode(F.array(*(_bin(F.col("__t"), tolerance) + i for i in (-1, 0, 1)))))
-    dt = F.abs(F.col("near_time") - F.col("__t"))
-    best = (
-        around.join(c, [key, "__bin"]).where(dt <= tolerance)
-        .groupBy(key, "__seq").agg(F.min(F.struct(dt.alias("near_dt"), "near_seq", "near_time")).alias("__b"))
-        .select(F.col(key), F.col("__seq").alias(seq), "__b.near_time", "__b.near_seq", "__b.near_dt")
-    )
-    return points.join(best, [key, seq], "left")
+    width = max(60.0, 8.0 * tolerance)
+    at = F.col(candidate_time)
+    some = candidates.where(F.col(key).isNotNull() & at.isNotNull()).groupBy(F.col(key), at.alias("__c")).agg(F.min(candidate_seq).alias("__s"))
+    some = some.withColumns({"__bin": F.explode(F.sequence(_bin(F.col("__c") - tolerance, width), _bin(F.col("__c") + tolerance, width))), "__t": F.col("__c")})
+    each = points.withColumns({"__bin": _bin(F.col(time), width), "__t": F.col(time), "__p": F.lit(True)}).unionByName(some, allowMissingColumns=True)
+    c = F.when(F.col("__p").isNull(), F.struct(F.col("__c").alias("t"), F.col("__s").alias("s")))
+    w = Window.partitionBy(key, "__bin")
+    # at equal times candidates come first in both directions
+    before, after = (F.last(c, True).over(w.orderBy(t, F.col("__p").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)) for t in (F.asc("__t"), F.desc("__t")))
+    near = lambda x: F.when(F.abs(x["t"] - F.col(time)) <= tolerance, F.struct(F.abs(x["t"] - F.col(time)).alias("dt"), x["s"].alias("s"), x["t"].alias("t")))
+    met = each.withColumns({"__a": before, "__b": after}).where("__p").withColumn("__n", F.least(near(F.col("__a")), near(F.col("__b"))))
+    rest = [n for n in points.columns if n not in (key, seq)]
+    return met.select(key, seq, *rest, F.col("__n.t").alias("near_time"), F.col("__n.s").alias("near_seq"), F.col("__n.dt").alias("near_dt"))
 
 
 def snap(points: DataFrame, candidates: DataFrame, tolerance: float, **names) -> DataFrame:

@@ -383,3 +383,19 @@ def test_chunks_in_batches_are_the_same(spark):
             assert rows(folds.overlapping_chunks(s, 20, 15.0), *names) == sorted(want)
         finally:
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_nearest_against_all_pairs(spark):
+    rng = random.Random(13)
+    table = lambda n: [(rng.choice("ab"), i, rng.choice([None, *(x / 4 for x in range(-40, 4000))])) for i in range(n)]
+    p, c = table(150), [*table(60), *[("b", 1000 + i, 500.0) for i in range(40)], (None, 5, 1.0)]
+    make = lambda t: spark.createDataFrame(t, "program_id string, seq long, time_sec double")
+    points = make([*p, (None, 999, 1.0)])
+    found = joins.nearest(points, make(c), 8.0)
+    got = {r["seq"]: (r["near_dt"], r["near_seq"], r["near_time"]) for r in found.collect()}
+    for k, i, t in p:
+        near = min(((abs(x - t), j, x) for m, j, x in c if m == k and x is not None and abs(x - t) <= 8.0), default=(None, None, None)) if t is not None else (None, None, None)
+        assert got[i] == near
+    assert got[999] == (None, None, None) and len(got) == found.count() == points.count()
+    # no pairs are made
+    assert " Join" not in found._jdf.queryExecution().optimizedPlan().toString()
