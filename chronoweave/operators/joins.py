@@ -7,8 +7,11 @@ pass over the result is needed to drop repeats.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KEY = "program_id"
 
@@ -92,12 +95,34 @@ def snap(points: DataFrame, candidates: DataFrame, tolerance: float, **names) ->
     return met.withColumn("moved", to != F.col(time)).withColumn("raw_" + time, F.col(time)).withColumn(time, to)
 
 
-def context_text(spans: DataFrame, entries: DataFrame, margin: float = 45.0, key: str = KEY) -> DataFrame:
-    """Each span's entries within the margin (closed), in order, one on each line; null without any."""
-    met = overlap_join(entries, spans, key=key, closed=True, margin=margin, bin_sec=max(60.0, margin))
-    rows = F.array_sort(F.collect_list(F.struct("l_start_sec", "l_seq", "l_text")))
-    text = met.groupBy(key, F.col("r_seq").alias("seq")).agg(F.array_join(F.transform(rows, lambda x: x["l_text"]), "\n").alias("context"))
-    return spans.join(text, [key, "seq"], "left")
+def context_text(spans: DataFrame, entries: DataFrame, margin: float = 45.0, key: str = KEY, bin_sec: float = 300.0) -> DataFrame:
+    """Each span's entries within the margin (closed), in order, one on each line; null without any.
+
+    The texts' length grows with the square of the density, so pairs are never shuffled. Spans are dealt by their starts to
+    bins; a bin gets the entries that meet any of its spans, as one longer span, and makes its texts in Python.
+    """
+    if margin < 0:
+        raise ValueError("margin must not be negative")
+    low, high = F.col("start_sec") - F.lit(margin), F.col("end_sec") + F.lit(margin)
+    home = F.when(F.col("end_sec").isNotNull(), _bin(low, bin_sec))
+    homes = spans.select(key, home.alias("home"), low.alias("start_sec"), high.alias("end_sec")).where("home IS NOT NULL").groupBy(key, "home").agg(F.min("start_sec").alias("start_sec"), F.max("end_sec").alias("end_sec"))
+    met = overlap_join(entries.select(key, "seq", "start_sec", "end_sec", "text"), homes, key=key, closed=True, bin_sec=bin_sec)
+    dealt = met.select(key, F.col("r_home").alias("__home"), *(F.col("l_" + c).alias(c) for c in ("seq", "start_sec", "end_sec", "text")))
+    given = spans.withColumns({"__home": home, "__low": low, "__high": high})
+    names, schema = spans.columns, T.StructType([*spans.schema.fields, T.StructField("context", T.StringType())])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by([("start_sec", "ascending"), ("seq", "ascending"), ("text", "ascending")])
+        start, end, texts = right["start_sec"].to_numpy(), right["end_sec"].to_numpy(), np.array(right["text"].to_pylist(), dtype=object)
+        some = np.array([t is not None for t in texts], dtype=bool)
+        found = []
+        for lo, n in zip(left["__low"].to_pylist(), np.searchsorted(start, left["__high"].to_numpy(), side="right").tolist() if len(start) else [0] * len(left)):
+            near = np.flatnonzero(end[:n] >= lo) if n else ()
+            found.append("\n".join(texts[near[some[near]]]) if len(near) else None)
+        return left.select(names).append_column("context", pa.array(found, pa.string()))
+
+    out = given.groupBy(key, "__home").cogroup(dealt.groupBy(key, "__home")).applyInArrow(run, schema)
+    return out.select(key, "seq", *(c for c in out.columns if c not in (key, "seq")))
 
 
 def pair_by_position(left: DataFrame, right: DataFrame, order: str = "seq", key: str = KEY) -> DataFrame:

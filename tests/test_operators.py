@@ -399,3 +399,20 @@ def test_nearest_against_all_pairs(spark):
     assert got[999] == (None, None, None) and len(got) == found.count() == points.count()
     # no pairs are made
     assert " Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_context_against_all_pairs(spark):
+    rng = random.Random(14)
+    span = lambda: (lambda a: (a, a + rng.choice([0.0, 3.0, 40.0, 900.0])))(rng.randrange(2000) / 2)
+    s = [(rng.choice("ab"), i, *span(), "x") for i in range(80)] + [("c", 0, 1.0, 2.0, "x"), (None, 1, 1.0, 2.0, "x"), ("a", 200, None, None, "x")]
+    e = [(rng.choice("ab"), i, *span(), rng.choice([None, f"t{i}"])) for i in range(90)] + [(None, 1, 1.0, 2.0, "n"), ("d", 1, 1.0, 2.0, "d")]
+    df = spark.createDataFrame(s, "program_id string, seq long, start_sec double, end_sec double, kind string")
+    found = joins.context_text(df, spark.createDataFrame(e, "program_id string, seq long, start_sec double, end_sec double, text string"), 45.0)
+    assert found.columns == [*df.columns, "context"]
+    want = []
+    for k, i, a, b, kind in s:
+        near = sorted((x, j, t or "") for m, j, x, y, t in e if k is not None and a is not None and m == k and y >= a - 45 and x <= b + 45)
+        want.append((str(k), i, kind, "\n".join(t for _, _, t in near if t) if near else None))
+    assert sorted(((str(r["program_id"]), r["seq"], r["kind"], r["context"]) for r in found.collect()), key=lambda r: r[:2]) == sorted(want, key=lambda r: r[:2])
+    # no pairs are made: entries meet bins, and these meet the spans in one step
+    assert "FlatMapCoGroups" in found._jdf.queryExecution().toString()
