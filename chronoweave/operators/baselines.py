@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -59,15 +61,25 @@ def embedding_boundaries(units: DataFrame, unit_sec: float = 15.0, width: int =
     return folds.thin(points, min_gap_sec, key=key).select(key, "time_sec")
 
 
-def token_blocks(texts: DataFrame, size: int = 20, text: str = "text", key: str = KEY) -> DataFrame:
-    """key, block, term, n: word counts of pseudo-sentences of `size` words, words in order of the texts' seq.
+def placed_words(texts: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
+    """key, w (the words of a text), before and all: the words of the program before it, in order of seq, and in all.
 
-    A running sum of word counts over the texts places each text's words, so no word passes a window.
+    Running sums are taken over counts alone, so no text passes a window; the texts move once, to meet them.
+    Equal texts of one seq stand one after the other.
     """
     words = F.filter(F.split(F.lower(F.col(text)), "[^\\p{L}\\p{N}]+"), lambda x: x != "")
-    w = Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    each = texts.select(key, "seq", words.alias("w")).withColumn("before", F.coalesce(F.sum(F.size("w")).over(w), F.lit(0)))
-    placed = each.select(key, "before", F.posexplode("w").alias("i", "term"))
+    named = texts.where(F.col(key).isNotNull()).select(key, F.struct("seq").alias("__seq"), F.xxhash64(text).alias("__h"), F.col(text))
+    own = [key, "__seq", "__h"]
+    counts = named.select(*own, F.size(words).cast("long").alias("__n")).where("__n > 0").groupBy(*own).agg(F.first("__n").alias("__n"), F.sum("__n").alias("__all"))
+    w = Window.partitionBy(key).orderBy("__seq", "__h")
+    sums = counts.select(*own, "__n", F.coalesce(F.sum("__all").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("__all").over(Window.partitionBy(key)).alias("all"))
+    copy = F.row_number().over(Window.partitionBy(*own).orderBy(F.lit(0))) - 1
+    return named.join(sums, own).select(key, words.alias("w"), (F.col("before") + copy * F.col("__n")).alias("before"), "all")
+
+
+def token_blocks(texts: DataFrame, size: int = 20, text: str = "text", key: str = KEY) -> DataFrame:
+    """key, block, term, n: word counts of pseudo-sentences of `size` words, words in order of the texts' seq."""
+    placed = placed_words(texts, text, key).select(key, "before", F.posexplode("w").alias("i", "term"))
     return placed.withColumn("block", F.floor((F.col("before") + F.col("i")) / F.lit(size)).cast("int")).groupBy(key, "block", "term").agg(F.count("*").alias("n"))
 
 
@@ -75,12 +87,30 @@ def token_blocks(texts: DataFrame, size: int = 20, text: str = "text", key: str
 CHUNK = 256
 
 
+def _chunk_gaps(program: str, place: int, total: int, block: np.ndarray, term: np.ndarray, n: np.ndarray | None, width: int, chunk: int, key: str) -> pd.DataFrame:
+    """key, gap, similarity of a chunk's gaps: the counts on the two sides of each are differences of running sums over the blocks."""
+    first = place * chunk
+    gaps = np.arange(max(first, width), min(first + chunk, total - width + 1))
+    if not len(gaps):
+        return pd.DataFrame({key: pd.Series([], dtype=object), "gap": pd.Series([], dtype="int32"), "similarity": pd.Series([], dtype="float64")})
+    zero = int(gaps[0]) - width
+    high, wide = int(gaps[-1]) + width - zero + 1, int(term.max()) + 1
+    block = block - zero
+    inside = (block >= 0) & (block < high - 1)
+    sums = np.bincount((block[inside] + 1) * wide + term[inside], None if n is None else n[inside], high * wide).astype(float).reshape(high, wide)
+    np.cumsum(sums, axis=0, out=sums)
+    g = gaps - zero
+    before, after = sums[g] - sums[g - width], sums[g + width] - sums[g]
+    dot = lambda x, y: np.einsum("ij,ij->i", x, y)
+    norm = np.sqrt(dot(before, before) * dot(after, after))
+    return pd.DataFrame({key: [program] * len(gaps), "gap": gaps.astype(np.int32), "similarity": np.where(norm > 0, dot(before, after) / np.where(norm > 0, norm, 1), 0.0)})
+
+
 def cohesion_gaps(blocks: DataFrame, width: int = 10, key: str = KEY, chunk: int = CHUNK) -> DataFrame:
     """key, gap, similarity: cosine of the word counts of the width blocks before and after each gap.
 
     Gaps are dealt out in chunks; a chunk gets its own blocks and the width blocks on either side, so a
-    program is spread over tasks. In a chunk, the counts on the two sides of each gap are differences of
-    running sums over the blocks.
+    program is spread over tasks.
     """
     n = blocks.groupBy(key).agg((F.max("block") + 1).alias("__n"))
     each = blocks.join(n, key).where(F.col("__n") >= 2 * width)
@@ -89,26 +119,31 @@ def cohesion_gaps(blocks: DataFrame, width: int = 10, key: str = KEY, chunk: int
     dealt = each.select(key, "__n", at.alias("__chunk"), "block", "term", F.col("n").cast("long").alias("n"))
 
     def run(k, pdf: pd.DataFrame) -> pd.DataFrame:
-        total, first = int(pdf["__n"].iloc[0]), int(k[1]) * chunk
-        gaps = np.arange(max(first, width), min(first + chunk, total - width + 1))
-        if not len(gaps):
-            return pd.DataFrame({key: pd.Series([], dtype=object), "gap": pd.Series([], dtype="int32"), "similarity": pd.Series([], dtype="float64")})
-        zero = int(gaps[0]) - width
-        term = pd.factorize(pdf["term"])[0]
-        sums = np.zeros((int(gaps[-1]) + width - zero + 1, int(term.max()) + 1))
-        block = pdf["block"].to_numpy() - zero
-        inside = (block >= 0) & (block < len(sums) - 1)
-        np.add.at(sums, (block[inside] + 1, term[inside]), pdf["n"].to_numpy()[inside])
-        np.cumsum(sums, axis=0, out=sums)
-        g = gaps - zero
-        before, after = sums[g] - sums[g - width], sums[g + width] - sums[g]
-        dot = lambda x, y: np.einsum("ij,ij->i", x, y)
-        norm = np.sqrt(dot(before, before) * dot(after, after))
-        return pd.DataFrame({key: [k[0]] * len(gaps), "gap": gaps.astype(np.int32), "similarity": np.where(norm > 0, dot(before, after) / np.where(norm > 0, norm, 1), 0.0)})
+        return _chunk_gaps(k[0], int(k[1]), int(pdf["__n"].iloc[0]), pdf["block"].to_numpy(), pd.factorize(pdf["term"])[0], pdf["n"].to_numpy(), width, chunk, key)
 
     return dealt.groupBy(key, "__chunk").applyInPandas(run, f"{key} string, gap int, similarity double")
 
 
+def text_gaps(texts: DataFrame, size: int = 20, width: int = 10, text: str = "text", key: str = KEY, chunk: int = CHUNK) -> DataFrame:
+    """cohesion_gaps() of the token_blocks() of texts, whose words go to the chunks as pieces of text, not as a row a word."""
+    n, before, at = F.size("w").cast("long"), F.col("before"), F.col("__chunk")
+    whole = lambda x, by: F.floor(x / F.lit(by)).cast("long")
+    each = placed_words(texts, text, key).withColumn("__n", whole(F.col("all") + (size - 1), size)).where(F.col("__n") >= 2 * width)
+    low, high = F.greatest(whole(before, size) - (width - 1), F.lit(width)), F.least(whole(before + n - 1, size) + width, F.col("__n") - width)
+    dealt = each.where(low <= high).withColumn("__chunk", F.explode(F.sequence(whole(low, chunk), whole(high, chunk))))
+    first, past = F.greatest((at * chunk - width) * size - before, F.lit(0)), F.least((at * chunk + (chunk - 1 + width)) * size - before, n)
+    piece = F.array_join(F.slice("w", (first + 1).cast("int"), (past - first).cast("int")), " ")
+    pieces = dealt.where(past > first).select(key, "__chunk", "__n", (before + first).alias("at"), piece.alias("words"))
+
+    def run(k, pdf: pd.DataFrame) -> pd.DataFrame:
+        words = [x.split(" ") for x in pdf["words"]]
+        place = np.concatenate([np.arange(a, a + len(x)) for a, x in zip(pdf["at"].tolist(), words)])
+        term = pd.factorize(np.array(list(chain.from_iterable(words)), dtype=object))[0]
+        return _chunk_gaps(k[0], int(k[1]), int(pdf["__n"].iloc[0]), place // size, term, None, width, chunk, key)
+
+    return pieces.groupBy(key, "__chunk").applyInPandas(run, f"{key} string, gap int, similarity double")
+
+
 def depth_scores(gaps: DataFrame, key: str = KEY) -> DataFrame:
     """gaps with depth: how far the similarity rises to the nearest peak on both sides.
 
@@ -129,6 +164,6 @@ def cohesion_boundaries(texts: DataFrame, size: int = 20, width: int = 10, radiu
     Scores are rounded to some digits on the way, so that the last bits of sums don't split a plateau.
     """
     rounded = lambda df, c: df.withColumn(c, F.bround(c, digits))
-    gaps = rounded(cohesion_gaps(token_blocks(texts, size, key=key), width, key), "similarity")
+    gaps = rounded(text_gaps(texts, size, width, key=key), "similarity")
     scores = rounded(smooth(gaps, "similarity", radius, key), "similarity")
     return peaks(rounded(depth_scores(scores, key), "depth"), "depth", factor, key=key).select(key, "gap", "depth")

@@ -768,7 +768,7 @@ _COHESION = """
 
 @query("b02_cohesion_gaps", _COHESION + " SELECT program_id, gap, round_even(s, 6) AS similarity FROM gaps")
 def b02_gaps(spark, sf_dir):
-    out = baselines.cohesion_gaps(baselines.token_blocks(_prose(spark, sf_dir)))
+    out = baselines.text_gaps(_prose(spark, sf_dir))
     return out.select("program_id", F.col("gap").cast("long").alias("gap"), F.bround("similarity", 6).alias("similarity"))
 
 
@@ -777,7 +777,7 @@ def b02_gaps(spark, sf_dir):
         FROM (SELECT program_id, gap, round_even(s, 6) AS s, lag(round_even(s, 6)) OVER (PARTITION BY program_id ORDER BY gap) AS l FROM gaps) WINDOW w AS (PARTITION BY program_id ORDER BY gap))
     SELECT program_id, gap, round_even(max(s) OVER (PARTITION BY program_id, up) + max(s) OVER (PARTITION BY program_id, down) - 2 * s, 6) AS depth FROM runs""")
 def b02_depth(spark, sf_dir):
-    gaps = baselines.cohesion_gaps(baselines.token_blocks(_prose(spark, sf_dir))).withColumn("similarity", F.bround("similarity", 6))
+    gaps = baselines.text_gaps(_prose(spark, sf_dir)).withColumn("similarity", F.bround("similarity", 6))
     return baselines.depth_scores(gaps).select("program_id", F.col("gap").cast("long").alias("gap"), F.bround("depth", 6).alias("depth"))
 
 

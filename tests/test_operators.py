@@ -416,3 +416,22 @@ def test_context_against_all_pairs(spark):
     assert sorted(((str(r["program_id"]), r["seq"], r["kind"], r["context"]) for r in found.collect()), key=lambda r: r[:2]) == sorted(want, key=lambda r: r[:2])
     # no pairs are made: entries meet bins, and these meet the spans in one step
     assert "FlatMapCoGroups" in found._jdf.queryExecution().toString()
+
+
+def test_gaps_of_texts_are_those_of_their_blocks(spark):
+    rng = random.Random(15)
+    words = lambda n: " ".join(f"w{rng.randrange(30)}" for _ in range(n))
+    table = [("p", i, words(rng.choice([0, 1, 7, 40, 300]))) for i in range(40)] + [("p", 7, "a b c, D"), ("p", 7, "a b c, D"), ("p", 8, None), ("q", 0, words(31)), ("r", 0, words(29)), (None, 0, words(60))]
+    texts = spark.createDataFrame(table, "program_id string, seq long, text string")
+    found = {}
+    for k in (1000, 4, 1):
+        found[k] = rows(baselines.text_gaps(texts, 5, 3, chunk=k), "program_id", "gap", "similarity")
+    assert found[1000] == found[4] == found[1] and {r[0] for r in found[4]} == {"p", "q", "r"}
+    assert found[4] == rows(baselines.cohesion_gaps(baselines.token_blocks(texts, 5), 3), "program_id", "gap", "similarity")
+    lines = {}
+    for program, seq, text in sorted((r for r in table if r[0] and r[2]), key=lambda r: r[:2]):
+        lines.setdefault(program, []).extend(text.lower().replace(",", "").split())
+    assert rows(baselines.token_blocks(texts, 10**6).groupBy("program_id").agg(F.sum("n").alias("n")), "program_id", "n") == sorted((k, len(v)) for k, v in lines.items())
+    # a text moves once to its place and once to its chunks, and no row is a word
+    plan = baselines.text_gaps(texts, 5, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and "RepartitionByExpression" not in plan
