@@ -132,13 +132,17 @@ def dialogues_from(lines: DataFrame) -> DataFrame:
 
     Rows of equal times stay apart. seq follows the order in the file.
     """
-    lines = lines.where(F.col("value").rlike(DIALOGUE)).withColumnRenamed("i", "__i")
-    part = lambda k: F.regexp_extract("value", DIALOGUE, k)
+    # each explode keeps what it makes: filters over a projection would repeat its expressions, parsing a line ten times
+    once = lambda df, *made: df.select("program_id", "__i", F.explode(F.array(F.struct(*made))).alias("x")).select("program_id", "__i", "x.*")
+    fields = F.split(F.regexp_replace("value", DIALOGUE + r"\R?", "\x01$1\x01$2\x01$3\x01$4"), "\x01", 5)
+    part = lambda k: F.get("p", F.lit(k))
     y = F.regexp_extract("value", POSITION, 2)
-    rows = lines.select("program_id", "__i", S.caption_time(part(1)).alias("start_sec"), S.caption_time(part(2)).alias("end_sec"), part(3).alias("style"), part(4).alias("raw"), F.when(y != "", y.cast("int")).otherwise(0).alias("y"))
-    spoken = rows.withColumn("__t", S.without_tags("raw")).where("__t <> ''").withColumns({"speaker": S.speaker("__t"), "text": S.without_speaker("__t")}).where("text <> ''")
+    found = once(lines.where(F.startswith("value", F.lit("Dialogue:"))).withColumnRenamed("i", "__i"), fields.alias("p"), "value").where(part(0) == "")
+    rows = once(found, S.caption_time(part(1)).alias("start_sec"), S.caption_time(part(2)).alias("end_sec"), part(3).alias("style"), part(4).alias("raw"), F.when(y != "", y.cast("int")).otherwise(0).alias("y"), S.without_tags(part(4)).alias("__t"))
+    own = [c for c in rows.columns if c not in ("program_id", "__i", "__t")]
+    spoken = once(rows.where("__t <> ''"), *own, S.speaker("__t").alias("speaker"), S.without_speaker("__t").alias("text")).where("text <> ''")
     w = Window.partitionBy("program_id").orderBy("__i")
-    return spoken.withColumn("seq", (F.row_number().over(w) - 1).cast("long")).drop("__i", "__t").withColumn("source", F.lit("caption"))
+    return spoken.withColumn("seq", (F.row_number().over(w) - 1).cast("long")).drop("__i").withColumn("source", F.lit("caption"))
 
 
 def service_ids(spark: SparkSession, path: str) -> DataFrame:

@@ -141,3 +141,14 @@ def test_keyed_state_gives_what_the_folds_give(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "packed")).where(F.unix_seconds("ts") < 900000)
     batches = lambda d: sorted(r[0] for r in d.groupBy("program_id", "batch").agg(F.concat_ws("/", "program_id", F.count("*"), F.sum("tokens")).alias("x")).select("x").collect())
     assert batches(got) == batches(folds.pack(df, 20).join(df.select("program_id", "seq", "tokens"), ["program_id", "seq"]))
+
+
+def test_a_dialogue_line_is_parsed_once(spark):
+    head = "Dialogue: 0,0:00:01.00,0:00:02.50,"
+    lines = [head + "nsz,,0,0,0,,{\\pos(10,20)}（A） hi", head + "nsz,,0,0,0,,x\r", head + "nsz,,0,0,0,,x\ry", head + "nsz,,0,0,0,,（A）", "\x01a\x01b\x01c\x01d", head + "nsz,,0,0,0,,a\x01b\x01c",
+             "Dialogue:\x01a\x01b\x01c\x01d", None, head + "nsz,,0,0,0,\\pos(3,4),$1 \\1 {\\an8}z", head + "n z,,0,0,0,,x"]
+    out = readers.dialogues_from(spark.createDataFrame([("p", i, v) for i, v in enumerate(lines)], "program_id string, i long, value string"))
+    assert [tuple(r) for r in out.select("seq", "text", "speaker", "y", "start_sec", "end_sec").orderBy("seq").collect()] == [
+        (0, "hi", "A", 20, 1.0, 2.5), (1, "x", None, 0, 1.0, 2.5), (2, "a\x01b\x01c", None, 0, 1.0, 2.5), (3, "4),$1 \\1 z", None, 4, 1.0, 2.5)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(readers.DIALOGUE[:20]) == 1
